@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.components import components
 from lumenfold.llm.cooccurrence import cooccurrence
+from lumenfold.llm.mixture import mixture
+from lumenfold.llm.neighbours import nearest
+from lumenfold.llm.packing import containers
+from lumenfold.llm.tokens import n_tokens
 from lumenfold.session import Scratch
 from lumenfold.tables import table
 
@@ -31,7 +35,37 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_pairs)}
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    return nearest(table(spark, d, "embedding_meta"), "model_id", "chunk_id", "vector", "dim", "computed_at", Scratch(spark, "nearest"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d).select(F.col("model").alias("model_id"), F.least("key", "neighbour").alias("chunk_a"), F.greatest("key", "neighbour").alias("chunk_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d).select(F.col("model").alias("model_id"), F.col("key").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", n_tokens(F.col("text")).alias("n"))
+    return containers(docs, "doc_id", "n", Scratch(spark, "pack")).withColumnRenamed("id", "doc_id")
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").filter("text <> ''").select("doc_id", "source", F.sha2("text", 256).alias("key"), n_tokens(F.col("text")).alias("n_tokens"))
+    return mixture(docs, table(spark, d, "mix_target"), Scratch(spark, "mix"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_pairs, p6_found, p6_neighbours, p8_containers, p9_mixture, p9_shares)}
 
 _P5 = """
 WITH m AS (SELECT DISTINCT chunk_id, concept_id FROM mention WHERE chunk_id IS NOT NULL),
@@ -40,7 +74,15 @@ c AS (SELECT concept_id, count(*) AS k FROM m WHERE concept_id IS NOT NULL GROUP
 p AS (SELECT a.concept_id AS concept_a, b.concept_id AS concept_b, count(*) AS n_ab FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.concept_id < b.concept_id GROUP BY 1, 2),
 s AS (SELECT p.*, ca.k AS n_a, cb.k AS n_b, t.n FROM p JOIN c ca ON ca.concept_id = concept_a JOIN c cb ON cb.concept_id = concept_b, t)
 """
+_P6 = """
+WITH v AS (SELECT DISTINCT model_id, chunk_id, dim, vector FROM embedding_meta
+ WHERE vector IS NOT NULL AND len(vector) = dim AND list_max(list_transform(vector, lambda x: abs(x))) > 0),
+s AS (SELECT a.model_id, a.chunk_id, b.chunk_id AS neighbour, list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[]) AS similarity
+ FROM v a JOIN v b ON a.model_id = b.model_id AND a.dim = b.dim AND a.chunk_id <> b.chunk_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY model_id, chunk_id ORDER BY similarity DESC, neighbour) AS rank FROM s WHERE similarity >= 0.92)
+"""
 ORACLES = {
+    "p6_found": _P6 + "SELECT DISTINCT model_id, least(chunk_id, neighbour) AS chunk_a, greatest(chunk_id, neighbour) AS chunk_b FROM k WHERE rank <= 10",
     "p2_found": """WITH RECURSIVE e AS (SELECT from_concept AS a, to_concept AS b FROM edge WHERE relation = 'user_linked' UNION SELECT to_concept, from_concept FROM edge WHERE relation = 'user_linked'),
  r AS (SELECT a AS concept_id, a AS o FROM e WHERE a IS NOT NULL UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.concept_id WHERE e.b IS NOT NULL)
  SELECT concept_id, min(o) AS group_id FROM r GROUP BY 1""",
