@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.llm.chunks import chunk
 from lumenfold.llm.components import components
 from lumenfold.llm.cooccurrence import cooccurrence
 from lumenfold.llm.mixture import mixture
+from lumenfold.llm.mojibake import recover
 from lumenfold.llm.neighbours import nearest
 from lumenfold.llm.packing import containers
 from lumenfold.llm.tokens import n_tokens
@@ -65,7 +67,28 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_pairs, p6_found, p6_neighbours, p8_containers, p9_mixture, p9_shares)}
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunk(table(spark, d, "document_version").select("id", "text"), "id", "text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).filter("kind = 'paragraph'").select(F.col("key").alias("document_version_id"), "start_char")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).filter("kind = 'piece'").select(F.col("key").alias("document_version_id"), "ordinal", "start_char", "end_char", "section_path")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return recover(table(spark, d, "documents"), "doc_id", "text", Scratch(spark, "encoding")).filter("found").select(F.col("key").alias("doc_id"))
+
+
+def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The damaged documents with their text as far as restored."""
+    return recover(table(spark, d, "documents"), "doc_id", "text", Scratch(spark, "encoding")).filter("found").select(F.col("key").alias("doc_id"), "text", "codecs", "lost")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p5_found, p5_pairs, p6_found, p6_neighbours, p8_containers, p9_mixture, p9_shares, p10_found, p10_repaired)}
 
 _P5 = """
 WITH m AS (SELECT DISTINCT chunk_id, concept_id FROM mention WHERE chunk_id IS NOT NULL),
@@ -86,6 +109,11 @@ ORACLES = {
     "p2_found": """WITH RECURSIVE e AS (SELECT from_concept AS a, to_concept AS b FROM edge WHERE relation = 'user_linked' UNION SELECT to_concept, from_concept FROM edge WHERE relation = 'user_linked'),
  r AS (SELECT a AS concept_id, a AS o FROM e WHERE a IS NOT NULL UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.concept_id WHERE e.b IS NOT NULL)
  SELECT concept_id, min(o) AS group_id FROM r GROUP BY 1""",
+    "p3_found": r"""WITH l AS (SELECT id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) AS n
+  FROM (SELECT DISTINCT id, text FROM document_version WHERE id IS NOT NULL AND text IS NOT NULL)),
+ o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_, trim(line, chr(32) || chr(9) || chr(13)) AS inside FROM l),
+ g AS (SELECT *, n - row_number() OVER (PARTITION BY id ORDER BY n) AS run, at_ + length(line) - length(ltrim(line, chr(32) || chr(9) || chr(13))) AS first FROM o WHERE inside <> '')
+ SELECT id AS document_version_id, min(first)::BIGINT AS start_char FROM g GROUP BY id, run HAVING max(first + length(inside)) - min(first) > 1200""",
     "p5_found": _P5 + "SELECT concept_a, concept_b FROM s WHERE n_ab >= 5 AND n_ab * n >= 10 * n_a * n_b",
     "p5_pairs": _P5 + """, k AS (SELECT least(from_concept, to_concept) AS concept_a, greatest(from_concept, to_concept) AS concept_b, max(weight) AS edge_weight FROM edge WHERE relation = 'co_occurs' GROUP BY 1, 2)
  SELECT s.concept_a, s.concept_b, n_a, n_b, n_ab, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift, edge_weight FROM s LEFT JOIN k USING (concept_a, concept_b)""",
