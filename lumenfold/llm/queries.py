@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.llm.boilerplate import extract
 from lumenfold.llm.chunks import chunk
 from lumenfold.llm.components import components
 from lumenfold.llm.cooccurrence import cooccurrence
@@ -79,6 +80,17 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).filter("kind = 'piece'").select(F.col("key").alias("document_version_id"), "ordinal", "start_char", "end_char", "section_path")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    fetched = table(spark, d, "fetched_document").filter("http_status = 200 and fetch_id is not null")
+    versions = table(spark, d, "document_version")
+    key = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string")).alias("key")
+    pages = fetched.select(key("f", "fetch_id"), "body", F.coalesce(F.col("content_type").startswith("text/html"), F.col("body").rlike("(?i)<html")).alias("markup"))
+    pages = pages.unionByName(versions.filter("producer = 'rawstrip'").select(key("v", "id"), F.col("text").alias("body"), F.lit(False).alias("markup")))
+    out = extract(pages, "key", "body", "markup", versions.filter("producer <> 'rawstrip'"), "text", Scratch(spark, "pages"))
+    kind = F.when(F.col("key").startswith("f"), "fetched_document").otherwise("document_version")
+    return out.select(kind.alias("record_table"), F.expr("substr(key, 2)").alias("record_id"), "line_no")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return recover(table(spark, d, "documents"), "doc_id", "text", Scratch(spark, "encoding")).filter("found").select(F.col("key").alias("doc_id"))
 
@@ -88,7 +100,7 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
     return recover(table(spark, d, "documents"), "doc_id", "text", Scratch(spark, "encoding")).filter("found").select(F.col("key").alias("doc_id"), "text", "codecs", "lost")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p5_found, p5_pairs, p6_found, p6_neighbours, p8_containers, p9_mixture, p9_shares, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_pairs, p6_found, p6_neighbours, p8_containers, p9_mixture, p9_shares, p10_found, p10_repaired)}
 
 _P5 = """
 WITH m AS (SELECT DISTINCT chunk_id, concept_id FROM mention WHERE chunk_id IS NOT NULL),
