@@ -184,7 +184,7 @@ ORACLES = {
  FROM ingestion_event WHERE id IS NOT NULL GROUP BY 1""",
     "deferred_events": "SELECT DISTINCT id, source_id FROM ingestion_event e WHERE source_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM reading_source s WHERE s.id = e.source_id)",
     "sealed_round_trip": "SELECT id, from_concept, to_concept, relation, weight FROM edge",
-    "natural_matches": f"""WITH {_SRC}, p AS (SELECT a.id, 0 AS n, min(b.id) AS known_id, 'doi' AS by FROM m a JOIN m b ON a.doi = b.doi WHERE a.is_private AND NOT b.is_private GROUP BY 1
+    "natural_matches": f"""WITH {_SRC}, p AS (SELECT a.id, 0 AS n, min(b.id) AS known_id, 'doi' AS "by" FROM m a JOIN m b ON a.doi = b.doi WHERE a.is_private AND NOT b.is_private GROUP BY 1
  UNION ALL SELECT a.id, 1, min(b.id), 'canonical_url' FROM m a JOIN m b ON a.canonical_url = b.canonical_url WHERE a.is_private AND NOT b.is_private GROUP BY 1 UNION ALL SELECT a.id, 2, min(b.id), 'content_hash' FROM m a JOIN m b ON a.content_hash = b.content_hash WHERE a.is_private AND NOT b.is_private GROUP BY 1)
- SELECT id, known_id, by FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS q FROM p) WHERE q = 1""",
+ SELECT id, known_id, "by" FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS q FROM p) WHERE q = 1""",
 }
