@@ -14,10 +14,12 @@ phrases above the threshold go on, and they are few, as each fills a fixed share
 from __future__ import annotations
 
 import html
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -114,35 +116,46 @@ _NT = {t: i for i, t in enumerate(_TAGS)}
 N_SHAPE = 18
 
 
-def features(lines: list[Line], tagged: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed word columns per line, and dense columns: words, linked words, shape and (if tagged) tags."""
-    dense = np.zeros((len(lines), N_SHAPE + len(_TAGS)), dtype=np.float64)
-    words = []
+_NUMBERED, _PARTED, _VALUE, _WIDE, _STOPS = re.compile(r"\d+\. "), re.compile(r"\s[|·»]\s"), re.compile(r": ?[\d.,]+\Z"), re.compile(r"  \S"), re.compile(r"[.!?。] \S")
+
+
+@lru_cache(maxsize=200_000)
+def _slot(word: str) -> int:
+    return zlib.crc32(_DIGITS.sub("0", word.lower()).encode()) % HASHED
+
+
+@lru_cache(maxsize=30_000)
+def _shape(text: str) -> tuple[int, tuple[int, ...], tuple[float, ...]]:
+    """Words, their hashed columns and the shape of a line; lines of menus and footers recur, hence the cache."""
+    t = text.strip()
+    w = _WORD.findall(t)
+    n = len(w)
+    shape = (
+        math.log1p(n), 0.0, 0.0, n <= 2, 3 <= n <= 6, 7 <= n <= 14, n > 30, t[-1] in ".!?。”\"»", _NUMBERED.match(t) is not None, _PARTED.search(t) is not None, _VALUE.search(t) is not None, t[:1] in "•-*–",
+        n > 0 and sum(x[0].isupper() for x in w) > 0.6 * n, _WIDE.search(t) is not None, _BYLINE.match(t) is not None, "©" in t, _STOPS.search(t) is not None or "。" in t[:-1], t.endswith(":"),
+    )
+    return n, tuple({_slot(x) for x in w}), tuple(map(float, shape))
+
+
+def _dense(lines: list[Line], shapes: list[tuple[int, tuple[int, ...], tuple[float, ...]]], tagged: bool) -> np.ndarray:
+    dense = np.zeros((len(lines), N_SHAPE + len(_TAGS)))
+    dense[:, :N_SHAPE] = [x[2] for x in shapes]
+    other = _NT["other"]
     for k, ln in enumerate(lines):
-        t = ln.text.strip()
-        w = [x.lower() for x in _WORD.findall(t)]
-        n = len(w)
-        d = dense[k]
-        d[0], d[1] = np.log1p(n), np.log1p(ln.linked)
-        d[2] = n > 0 and ln.linked >= n
-        d[3], d[4], d[5], d[6] = n <= 2, 3 <= n <= 6, 7 <= n <= 14, n > 30
-        d[7] = t[-1] in ".!?。”\"»"
-        d[8] = bool(re.match(r"\d+\. ", t))
-        d[9] = bool(re.search(r"\s[|·»]\s", t))
-        d[10] = bool(re.search(r": ?[\d.,]+\Z", t))
-        d[11] = t[:1] in "•-*–"
-        d[12] = n > 0 and sum(x[:1].isupper() for x in _WORD.findall(t)) > 0.6 * n
-        d[13] = bool(re.search(r"  \S", t))
-        d[14] = bool(_BYLINE.match(t))
-        d[15] = "©" in t
-        d[16] = bool(re.search(r"[.!?。] \S", t)) or "。" in t[:-1]
-        d[17] = t.endswith(":")
+        if ln.linked:
+            dense[k, 1] = math.log1p(ln.linked)
+            dense[k, 2] = ln.linked >= shapes[k][0]
         if tagged:
             for x in ln.tags:
-                d[N_SHAPE + _NT.get(x, _NT["other"])] += 1
-        words.append(np.array(sorted({zlib.crc32(_DIGITS.sub("0", x).encode()) % HASHED for x in w}), dtype=np.int64))
+                dense[k, N_SHAPE + _NT.get(x, other)] += 1
     np.clip(dense[:, N_SHAPE:], 0, 4, out=dense[:, N_SHAPE:])
-    return words, dense
+    return dense
+
+
+def features(lines: list[Line], tagged: bool) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """Hashed word columns per line, and dense columns: words, linked words, shape and (if tagged) tags."""
+    shapes = [_shape(ln.text) for ln in lines]
+    return [x[1] for x in shapes], _dense(lines, shapes, tagged)
 
 
 @dataclass
@@ -151,9 +164,19 @@ class Weights:
     dense: np.ndarray
     bias: float
 
+    cache: dict = field(default_factory=dict)
+
+    def _words(self, slots: tuple[int, ...]) -> float:
+        got = self.cache.get(slots)
+        if got is None:
+            if len(self.cache) > 30_000:
+                self.cache.clear()
+            got = self.cache[slots] = float(self.words[list(slots)].sum()) / math.sqrt(max(1, len(slots)))
+        return got
+
     def score(self, lines: list[Line], tagged: bool) -> np.ndarray:
         words, dense = features(lines, tagged)
-        return dense @ self.dense + np.array([self.words[w].sum() / np.sqrt(max(1, len(w))) for w in words]) + self.bias
+        return dense @ self.dense + np.array([self._words(w) for w in words]) + self.bias
 
 
 def fit(pages: list[list[Line]], tagged: bool, rounds: int = 150) -> Weights:
@@ -165,7 +188,7 @@ def fit(pages: list[list[Line]], tagged: bool, rounds: int = 150) -> Weights:
     dense = np.vstack([s[1] for s in sets])
     y = np.array([ln.main for p in pages for ln in p], dtype=np.float64)
     rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    cols = np.concatenate(words) if len(rows) else np.zeros(0, dtype=np.int64)
+    cols = np.array([x for w in words for x in w], dtype=np.int64)
     unit = np.array([1 / np.sqrt(max(1, len(w))) for w in words])
     mean, sd = dense.mean(0), dense.std(0) + 1e-6
     z = (dense - mean) / sd
@@ -193,6 +216,7 @@ def best_region(scores: np.ndarray) -> tuple[int, int, float]:
     return *out, best
 
 
+@lru_cache(maxsize=30_000)
 def phrase(text: str) -> str:
     """A line as furniture is counted: digits folded; of a read-on line only what stands before the colon."""
     t = " ".join(_DIGITS.sub("0", text).split()).lower()
@@ -286,6 +310,7 @@ def extract(pages: DataFrame, key: str, body: str, markup: str, clean: DataFrame
     key come out once; without any labelled page all weights are zero and no page has a main body.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(body).alias("body"), F.col(markup).alias("markup")).filter("key is not null and body <> ''").dropDuplicates()
+    rows = scratch.put(rows)
     kind = pages.schema[key].dataType.simpleString()
     labelled = rows.filter("markup").filter(F.lower("body").rlike("<(article|main)[ >]")).orderBy(F.xxhash64("body"), "key").limit(LABELLED).select("body").toPandas()
     fitted = [html_lines(b) for b in labelled["body"]]
