@@ -71,11 +71,11 @@ def containers(df: DataFrame, item: str, size: str, scratch: Scratch, capacity:
     no other item is divided.  Items of size 0 or null come out once, with size 0 and no container.  Ids are unique
     (of a repeated id each row is packed).  An empty table gives an empty result.
     """
-    rows = scratch.put(df.select(F.col(item).cast("long").alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("all")))
+    rows = scratch.put(df.select(F.col(item).cast("long").alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("all")).withColumn("row", F.monotonically_increasing_id()))
     cap = F.lit(capacity)
-    pieces = rows.filter("all > 0").select("id", F.explode(F.sequence(F.lit(0), F.floor((F.col("all") - 1) / cap).cast("int"))).alias("piece"), "all")
-    pieces = pieces.select("id", "piece", F.least(cap.cast("long"), F.col("all") - F.col("piece") * cap).alias("size"))
-    full = pieces.filter(F.col("size") == capacity).select("id", "piece", "size", F.concat(F.lit("f-"), "id", F.lit("-"), "piece").alias("container"), F.col("size").alias("fill"))
+    pieces = rows.filter("all > 0").select("id", "row", F.explode(F.sequence(F.lit(0), F.floor((F.col("all") - 1) / cap).cast("int"))).alias("piece"), "all")
+    pieces = pieces.select("id", "row", "piece", F.least(cap.cast("long"), F.col("all") - F.col("piece") * cap).alias("size"))
+    full = pieces.filter(F.col("size") == capacity).select("id", "piece", "size", F.concat(F.lit("f-"), "row", F.lit("-"), "piece").alias("container"), F.col("size").alias("fill"))
     part = pieces.filter(F.col("size") < capacity)
     n = part.count()
     first = scratch.put(_round(part, n, capacity, "a", False))
