@@ -44,6 +44,10 @@ _ORDINARY = frozenset(_LETTERS + _LETTERS.upper() + "абвгдежзийклм
 _PLAUSIBLE = re.compile(
     "[\u0080-ſƒȘ-țˆ-˝Α-ωЀ-џҐґ‐-›⁄₠-₿℀-⅏←-⇿∀-⋿⌀-⏿─-◿☀-➿　-ヿ㐀-鿿가-힯ﬀ-ﬆ﻿＀-￯\U0001f300-\U0001faff]+"
 )
+#: What every certain span holds: an odd character beside another above ASCII, a typical lead, or an inner capital.
+_EASY = "".join(map(re.escape, sorted(_ORDINARY))) + "\u3000-\u30ff\u3400-\u9fff\uff00-\uffef"
+_SUSPECT = re.compile(f"[^\\x00-\\x7f{_EASY}][^\\x00-\\x7f]|[^\\x00-\\x7f][^\\x00-\\x7f{_EASY}]|[ÃÂâ][^\\x00-\\x7f]|[a-zß-öø-ÿ\u0100-\u017fа-яё][À-ÖØ-Þ\u0100-\u017fЀ-Я][^\\x00-\\x7f]")
+_LONE = re.compile(r"(?<![^\s(«“])Ã (?=[^\W\d_])")
 _LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]")
 
 
@@ -156,6 +160,9 @@ def _spans(text: str, codec: str) -> list[tuple[int, int, str, bool]]:
 
 def repair(text: str) -> tuple[str, int, str]:
     """Text with its spans decoded, their number, and the encodings they had been read as (outermost first)."""
+    if not _SUSPECT.search(text):
+        text, n = _LONE.subn("à ", text)
+        return text, n, ""
     text, n, kana = _japanese(text)
     used = [kana] if kana else []
     for _ in range(LAYERS):
@@ -176,7 +183,7 @@ def repair(text: str) -> tuple[str, int, str]:
         n += len(best[2])
         used.append(best[1])
     # A no-break space that was turned into a space after the lead byte of an accented a.
-    lone = re.subn(r"(?<![^\s(«“])Ã (?=[^\W\d_])", "à ", text)
+    lone = _LONE.subn("à ", text)
     return lone[0], n + lone[1], ",".join(used)
 
 
