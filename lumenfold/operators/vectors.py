@@ -54,7 +54,7 @@ def novelty(store: DataFrame, probe: DataFrame) -> DataFrame:
     comparable.
     """
     own = store.join(F.broadcast(probe.select("document_version_id")), "document_version_id").select(F.col("document_version_id").alias("v"), F.col("chunk_id").alias("c"), F.col("u").alias("q"))
-    others = own.join(store, F.col("v") != F.col("document_version_id")).withColumn("s", clamp(dot(F.col("q"), F.col("u"))))
+    others = store.join(F.broadcast(own), F.col("v") != F.col("document_version_id")).withColumn("s", clamp(dot(F.col("q"), F.col("u"))))
     best = others.groupBy("v").agg(F.max("s").alias("s"))
     return own.select("v").distinct().join(best, "v", "left").select(F.col("v").alias("document_version_id"), (1 - F.greatest(F.lit(0.0), F.coalesce("s", F.lit(0.0)))).alias("novelty"), F.col("s").isNotNull().alias("comparable"))
 
