@@ -17,6 +17,7 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -30,6 +31,8 @@ from lumenfold.session import Scratch
 
 #: The fit sees at most so many labelled pages, those with the smallest hash of their body.
 LABELLED = 3000
+#: Longer labelled pages are not used for the fit (all pages are extracted).
+LABELLED_CHARS = 64_000
 #: A line is furniture if it is on at least this share of pages (and on three), at most 1 / share phrases per line slot.
 SHARE = 0.002
 HASHED = 4096
@@ -38,7 +41,7 @@ WALL = 12.0
 #: In stripped pages, lines below a side column's heading lose this much until a paragraph of this length or a by-line.
 ASIDE, LONG = 3.0, 200
 
-_TOKEN = re.compile(r"<!--.*?-->|<![^>]*>|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?-->|<![^>]*>|<(/?)([A-Za-z][A-Za-z0-9-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|[^<]+|<", re.S)
 _VOID = frozenset("br img meta link hr input source wbr area base col embed param track".split())
 #: Elements whose end tag is often left out; they do not count as containers.
 _LOOSE = frozenset("p li td th tr dt dd option tbody thead tfoot a span b i em strong small sup sub u s code label time button h1 h2 h3 h4 h5 h6 figcaption cite q mark abbr".split())
@@ -60,6 +63,13 @@ class Line:
     main: bool = False
 
 
+_BLOCKS = frozenset("article main section aside nav footer header table".split())
+
+
+def _name(tag: str, closing: bool) -> str:
+    return ("/" if closing else "") + ("div" if tag in _BLOCKS else tag)
+
+
 def html_lines(body: str) -> list[Line]:
     """Lines with visible text, numbered from 1 as in the source."""
     lines: dict[int, Line] = {}
@@ -75,10 +85,10 @@ def html_lines(body: str) -> list[Line]:
                     unseen += [tag] if not closing else []
                     if closing:
                         unseen.pop()
-            elif not closing and (tag in _UNSEEN or (tag not in _VOID and _HIDDEN.search(m[3] or ""))):
+            elif not closing and (tag in _UNSEEN or (len(m[3]) > 4 and tag not in _VOID and _HIDDEN.search(m[3]))):
                 unseen = [tag]
             else:
-                pending.append(("/" if closing else "") + ("div" if tag in _MAIN or tag in ("section", "aside", "nav", "footer", "header", "table") else tag))
+                pending.append(_name(tag, closing))
                 if tag == "a":
                     link = 0 if closing else 1
                 elif tag not in _VOID and tag not in _LOOSE and tag not in ("html", "body"):
@@ -107,6 +117,15 @@ def html_lines(body: str) -> list[Line]:
     return [lines[k] for k in sorted(lines)]
 
 
+_APART = re.compile(r"<!--.*?-->|<(script|style|head|noscript|template|svg)\b.*?</\1\s*>", re.S | re.I)
+_MARKUP = re.compile(r"<[^>]*>")
+
+
+def line_texts(body: str) -> list[str]:
+    """Texts of the lines of a page without their structure, as needed for counting phrases."""
+    return [t for t in map(str.strip, html.unescape(_MARKUP.sub("", _APART.sub("", body))).split("\n")) if t]
+
+
 def text_lines(body: str) -> list[Line]:
     return [Line(i, t) for i, t in enumerate(body.split("\n"), 1) if t.strip()]
 
@@ -116,7 +135,7 @@ _NT = {t: i for i, t in enumerate(_TAGS)}
 N_SHAPE = 18
 
 
-_NUMBERED, _PARTED, _VALUE, _WIDE, _STOPS = re.compile(r"\d+\. "), re.compile(r"\s[|·»]\s"), re.compile(r": ?[\d.,]+\Z"), re.compile(r"  \S"), re.compile(r"[.!?。] \S")
+_NUMBERED, _VALUE = re.compile(r"\d+\. "), re.compile(r": ?[\d.,]+\Z")
 
 
 @lru_cache(maxsize=200_000)
@@ -131,8 +150,8 @@ def _shape(text: str) -> tuple[int, tuple[int, ...], tuple[float, ...]]:
     w = _WORD.findall(t)
     n = len(w)
     shape = (
-        math.log1p(n), 0.0, 0.0, n <= 2, 3 <= n <= 6, 7 <= n <= 14, n > 30, t[-1] in ".!?。”\"»", _NUMBERED.match(t) is not None, _PARTED.search(t) is not None, _VALUE.search(t) is not None, t[:1] in "•-*–",
-        n > 0 and sum(x[0].isupper() for x in w) > 0.6 * n, _WIDE.search(t) is not None, _BYLINE.match(t) is not None, "©" in t, _STOPS.search(t) is not None or "。" in t[:-1], t.endswith(":"),
+        math.log1p(n), 0.0, 0.0, n <= 2, 3 <= n <= 6, 7 <= n <= 14, n > 30, t[-1] in ".!?。”\"»", _NUMBERED.match(t) is not None, " | " in t or " · " in t or " » " in t, t[-1].isdigit() and _VALUE.search(t) is not None, t[:1] in "•-*–",
+        n > 0 and sum(x[0].isupper() for x in w) > 0.6 * n, "  " in t, t[-1].isdigit() and _BYLINE.match(t) is not None, "©" in t, ". " in t or "! " in t or "? " in t or "。" in t[:-1], t.endswith(":"),
     )
     return n, tuple({_slot(x) for x in w}), tuple(map(float, shape))
 
@@ -166,17 +185,31 @@ class Weights:
 
     cache: dict = field(default_factory=dict)
 
-    def _words(self, slots: tuple[int, ...]) -> float:
-        got = self.cache.get(slots)
+    def _text(self, text: str) -> tuple[float, int]:
+        """Score of a line's words and shape, and its number of words."""
+        got = self.cache.get(text)
         if got is None:
             if len(self.cache) > 30_000:
                 self.cache.clear()
-            got = self.cache[slots] = float(self.words[list(slots)].sum()) / math.sqrt(max(1, len(slots)))
+            n, slots, shape = _shape(text)
+            words = float(self.words[list(slots)].sum()) / math.sqrt(max(1, len(slots)))
+            got = self.cache[text] = (words + float(np.dot(self.dense[:N_SHAPE], shape)) + self.bias, n)
         return got
 
     def score(self, lines: list[Line], tagged: bool) -> np.ndarray:
-        words, dense = features(lines, tagged)
-        return dense @ self.dense + np.array([self._words(w) for w in words]) + self.bias
+        """The fitted log-odds of each line, as ``features`` times weights."""
+        tags = self.dense[N_SHAPE:].tolist()
+        per_link, all_linked, other = float(self.dense[1]), float(self.dense[2]), _NT["other"]
+        out = []
+        for ln in lines:
+            s, n = self._text(ln.text)
+            if ln.linked:
+                s += per_link * math.log1p(ln.linked) + (all_linked if ln.linked >= n else 0.0)
+            if tagged:
+                own = [_NT.get(x, other) for x in ln.tags]
+                s += sum(tags[k] for k in own) if len(own) <= 4 else sum(tags[k] * min(c, 4) for k, c in Counter(own).items())
+            out.append(s)
+        return np.array(out)
 
 
 def fit(pages: list[list[Line]], tagged: bool, rounds: int = 150) -> Weights:
@@ -218,14 +251,17 @@ def best_region(scores: np.ndarray) -> tuple[int, int, float]:
 
 @lru_cache(maxsize=30_000)
 def phrase(text: str) -> str:
-    """A line as furniture is counted: digits folded; of a read-on line only what stands before the colon."""
+    """A line as furniture is counted: digits folded; of a read-on line only what stands before the colon.
+    Long lines are prose and have none."""
+    if len(text) > 160:
+        return ""
     t = " ".join(_DIGITS.sub("0", text).split()).lower()
     head, colon, _ = t.partition(": ")
     return head + ":" if colon and len(head) <= 20 and " " in head and "0" not in head else t
 
 
 def furniture(text: str, phrases: frozenset[str]) -> bool:
-    return phrase(text) in phrases or bool(_BYLINE.match(text.strip()))
+    return phrase(text) in phrases or (len(text) <= 160 and bool(_BYLINE.match(text.strip())))
 
 
 def _prose(t: str) -> bool:
@@ -265,7 +301,8 @@ def main_lines(lines: list[Line], weights: Weights, phrases: frozenset[str], wal
     own = [furniture(ln.text, phrases) for ln in lines]
     s = np.where(own, np.minimum(s, 0.0), s)  # furniture neither makes a region nor breaks one
     s = np.where(own, np.maximum(s, -0.5), s)
-    s = np.where([phrase(ln.text) in walls for ln in lines], -WALL, s)
+    said = [phrase(ln.text) for ln in lines]
+    s = np.where([x in walls for x in said], -WALL, s)
     if tagged:
         depth = 0
         while len({ln.blocks[: depth + 1] for ln in lines}) == 1 and any(len(ln.blocks) > depth + 1 for ln in lines):
@@ -285,7 +322,7 @@ def main_lines(lines: list[Line], weights: Weights, phrases: frozenset[str], wal
         return [ln.no for i, ln in enumerate(lines) if cut[i] == block and not own[i]]
     side = False
     for i, ln in enumerate(lines):
-        x = phrase(ln.text)
+        x = said[i]
         side = x in heads or (side and x not in walls and not (own[i] and x in phrases) and not _BYLINE.match(ln.text.strip()) and len(ln.text) < LONG)
         if side and not own[i]:
             s[i] -= ASIDE
@@ -307,20 +344,19 @@ def extract(pages: DataFrame, key: str, body: str, markup: str, clean: DataFrame
 
     ``markup`` is a boolean column: whether ``body`` has tags.  ``clean`` holds texts known to be free of boilerplate.
     Null and empty bodies, pages without prose and lines without visible text have no rows; rows repeated under one
-    key come out once; without any labelled page all weights are zero and no page has a main body.
+    key come out once (repeats are dropped among the line numbers, so no page is shuffled); without any labelled page all weights are zero and no page has a main body.
     """
-    rows = pages.select(F.col(key).alias("key"), F.col(body).alias("body"), F.col(markup).alias("markup")).filter("key is not null and body <> ''").dropDuplicates()
-    rows = scratch.put(rows)
+    rows = pages.select(F.col(key).alias("key"), F.col(body).alias("body"), F.col(markup).alias("markup")).filter("key is not null and body <> ''")
     kind = pages.schema[key].dataType.simpleString()
-    labelled = rows.filter("markup").filter(F.lower("body").rlike("<(article|main)[ >]")).orderBy(F.xxhash64("body"), "key").limit(LABELLED).select("body").toPandas()
+    labelled = rows.filter("markup").filter(F.length("body") <= LABELLED_CHARS).filter(F.lower("body").rlike("<(article|main)[ >]")).orderBy(F.xxhash64("body"), "key").limit(LABELLED).select("body").toPandas()
     fitted = [html_lines(b) for b in labelled["body"]]
 
     def phrases_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for t, m in zip(b["body"], b["markup"]):
-                out += sorted({phrase(ln.text) for ln in (html_lines(t) if m else text_lines(t))})
-            yield pd.DataFrame({"phrase": pd.Series([x for x in out if len(x) <= 120], dtype="object")})
+                out += sorted({phrase(x) for x in (line_texts(t) if m else t.split("\n"))})
+            yield pd.DataFrame({"phrase": pd.Series([x for x in out if 0 < len(x) <= 120], dtype="object")})
 
     n_pages = rows.count()
     counted = rows.select("body", "markup").mapInPandas(phrases_of, "phrase string").groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(3, int(SHARE * n_pages)))

@@ -154,6 +154,8 @@ def _spans(text: str, codec: str) -> list[tuple[int, int, str, bool]]:
                 odd = False
         elif len(new) == 1 and len(raw) == 2 and not (raw[0] not in _ORDINARY):
             odd = (odd and not raw[1].isalpha() and raw[0] in "ÐÑÅÄ") or (raw[0].isupper() and before.islower())
+        if len(new) == 1 and raw.isalpha() and _script(new) == "east" or "\uac00" <= new[0] <= "\ud7af" and raw.isalpha():
+            odd = False  # letters only: a word of another single-byte encoding, see stage 2
         out.append((m.start(), m.end(), new, odd))
     return out
 

@@ -338,6 +338,14 @@ def test_main_body_of_pages_with_and_without_labels(spark, scratch):
     assert all(sorted(v) == [7, 9, 11] for v in got.values())
 
 
+def test_scores_are_features_times_weights():
+    lines = B.html_lines(page("article", 7)) + B.html_lines("<ul><li><a>x</a></li><li><a>y</a></li><li>three words here.</li></ul>")
+    w = B.fit([B.html_lines(page("article", i)) for i in range(5)], True)
+    words, dense = B.features(lines, True)
+    want = dense @ w.dense + np.array([w.words[list(x)].sum() / math.sqrt(max(1, len(x))) for x in words]) + w.bias
+    assert np.allclose(w.score(lines, True), want)
+
+
 def test_region_is_the_maximum_scoring_subsequence():
     rng = random.Random(9)
     for _ in range(50):
