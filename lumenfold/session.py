@@ -11,6 +11,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,25 @@ def local_session(app: str = "lumenfold", cores: str | int = "*", partitions: in
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, unless their path holds it already."""
+    root, context = Path(__file__).resolve().parents[1], spark.sparkContext
+    known = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if context.master.startswith("local["):
+        known.add(os.getcwd())
+    if context.applicationId in _shipped or (context.master.startswith("local") and str(root) in known):
+        return
+    _shipped.add(context.applicationId)
+    target = os.path.join(tempfile.mkdtemp(prefix="lumenfold-code-"), "lumenfold.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "lumenfold").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(target)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder, or one of our own where none is configured."""
     global _local_dir
