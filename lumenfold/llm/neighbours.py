@@ -8,6 +8,10 @@ probing every substring retrieves all of them, and most pairs beyond.  Pairs who
 
 Exact copies (same direction) are one class: only its representative is indexed, and the result is expanded per
 member from at most k + 1 listed members of a class, so a class with a third of all rows costs k rows per member.
+
+Without a threshold the codes are of no use (the k-th neighbour of most vectors lies far beyond any radius worth
+probing), so every class is compared with every other: blocks of bounded size are broadcast one after the other, all
+classes stream past each as a matrix product, and only k candidates a class and block are kept.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ BITS, TURNS, WIDTH = 64, 4, 16
 #: The rotation of a model is learned on at most so many vectors, those with the smallest hash of their id.
 SAMPLE = 4096
 ROUNDS = 30
+#: Numbers (of eight bytes) in a broadcast block, and in the similarities held at a time, of the search without threshold.
+BLOCK = 1 << 22
+#: Vectors a task compares with a block.
+TASK = 2048
 
 
 def learn_rotation(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +70,70 @@ def usable(df: DataFrame, model: str, key: str, vector: str, dim: str, at: str)
     return rows.groupBy("model", "key").agg(F.max("s").alias("s")).select("model", "key", F.col("s.v").alias("v"))
 
 
-def nearest(df: DataFrame, model: str, key: str, vector: str, dim: str, at: str, scratch: Scratch, k: int = 10, min_similarity: float = 0.92, max_hamming: int = 18) -> DataFrame:
+def _best(q: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of s, similarity) of the k rows of ``s`` most similar to each row of ``q``; ties at the end stay in."""
+    sims = q @ s.T
+    k = min(k, len(s))
+    least = np.partition(sims, len(s) - k, axis=1)[:, len(s) - k]
+    i, j = np.nonzero(sims >= least[:, None] - 1e-12)
+    return i, j, sims[i, j]
+
+
+def exhaustive(classes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """``(id, id2, sim)``: at least the k most similar other classes of every class, by comparison with all."""
+    total, numbers = classes.agg(F.count(F.lit(1)), F.sum(F.size("u"))).first()
+    n_blocks = max(1, -(-(numbers or 0) // BLOCK))
+    spread = classes.select("m", "id", "u").repartition(max(1, -(-total // TASK)), "id")
+    parts = []
+    for b in range(n_blocks):
+        block = classes.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).select("m", "id", "key", "u").toPandas()
+        held = scratch.spark.sparkContext.broadcast({m: (g["id"].to_numpy(), g["key"].to_numpy(), np.stack(g["u"].to_numpy()).astype("float64")) for m, g in block.groupby("m")})
+
+        def compare(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            blocks = held.value
+            for batch in batches:
+                for m, g in batch.groupby("m"):
+                    if m not in blocks:
+                        continue
+                    ids, keys, s = blocks[m]
+                    own, x = g["id"].to_numpy(), np.stack(g["u"].to_numpy()).astype("float64")
+                    step = max(1, BLOCK // len(s))
+                    for at in range(0, len(x), step):
+                        i, j, sim = _best(x[at : at + step], s, k + 1)
+                        a = own[at : at + step][i]
+                        out = pd.DataFrame({"id": a, "id2": ids[j], "sim": np.clip(np.round(sim, 12), -1.0, 1.0), "key": keys[j]})[a != ids[j]]
+                        out = out.sort_values(["id", "sim", "key"], ascending=[True, False, True], kind="stable")
+                        yield out[out.groupby("id").cumcount() < k][["id", "id2", "sim"]]
+
+        parts.append(scratch.put(spread.mapInPandas(compare, "id long, id2 long, sim double")))
+        held.unpersist()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _indexed(classes: DataFrame, min_similarity: float, max_hamming: int, scratch: Scratch) -> DataFrame:
+    """``(id, id2, sim)`` of the pairs of classes of cosine >= ``min_similarity`` that the index finds, both ways round."""
+    part = lambda c, j: F.shiftrightunsigned(c, j * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+    each = [(t, j) for t in range(TURNS) for j in range(BITS // WIDTH)]
+    cells = F.array(*[F.shiftleft(F.col("m").cast("long"), 24) + F.lit(k << WIDTH) + part(F.col("codes")[t], j) for k, (t, j) in enumerate(each)])
+    index = classes.select("id", F.col("codes")[0].alias("code"), F.explode(cells).alias("cell"))
+    probes = index.select(F.col("id").alias("id2"), F.col("code").alias("code2"), "cell")
+    near = F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= max_hamming
+    pairs = index.join(probes, "cell").filter((F.col("id") < F.col("id2")) & near).select("id", "id2").distinct()
+    vec = lambda i, u: classes.select(F.col("id").alias(i), F.col("u").alias(u))
+    dot = F.aggregate(F.zip_with("u", "u2", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    close = scratch.put(pairs.join(vec("id", "u"), "id").join(vec("id2", "u2"), "id2").select("id", "id2", F.least(dot, F.lit(1.0)).alias("sim")).filter(F.col("sim") >= min_similarity))
+    return close.unionByName(close.select(F.col("id2").alias("id"), F.col("id").alias("id2"), "sim"))
+
+
+def nearest(df: DataFrame, model: str, key: str, vector: str, dim: str, at: str, scratch: Scratch, k: int = 10, min_similarity: float | None = 0.92, max_hamming: int = 18) -> DataFrame:
     """``(model, key, neighbour, similarity, rank)``: up to k most similar other keys of the same model.
 
     Only neighbours of cosine >= ``min_similarity`` are sought; the code length suits 0.9 and more
-    (recall measured in the README).  Ties go to the smaller key.  Vectors of one model with different ``dim`` are
+    (recall measured in the README).  With None every vector gets its k nearest, however far, exactly; that costs the
+    square of the number of distinct vectors.  Ties go to the smaller key.  Vectors of one model with different ``dim`` are
     never compared.  Repeats count once; an empty table gives an empty result.
     """
     rows = usable(df, model, key, vector, dim, at).withColumn("dim", F.size("v"))
@@ -102,17 +169,10 @@ def nearest(df: DataFrame, model: str, key: str, vector: str, dim: str, at: str,
     sizes = coded.groupBy("m", "same").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
     classes = scratch.put(sizes.join(heads, ["m", "same"]).join(coded.select("m", "key", "codes", "u"), ["m", "key"]).withColumn("id", F.monotonically_increasing_id()))
 
-    part = lambda c, j: F.shiftrightunsigned(c, j * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
-    each = [(t, j) for t in range(TURNS) for j in range(BITS // WIDTH)]
-    cells = F.array(*[F.shiftleft(F.col("m").cast("long"), 24) + F.lit(k << WIDTH) + part(F.col("codes")[t], j) for k, (t, j) in enumerate(each)])
-    index = classes.select("id", F.col("codes")[0].alias("code"), F.explode(cells).alias("cell"))
-    probes = index.select(F.col("id").alias("id2"), F.col("code").alias("code2"), "cell")
-    near = F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= max_hamming
-    pairs = index.join(probes, "cell").filter((F.col("id") < F.col("id2")) & near).select("id", "id2").distinct()
-    vec = lambda i, u: classes.select(F.col("id").alias(i), F.col("u").alias(u))
-    dot = F.aggregate(F.zip_with("u", "u2", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    close = scratch.put(pairs.join(vec("id", "u"), "id").join(vec("id2", "u2"), "id2").select("id", "id2", F.least(dot, F.lit(1.0)).alias("sim")).filter(F.col("sim") >= min_similarity))
-    both = close.unionByName(close.select(F.col("id2").alias("id"), F.col("id").alias("id2"), "sim"))
+    if min_similarity is None:
+        both = exhaustive(classes, k, scratch)
+    else:
+        both = _indexed(classes, min_similarity, max_hamming, scratch)
     lists = both.join(classes.select(F.col("id").alias("id2"), F.slice("heads", 1, k).alias("heads")), "id2").select("id", "sim", F.explode("heads").alias("neighbour"))
     best = Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
     outside = lists.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "neighbour", "sim"))).alias("outside"))

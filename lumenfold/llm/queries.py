@@ -38,8 +38,8 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    return nearest(table(spark, d, "embedding_meta"), "model_id", "chunk_id", "vector", "dim", "computed_at", Scratch(spark, "nearest"))
+def _nearest(spark: SparkSession, d: str, **how: float | None) -> DataFrame:
+    return nearest(table(spark, d, "embedding_meta"), "model_id", "chunk_id", "vector", "dim", "computed_at", Scratch(spark, "nearest"), **how)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _nearest(spark, d).select(F.col("model").alias("model_id"), F.col("key").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+    """The ten nearest of every usable vector, however far they are."""
+    return _nearest(spark, d, min_similarity=None).select(F.col("model").alias("model_id"), F.col("key").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:

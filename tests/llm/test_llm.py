@@ -143,6 +143,28 @@ def test_neighbours_of_an_empty_table(spark, scratch):
     assert N.nearest(spark.createDataFrame([], VECTORS), "model", "key", "v", "dim", "at", scratch).count() == 0
 
 
+def test_neighbours_without_threshold_are_those_of_brute_force(spark, scratch, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 64 * 150)  # three blocks
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 64)).astype("float32")
+    x[290:] = x[0]  # a class of eleven copies
+    rows = [("m", f"k{i:04}", v.tolist(), 64, None, "") for i, v in enumerate(x)] + [("s", f"s{i}", v.tolist(), 64, None, "") for i, v in enumerate(x[:4])]
+    u = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 6)
+    want = {f"k{i:04}": [f"k{j:04}" for j in sorted(set(range(300)) - {i}, key=lambda j: (-sim[i, j], j))[:10]] for i in range(300)}
+    got = defaultdict(list)
+    for r in N.nearest(spark.createDataFrame(rows, VECTORS), "model", "key", "v", "dim", "at", scratch, min_similarity=None).orderBy("rank").collect():
+        got[r.key].append(r.neighbour)
+    assert {k: v for k, v in got.items() if k[0] == "k"} == want
+    assert all(len(got[f"s{i}"]) == 3 for i in range(4))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_every_usable_vector_has_its_ten_neighbours(spark):
+    n = Counter((r.model_id, r.chunk_id) for r in queries.p6_neighbours(spark, str(DATA)).collect())
+    assert n and set(n.values()) == {10}
+
+
 # packing
 
 
