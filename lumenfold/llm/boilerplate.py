@@ -7,8 +7,9 @@ to pages without such elements and, with the tags left out, to pages already str
 the best contiguous region; in a page with tags it is widened to the container that holds it.
 
 Furniture inside the article (sharing, sign-up and read-on lines) is recognised by repetition: a line that recurs on
-many pages but is no line of any clean text.  Those counts cover the whole corpus, combined before the shuffle; only
-phrases above the threshold go on, and they are few, as each fills a fixed share of pages.
+many pages but is no line of any clean text.  Those counts cover the whole corpus and count a phrase once for each
+distinct body, told apart by hash, so copies of a page do not make its lines furniture; only phrases above the threshold
+go on, and they are few, as each fills a fixed share of pages.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -348,21 +349,35 @@ def extract(pages: DataFrame, key: str, body: str, markup: str, clean: DataFrame
     """
     rows = pages.select(F.col(key).alias("key"), F.col(body).alias("body"), F.col(markup).alias("markup")).filter("key is not null and body <> ''")
     kind = pages.schema[key].dataType.simpleString()
-    labelled = rows.filter("markup").filter(F.length("body") <= LABELLED_CHARS).filter(F.lower("body").rlike("<(article|main)[ >]")).orderBy(F.xxhash64("body"), "key").limit(LABELLED).select("body").toPandas()
+    h = F.xxhash64("body").alias("h")
+    usable = F.col("markup") & (F.length("body") <= LABELLED_CHARS) & F.lower("body").rlike("<(article|main)[ >]")
+    bodies = scratch.put(rows.select(h, usable.alias("usable")).groupBy("h").agg(F.max("usable").alias("usable")))
+    n_pages = bodies.count()
+    last = bodies.filter("usable").orderBy("h").limit(LABELLED).agg(F.max("h")).first()[0]
+    # One body for each hash; without labelled pages ``last`` is null and nothing passes.
+    labelled = rows.select(h, "body", "markup").filter(F.col("h") <= F.lit(last)).filter(usable).groupBy("h").agg(F.min("body").alias("body")).orderBy("h").select("body").toPandas()
     fitted = [html_lines(b) for b in labelled["body"]]
 
-    def phrases_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t, m in zip(b["body"], b["markup"]):
-                out += sorted({phrase(x) for x in (line_texts(t) if m else t.split("\n"))})
-            yield pd.DataFrame({"phrase": pd.Series([x for x in out if 0 < len(x) <= 120], dtype="object")})
-
-    n_pages = rows.count()
-    counted = rows.select("body", "markup").mapInPandas(phrases_of, "phrase string").groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(3, int(SHARE * n_pages)))
-    own = clean.filter(F.col(text) != "").select(F.col(text).alias("body"), F.lit(False).alias("markup")).mapInPandas(phrases_of, "phrase string").groupBy("phrase").agg(F.count(F.lit(1)).alias("n2"))
-    found = counted.join(own, "phrase", "left").filter(F.coalesce("n2", F.lit(0)) * 20 <= F.col("n")).select("phrase")
-    phrases = frozenset(r[0] for r in found.collect())  # at most 1 / SHARE phrases for each line of a page
+    def phrases_of(only: frozenset[str] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out, of = [], []
+                for t, m, h in zip(b["body"], b["markup"], b["h"]):
+                    got = [x for x in sorted({phrase(x) for x in (line_texts(t) if m else t.split("\n"))}) if 0 < len(x) <= 120 and (only is None or x in only)]
+                    out += got
+                    of += [h] * len(got)
+                yield pd.DataFrame({"phrase": pd.Series(out, dtype="object"), "h": pd.Series(of, dtype="int64")})
+
+        return run
+
+    def count(texts: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+        """Number of distinct bodies that hold each phrase."""
+        return texts.select("body", "markup", h).mapInPandas(phrases_of(only), "phrase string, h long").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+
+    often = {r[0]: r[1] for r in count(rows).filter(F.col("n") >= max(3, int(SHARE * n_pages))).collect()}  # at most 1 / SHARE phrases for each line of a page
+    clean_texts = clean.filter(F.col(text) != "").select(F.col(text).alias("body"), F.lit(False).alias("markup"))
+    own = {r[0]: r[1] for r in count(clean_texts, frozenset(often)).collect()}
+    phrases = frozenset(x for x, n in often.items() if own.get(x, 0) * 20 <= n)
     walls = borders(fitted, phrases)
     heads = openers(fitted, walls)
     for p in fitted:

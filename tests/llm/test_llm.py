@@ -360,6 +360,17 @@ def test_main_body_of_pages_with_and_without_labels(spark, scratch):
     assert all(sorted(v) == [7, 9, 11] for v in got.values())
 
 
+def test_copies_of_a_page_do_not_make_its_lines_furniture(spark, scratch):
+    rows = [(f"l{i}", page("article", i), True) for i in range(30)] + [(f"c{i}", page("div", 3), True) for i in range(40)] + [(f"a{i}", page("article", 0), True) for i in range(40)]
+    got = defaultdict(list)
+    for r in B.extract(spark.createDataFrame(rows, "key string, body string, markup boolean"), "key", "body", "markup", spark.createDataFrame([("The first paragraph tells a long story.",)], "text string"), "text", scratch).collect():
+        got[r.key].append(r.line_no)
+    lines = page("div", 3).split("\n")
+    want = [i for i, x in enumerate(lines) if x.startswith(("<h1>", "<p>The first", "<p>Another"))]
+    first = min(got["l1"]) - next(i for i, x in enumerate(lines) if x.startswith("<h1>"))  # whether lines count from 0 or 1
+    assert all(sorted(got[k]) == [i + first for i in want] for k in [f"c{i}" for i in range(40)] + [f"a{i}" for i in range(40)] + ["l1"])
+
+
 def test_scores_are_features_times_weights():
     lines = B.html_lines(page("article", 7)) + B.html_lines("<ul><li><a>x</a></li><li><a>y</a></li><li>three words here.</li></ul>")
     w = B.fit([B.html_lines(page("article", i)) for i in range(5)], True)
