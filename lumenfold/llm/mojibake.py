@@ -162,7 +162,7 @@ def _spans(text: str, codec: str) -> list[tuple[int, int, str, bool]]:
 
 def repair(text: str) -> tuple[str, int, str]:
     """Text with its spans decoded, their number, and the encodings they had been read as (outermost first)."""
-    if not _SUSPECT.search(text):
+    if not _SUSPECT.search(text) and not any(_double_bytes(c).search(text) for c in ("shift_jis", "euc_jp")):
         text, n = _LONE.subn("à ", text)
         return text, n, ""
     text, n, kana = _japanese(text)

@@ -268,6 +268,12 @@ def test_ordinary_text_is_left_alone(text):
     assert J.repair(text) == (text, 0, "")
 
 
+def test_kana_with_ascii_trail_bytes_comes_back_between_ascii_words():
+    for word in ("テスト", "データ"):
+        text = f"word {bytes(word, 'shift_jis').decode('latin-1').translate({0x83: 'ƒ'})} word"
+        assert J.repair(text) == (f"word {word} word", 1, "shift_jis")
+
+
 def test_double_damage_and_damage_in_places():
     twice = "é–".encode().decode("cp1252").encode().decode("cp1252")
     assert J.repair(f"a {twice} b")[0] == "a é– b"
