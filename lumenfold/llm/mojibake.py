@@ -6,8 +6,11 @@ All encodings are tried until nothing changes, so repeated damage is undone laye
 ordinary text (one sequence of letters and quotation marks that people do write) counts only beside a certain one.
 
 Stage 2 covers text of one single-byte encoding read as another, which has no byte structure: words are mapped the other
-way, and a word is damaged if its mapped form is attested in many more texts than the word itself.  Word counts cover
-the whole corpus and are combined before the shuffle.
+way, and a word is damaged if its mapped form is attested in many more texts than the word itself.  Where damage is
+frequent that cannot hold; there a text is damaged if one way maps at least two thirds of its words (and three) to
+attested forms that are more frequent, or whose letters go together where those of the words as they stand do not.
+Counts cover the whole corpus; a word passes by its texts or by its distinct texts (told apart by hash), so copies of a
+damaged text do not hide it.
 
 Replacement characters and control characters of the C1 range are damage that cannot be undone here; such texts are
 found and marked as not recovered.
@@ -35,6 +38,8 @@ SINGLE = (
 )
 #: A mapped word must be in at least so many texts, and in so many times more than the word as it stands.
 ATTESTED, RATIO = 3, 5
+#: A text is judged as a whole from so many mapped words on.
+WHOLE = 3
 LAYERS = 5
 
 #: Letters and marks of ordinary text in the languages at hand.
@@ -202,6 +207,17 @@ def _remap(word: str, read_as: str, written_in: str) -> str | None:
     return "".join(out)
 
 
+_RUN = re.compile("[ß-öø-ÿ\u0101-\u024fÀ-ÖØ-Þ]{3}")
+
+
+def _implausible(word: str) -> bool:
+    """Whether a word mixes scripts, has a capital after a small letter, a sign between letters, or a row of accented letters."""
+    core = word.strip("".join(_ORDINARY - set(filter(str.isalpha, _ORDINARY))) + "0123456789")
+    kinds = {"latin" if k == "ascii" else k or c for c in core if c.isalpha() for k in [_script(c)]}
+    inner = any(a.islower() and b.isupper() and not (a.isascii() and b.isascii()) for a, b in zip(core, core[1:]))
+    return len(kinds - {"east"}) > 1 or inner or any(not c.isalnum() for c in core) or bool(_RUN.search(core))
+
+
 #: Words of three characters or more that hold one above ASCII; no-break spaces may stand for letters.
 _WORD = r"[0-9A-Za-z\u0080-￿]{3,}"
 
@@ -223,26 +239,41 @@ def recover(df: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     fixed = scratch.put(rows.mapInPandas(stage1, f"key {kind}, text string, n_spans int, codecs string, lost boolean"))
     words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(f"({_WORD})")), lambda w: w.rlike(r"[^\x00-\x7f]")))
-    pairs = fixed.select("key", F.explode(words).alias("word"))
-    counts = scratch.put(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    pairs = fixed.select("key", F.xxhash64("text").alias("h"), words.alias("words")).select("key", "h", F.size("words").alias("odd"), F.explode("words").alias("word"))
+    each = pairs.groupBy("word", "h").agg(F.count(F.lit(1)).alias("n"))
+    counts = scratch.put(each.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")))
 
     def stage2(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for w, n in zip(b["word"], b["n"]):
+            for w, n, d in zip(b["word"], b["n"], b["d"]):
                 for i, (a, z) in enumerate(SINGLE):
                     new = _remap(w, a, z)
                     if new and new != w:
                         inner = max(re.findall(r"[^\W\d_]{3,}", new.lower()), key=len, default="")
                         if not inner.isascii() and inner not in w.lower():
-                            out.append((w, n, i, inner))
-            yield pd.DataFrame(out, columns=["word", "n", "pair", "form"])
-
-    forms = counts.mapInPandas(stage2, "word string, n long, pair int, form string")
-    inner = counts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("word"), F.lit(r"(\p{L}{3,})")))).alias("form"), "n")
-    known = inner.groupBy("form").agg(F.sum("n").alias("n2")).filter(F.col("n2") >= ATTESTED)
-    best = forms.join(known, "form").filter(F.col("n2") >= RATIO * F.col("n")).groupBy("word").agg(F.max_by("pair", F.struct("n2", -F.col("pair"))).alias("pair"))
-    hits = pairs.join(scratch.put(best), "word").groupBy("key").agg(F.mode("pair", True).alias("pair"), F.collect_set("word").alias("words"), F.count(F.lit(1)).alias("hits"))
+                            now, then = _implausible(w), _implausible(new)
+                            if now or not then:  # else the word is good and its mapped form is damage, however often it occurs
+                                out.append((w, n, d, i, inner, now and not then))
+            yield pd.DataFrame(out, columns=["word", "n", "d", "pair", "form", "better"])
+
+    forms = counts.mapInPandas(stage2, "word string, n long, d long, pair int, form string, better boolean")
+    inner = counts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("word"), F.lit(r"(\p{L}{3,})")))).alias("form"), "n", "d")
+    known = inner.groupBy("form").agg(F.sum("n").alias("n2"), F.sum("d").alias("d2")).filter(F.col("n2") >= ATTESTED)
+    known_apart = F.col("d2") >= ATTESTED
+    sure = (F.col("n2") >= RATIO * F.col("n")) | (known_apart & (F.col("d2") >= RATIO * F.col("d")))
+    ways = forms.join(known, "form").filter(sure | (known_apart & (F.col("d2") > F.col("d"))) | F.col("better"))
+    rare = F.max(F.when(sure, F.struct("n2", (-F.col("pair")).alias("p"))))
+    best = ways.groupBy("word").agg(F.collect_list(F.struct("pair", "n2")).alias("ways"), (-rare["p"]).alias("sure"))
+    mapped = pairs.join(scratch.put(best), "word").select("key", "odd", "word", "sure", F.explode("ways").alias("w")).withColumn("sure", F.coalesce(F.col("sure") == F.col("w.pair"), F.lit(False)))
+    by_way = mapped.groupBy("key", F.col("w.pair").alias("pair")).agg(
+        F.collect_set("word").alias("words"), F.collect_set(F.when(F.col("sure"), F.col("word"))).alias("sure"), F.count_if("sure").alias("n_sure"), F.sum("w.n2").alias("n2"), F.max("odd").alias("odd")
+    )
+    size = F.size("words")
+    whole = F.max(F.when((size >= WHOLE) & (3 * size >= 2 * F.col("odd")), F.struct(size.alias("size"), "n2", (-F.col("pair")).alias("p"), "words")))
+    places = F.max(F.when(F.col("n_sure") > 0, F.struct("n_sure", (-F.col("pair")).alias("p"))))
+    judged = by_way.groupBy("key").agg(whole.alias("whole"), places.alias("places"), F.array_distinct(F.flatten(F.collect_list("sure"))).alias("sure"))
+    hits = judged.filter("whole is not null or places is not null").select("key", (-F.coalesce("whole.p", "places.p")).alias("pair"), F.coalesce("whole.words", "sure").alias("words"))
     joined = fixed.join(hits, "key", "left")
 
     def stage3(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -288,6 +288,17 @@ def test_recover_finds_single_byte_confusions_by_attested_words(spark, scratch):
     assert got[100].text == "Сегодня утром тихая печь" and got[101].text == "тихая печь объясняет" and got[102].lost and got[106].text == "печь"
 
 
+def test_frequent_single_byte_damage_and_damaged_copies_are_found(spark, scratch):
+    some = "сегодня утром тихая печь объясняет вопрос другая книга старого города".split()
+    texts = [" ".join(["Вот", *some[i % 7 : i % 7 + 4], "x" * i]) for i in range(30)]
+    wrong = lambda t: t.encode("cp1251").decode("latin-1")
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, wrong(t) + " y") for i, t in enumerate(texts[:20])] + [(200 + i, wrong("Сегодня утром тихая печь")) for i in range(25)]
+    rows += [(300 + i, f"une forêt près de l'église {'z' * i}") for i in range(5)]
+    got = {r.key: r for r in J.recover(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", scratch).collect() if r.found}
+    assert set(got) == set(range(100, 120)) | set(range(200, 225))
+    assert got[200].text == "Сегодня утром тихая печь" and all(got[100 + i].text == texts[i] + " y" for i in range(20))
+
+
 # chunks
 
 
