@@ -77,7 +77,14 @@ def version_dedupe(s: SparkSession, d: str) -> DataFrame:
 
 
 def spots(s: SparkSession, d: str) -> DataFrame:
-    return spot(table(s, d, "document_version").filter("lang = 'en'").select("id", "text").dropDuplicates(["id"]), "id", "text")
+    """Spots of every chunk of every version, in any language, with offsets in the version's text."""
+    v = table(s, d, "document_version").filter("id is not null and text <> ''").select(F.col("id").alias("document_version_id"), "text").dropDuplicates(["document_version_id"])
+    c = table(s, d, "chunk").select("document_version_id", "start_char", "end_char").distinct()
+    # A version without chunks counts as one.
+    part = v.join(c, "document_version_id", "left").withColumns({"at": F.coalesce("start_char", F.lit(0)), "to": F.coalesce("end_char", F.length("text"))})
+    part = part.select(F.struct(F.col("document_version_id").alias("id"), "at").alias("k"), F.expr("substring(text, cast(at + 1 as int), cast(to - at as int))").alias("text"))
+    found = spot(part.select(F.to_json("k").alias("k"), "text"), "k", "text").withColumn("k", F.from_json("key", "id string, at long"))
+    return found.select(F.col("k.id").alias("key"), *[(F.col(x) + F.col("k.at")).alias(x) for x in ("start_char", "end_char")], "surface_form", "signal").distinct()
 
 
 def rule_link(s: SparkSession, d: str) -> DataFrame:

@@ -153,3 +153,19 @@ def test_works_keep_the_latest_known_value(spark):
     rows = [("10.1234/a", "old", 2001, True, 5, None, t, t, None), ("DOI:10.1234/A", None, None, False, 7, "s", t, t + dt.timedelta(days=1), None), ("10.1234/b", "x", None, None, None, None, t, t, t), (None, "y", None, None, None, None, t, t, None)]
     got = C.works(spark.createDataFrame(rows, s)).collect()
     assert [(r.doi, r.title, r.open_access, r.cited_by_count, r.source_id) for r in got] == [("10.1234/a", "old", True, 7, "s")]
+
+
+def test_spots_cover_every_chunk_and_language(spark, monkeypatch):
+    from lumenfold.plans import text as X
+
+    word = lambda i: "".join(chr(97 + int(x)) for x in f"{i:03}") * 3
+    texts = {"a": ". ".join(word(i) for i in range(200)), "b": "Die Stadt heisst Neu Ulm. Sie liegt im Donautal"}
+    ends = [(0, 600), (600, 1200), (1200, len(texts["a"]))]
+    tables = {
+        "document_version": spark.createDataFrame([("a", texts["a"], "en"), ("b", texts["b"], None)], "id string, text string, lang string"),
+        "chunk": spark.createDataFrame([("a", x, y) for x, y in ends] + [("b", 0, len(texts["b"]))], "document_version_id string, start_char long, end_char long"),
+    }
+    monkeypatch.setattr(X, "table", lambda s, d, name: tables[name])
+    got = X.spots(spark, "").collect()
+    assert all(texts[r.key][r.start_char : r.end_char] == r.surface_form for r in got)
+    assert sum(r.key == "a" for r in got) > 120 and any(r.key == "b" for r in got)
