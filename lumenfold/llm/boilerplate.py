@@ -1,15 +1,20 @@
-"""Main content of web pages by a maximum-scoring subsequence of their lines.
-
-Words score positive and tags negative: the score of a line is the log-odds, fitted on labelled pages, of its visible
-words, the words inside links, its tags, its shape and the words themselves.  Pages label themselves where they put their
-article into an ``article`` or ``main`` element; that element's name is hidden from the fit, so the weights carry over
-to pages without such elements and, with the tags left out, to pages already stripped of their tags.  A linear scan finds
-the best contiguous region; in a page with tags it is widened to the container that holds it.
-
-Furniture inside the article (sharing, sign-up and read-on lines) is recognised by repetition: a line that recurs on
-many pages but is no line of any clean text.  Those counts cover the whole corpus and count a phrase once for each
-distinct body, told apart by hash, so copies of a page do not make its lines furniture; only phrases above the threshold
-go on, and they are few, as each fills a fixed share of pages.
+"""Main content of web pages by a maximum-scoring subsequence.
+
+Words score positive and tags negative: a line is a run of tags and words, its score the sum of what they and the lines
+beside it weigh, and all weights are log-odds fitted on labelled pages (logistic regression).  Pages label themselves
+where they put their article into an ``article`` or ``main`` element; that element's name is hidden from the fit, so the
+weights carry over to pages without such elements and, with the tags left out, to pages already stripped of theirs.  A
+linear scan finds the contiguous region of the greatest sum, and the lines of that region are the main body.  The weights for
+stripped pages are fitted on the same pages without their tags and on others whose region the first fit has found.  A page has
+none if its best region stays below what the menus and side columns of labelled pages reach.
+
+Furniture inside the region (by-lines, sharing, sign-up and read-on lines) is left out.  It is recognised by repetition:
+a line whose phrase (digits and names folded) recurs on many pages but hardly in any clean text.  Those counts cover the
+whole corpus and count a phrase once for each distinct body, told apart by hash, so copies of a page do not make its
+lines furniture.  A phrase must make up a fixed share of all lines, so there are at most 1 / ``SHARE`` of them whatever
+the size of the corpus.
+
+Every page is parsed once; counting, fitting and scanning read the parsed lines from the shared folder.
 """
 
 from __future__ import annotations
@@ -18,64 +23,75 @@ import html
 import math
 import re
 import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.session import Scratch
 
-#: The fit sees at most so many labelled pages, those with the smallest hash of their body.
-LABELLED = 3000
+#: The fit sees at most so many labelled pages, and as many others with tags, those with the smallest hash of their body.
+LABELLED = 500
 #: Longer labelled pages are not used for the fit (all pages are extracted).
 LABELLED_CHARS = 64_000
-#: A line is furniture if it is on at least this share of pages (and on three), at most 1 / share phrases per line slot.
-SHARE = 0.002
-HASHED = 4096
-#: Score of a line that only occurs outside main bodies.
-WALL = 12.0
-#: In stripped pages, lines below a side column's heading lose this much until a paragraph of this length or a by-line.
-ASIDE, LONG = 3.0, 200
+#: A phrase is furniture from three pages and this share of all short lines on; at most 1 / SHARE phrases can be.
+SHARE = 1 / 20_000
+#: A furniture phrase is on at least so many times more pages than clean texts.
+CLEAN = 50
+#: Longer lines are prose and have no phrase.
+PHRASE_CHARS = 160
+#: Columns of words, and of all other features, in the fit.
+WORDS, OTHERS = 8192, 8192
+#: Share of labelled pages whose menus and side columns must stay below the score that makes a main body.
+QUIET = 0.98
 
 _TOKEN = re.compile(r"<!--.*?-->|<![^>]*>|<(/?)([A-Za-z][A-Za-z0-9-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|[^<]+|<", re.S)
-_VOID = frozenset("br img meta link hr input source wbr area base col embed param track".split())
-#: Elements whose end tag is often left out; they do not count as containers.
-_LOOSE = frozenset("p li td th tr dt dd option tbody thead tfoot a span b i em strong small sup sub u s code label time button h1 h2 h3 h4 h5 h6 figcaption cite q mark abbr".split())
-_UNSEEN = frozenset("script style head title noscript template svg".split())
+_VOID = frozenset(["br", "img", "meta", "link", "hr", "input", "source", "wbr", "area", "base", "col", "embed", "param", "track"])
+#: Elements whose end tag is often left out, and those inside a line; neither counts as a container.
+_LOOSE = frozenset(
+    ["p", "li", "td", "th", "tr", "dt", "dd", "option", "tbody", "thead", "tfoot", "a", "span", "b", "i", "em", "strong", "small", "sup", "sub", "u", "s", "code", "label", "time", "button"]
+    + ["h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "cite", "q", "mark", "abbr"]
+)
+_UNSEEN = frozenset(["script", "style", "head", "noscript", "template", "svg"])
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\bhidden\b", re.I)
 _MAIN = frozenset(["article", "main"])
+#: Containers count as ``div`` in the fit, as what they are called differs from site to site.
+_BLOCKS = frozenset(["article", "main", "section", "aside", "nav", "footer", "header", "table"])
 _WORD = re.compile(r"[^\W_]+(?:[’'][^\W_]+)*")
-_BYLINE = re.compile(r"(?:by|par|por|von|autor|di|автор)\b[^.!?]{2,80}\d{4}\Z", re.I)
 _DIGITS = re.compile(r"\d+")
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.I | re.S)
 
 
 @dataclass
-class Line:
-    no: int
-    text: str = ""
-    linked: int = 0
-    tags: list[str] = field(default_factory=list)
-    blocks: tuple[int, ...] = ()
-    main: bool = False
-
+class Page:
+    """Lines with visible text: number from 1, text, words inside links, tags before it, container, inside the article."""
 
-_BLOCKS = frozenset("article main section aside nav footer header table".split())
+    nos: list[int] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)
+    tags: list[str] = field(default_factory=list)
+    blocks: list[int] = field(default_factory=list)
+    main: list[bool] = field(default_factory=list)
+    title: str = ""
 
 
 def _name(tag: str, closing: bool) -> str:
     return ("/" if closing else "") + ("div" if tag in _BLOCKS else tag)
 
 
-def html_lines(body: str) -> list[Line]:
-    """Lines with visible text, numbered from 1 as in the source."""
-    lines: dict[int, Line] = {}
+def html_page(body: str) -> Page:
+    """Visible lines of a page with tags; hidden elements, scripts and the like are left out."""
+    texts: dict[int, list[str]] = {}
+    facts: dict[int, tuple[list[str], tuple[int, ...], bool]] = {}
+    linked: dict[int, int] = {}
     no, serial, link, unseen = 1, 0, 0, []
     stack: list[tuple[str, int, bool]] = []
+    path: tuple[int, ...] = ()
+    inside = False
     pending: list[str] = []
     for m in _TOKEN.finditer(body):
         raw = m.group()
@@ -83,165 +99,290 @@ def html_lines(body: str) -> list[Line]:
             tag, closing = m[2].lower(), m[1] == "/"
             if unseen:
                 if tag == unseen[0]:
-                    unseen += [tag] if not closing else []
                     if closing:
                         unseen.pop()
+                    else:
+                        unseen.append(tag)
             elif not closing and (tag in _UNSEEN or (len(m[3]) > 4 and tag not in _VOID and _HIDDEN.search(m[3]))):
                 unseen = [tag]
             else:
                 pending.append(_name(tag, closing))
                 if tag == "a":
                     link = 0 if closing else 1
-                elif tag not in _VOID and tag not in _LOOSE and tag not in ("html", "body"):
+                elif tag not in _VOID and tag not in _LOOSE and tag != "html" and tag != "body":
                     if not closing:
                         serial += 1
                         stack.append((tag, serial, tag in _MAIN))
                     elif any(t == tag for t, _, _ in stack):
                         while stack.pop()[0] != tag:
                             pass
+                    path, inside = tuple(s for _, s, _ in stack), any(x for _, _, x in stack)
             no += raw.count("\n")
         elif raw.startswith("<!"):
             no += raw.count("\n")
         else:
             for i, part in enumerate(raw.split("\n")):
                 no += i > 0
-                if unseen or not part.strip():
+                if unseen or not part or part.isspace():
                     continue
                 part = html.unescape(part)
-                if not part.strip():
+                if part.isspace():
                     continue
-                ln = lines.setdefault(no, Line(no, blocks=tuple(s for _, s, _ in stack), main=any(x for _, _, x in stack)))
-                ln.text += part
-                ln.linked += len(_WORD.findall(part)) * link
-                ln.tags += pending
+                if no not in texts:
+                    texts[no], facts[no] = [part], (pending, path, inside)
+                else:
+                    texts[no].append(part)
+                    facts[no][0].extend(pending)
+                if link:
+                    linked[no] = linked.get(no, 0) + len(_WORD.findall(part))
                 pending = []
-    return [lines[k] for k in sorted(lines)]
+    nos = sorted(texts)
+    paths = [facts[k][1] for k in nos]
+    depth = 0
+    while len({p[: depth + 1] for p in paths}) == 1 and any(len(p) > depth + 1 for p in paths):
+        depth += 1
+    number: dict[tuple[int, ...], int] = {}
+    title = _TITLE.search(body)
+    return Page(
+        nos, ["".join(texts[k]).strip() for k in nos], [linked.get(k, 0) for k in nos], [" ".join(facts[k][0]) for k in nos],
+        [number.setdefault(p[: depth + 1], len(number)) for p in paths], [facts[k][2] for k in nos], html.unescape(title[1]).strip() if title else "",
+    )
+
 
+def text_page(body: str) -> Page:
+    """Lines of a page without tags."""
+    lines = [(i, t.strip()) for i, t in enumerate(body.split("\n"), 1) if t and not t.isspace()]
+    n = len(lines)
+    return Page([i for i, _ in lines], [t for _, t in lines], [0] * n, [""] * n, [0] * n, [False] * n)
 
-_APART = re.compile(r"<!--.*?-->|<(script|style|head|noscript|template|svg)\b.*?</\1\s*>", re.S | re.I)
-_MARKUP = re.compile(r"<[^>]*>")
 
+#: Heading marks, section numbers and bullets before a line's first letter.
+_MARKS = re.compile(r"\A(?:[^\w\s“„«\"'(©]+ *|(?:\d+\.)+\d* +|\d+\) +)+(?=\w)")
 
-def line_texts(body: str) -> list[str]:
-    """Texts of the lines of a page without their structure, as needed for counting phrases."""
-    return [t for t in map(str.strip, html.unescape(_MARKUP.sub("", _APART.sub("", body))).split("\n")) if t]
+
+@lru_cache(maxsize=30_000)
+def phrase(text: str) -> str:
+    """A line as furniture is counted: digits folded to 0, capitalised words after the first to X, lower case, without
+    heading marks.  Long lines have none."""
+    if len(text) > PHRASE_CHARS:
+        return ""
+    words = _DIGITS.sub("0", _MARKS.sub("", text)).split()
+    out: list[str] = []
+    for k, w in enumerate(words):
+        if k and w[0].isupper():
+            w = "X" + (w[-1] if not w[-1].isalnum() else "")
+            if w == "X" and out[-1] == "X":
+                continue
+            if out[-1] == "X":
+                out.pop()
+        else:
+            w = w.lower()
+        out.append(w)
+    return " ".join(out)
 
 
-def text_lines(body: str) -> list[Line]:
-    return [Line(i, t) for i, t in enumerate(body.split("\n"), 1) if t.strip()]
+@lru_cache(maxsize=100_000)
+def _slot(feature: str) -> int:
+    return WORDS + zlib.crc32(feature.encode()) % OTHERS
 
 
-_TAGS = ("p", "/p", "li", "/li", "ul", "/ul", "a", "/a", "div", "/div", "span", "/span", "h1", "h2", "h3", "h4", "td", "/td", "br", "blockquote", "figcaption", "figure", "img", "other")
-_NT = {t: i for i, t in enumerate(_TAGS)}
-N_SHAPE = 18
+@lru_cache(maxsize=100_000)
+def _word_slot(word: str) -> int:
+    return zlib.crc32(_DIGITS.sub("0", word.lower()).encode()) % WORDS
 
 
 _NUMBERED, _VALUE = re.compile(r"\d+\. "), re.compile(r": ?[\d.,]+\Z")
+_INNER_END = re.compile(r"[.!?] |。.")
 
 
-@lru_cache(maxsize=200_000)
-def _slot(word: str) -> int:
-    return zlib.crc32(_DIGITS.sub("0", word.lower()).encode()) % HASHED
+def _shape(t: str, n: int) -> list[str]:
+    size = "0" if n <= 2 else "1" if n <= 6 else "2" if n <= 14 else "3" if n <= 30 else "4"
+    out = ["n" + size, "end" + ("a" if t[-1].isalpha() else "0" if t[-1].isdigit() else t[-1])]
+    if _NUMBERED.match(t):
+        out.append("numbered")
+    if " | " in t or " · " in t or " » " in t:
+        out.append("bars")
+    if t[-1].isdigit() and _VALUE.search(t):
+        out.append("value")
+    if not t[0].isalnum():
+        out.append("begins" + t[0])
+    if _INNER_END.search(t):
+        out.append("sentences")
+    if "©" in t:
+        out.append("©")
+    out.append("capital" if t[0].isupper() else "small")
+    return out
 
 
-@lru_cache(maxsize=30_000)
-def _shape(text: str) -> tuple[int, tuple[int, ...], tuple[float, ...]]:
-    """Words, their hashed columns and the shape of a line; lines of menus and footers recur, hence the cache."""
-    t = text.strip()
-    w = _WORD.findall(t)
-    n = len(w)
-    shape = (
-        math.log1p(n), 0.0, 0.0, n <= 2, 3 <= n <= 6, 7 <= n <= 14, n > 30, t[-1] in ".!?。”\"»", _NUMBERED.match(t) is not None, " | " in t or " · " in t or " » " in t, t[-1].isdigit() and _VALUE.search(t) is not None, t[:1] in "•-*–",
-        n > 0 and sum(x[0].isupper() for x in w) > 0.6 * n, "  " in t, t[-1].isdigit() and _BYLINE.match(t) is not None, "©" in t, ". " in t or "! " in t or "? " in t or "。" in t[:-1], t.endswith(":"),
-    )
-    return n, tuple({_slot(x) for x in w}), tuple(map(float, shape))
+def _cls(t: str, n: int, linked: int) -> str:
+    """What a line looks like to its neighbours."""
+    return f"{0 if n <= 2 else 1 if n <= 6 else 2 if n <= 14 else 3}{'.' if not t[-1].isalnum() else ''}{'L' if linked and linked >= n else ''}"
+
+
+def _share(x: float) -> str:
+    return "0" if x == 0 else "1" if x < 0.34 else "2" if x < 0.67 else "3"
+
 
+def contexts(page: Page, said: list[str | None], counts: list[int], tagged: bool) -> list[list[str]]:
+    """Features of each line that stem from the lines around it, from its container and from the page's title.
 
-def _dense(lines: list[Line], shapes: list[tuple[int, tuple[int, ...], tuple[float, ...]]], tagged: bool) -> np.ndarray:
-    dense = np.zeros((len(lines), N_SHAPE + len(_TAGS)))
-    dense[:, :N_SHAPE] = [x[2] for x in shapes]
-    other = _NT["other"]
-    for k, ln in enumerate(lines):
-        if ln.linked:
-            dense[k, 1] = math.log1p(ln.linked)
-            dense[k, 2] = ln.linked >= shapes[k][0]
+    ``said`` holds the furniture phrase of each line or None, ``counts`` its number of words.
+    """
+    n = len(page.nos)
+    cls = [f"f{s}" if s is not None else _cls(t, c, k) for s, t, c, k in zip(said, page.texts, counts, page.linked)]
+    block: dict[int, list[str]] = {}
+    if tagged:
+        rows: dict[int, list[int]] = {}
+        for i, b in enumerate(page.blocks):
+            rows.setdefault(b, []).append(i)
+        titles = [page.title.startswith(t) and not page.title[len(t) : len(t) + 1].isalnum() for t in page.texts]
+        held = {b: any(titles[i] for i in own) for b, own in rows.items()}
+        unlinked = {b: sum(counts[i] for i in own if not page.linked[i]) for b, own in rows.items()}
+        most = max(unlinked, key=unlinked.get, default=None)
+        for b, own in rows.items():
+            m = len(own)
+            words = sum(counts[i] for i in own) / m
+            first = said[own[0]]
+            links = _share(sum(page.linked[i] > 0 and page.linked[i] >= counts[i] for i in own) / m)
+            furnished = _share(sum(said[i] is not None for i in own) / m)
+            size = "0" if words < 3 else "1" if words < 6 else "2" if words < 12 else "3" if words < 24 else "4"
+            block[b] = [f"b-links{links}", f"b-said{furnished}", f"b-words{size}", f"b-head{first}", f"b{links}{furnished}{size}"]
+            block[b] += ["b-title" if held[b] else "b-notitle" if any(held.values()) else "b-untitled", "b-most" if b == most else "b-less"]
+    out = []
+    under, since = "", 0
+    for i in range(n):
+        if tagged and i and page.blocks[i] != page.blocks[i - 1]:
+            under, since = "", 0
+        f = [f"prev{cls[i - 1] if i else ''}", f"next{cls[i + 1] if i + 1 < n else ''}", f"under{under}", f"since{min(since, 4)}{'' if under else '-'}"]
         if tagged:
-            for x in ln.tags:
-                dense[k, N_SHAPE + _NT.get(x, other)] += 1
-    np.clip(dense[:, N_SHAPE:], 0, 4, out=dense[:, N_SHAPE:])
-    return dense
+            f += block[page.blocks[i]]
+            if titles[i]:
+                f.append("title")
+        out.append(f)
+        since += 1
+        if said[i] is not None:
+            under, since = said[i], 0
+    return out
+
+
+def features(page: Page, furniture: frozenset[str], tagged: bool) -> list[tuple[tuple[int, ...], list[str]]]:
+    """Per line: hashed words (they count 1 / sqrt(number) each) and the other features by name."""
+    words = [_WORD.findall(t) for t in page.texts]
+    said = [p if (p := phrase(t)) in furniture else None for t in page.texts]
+    out = []
+    for i, ctx in enumerate(contexts(page, said, [len(w) for w in words], tagged)):
+        out.append((tuple({_word_slot(w) for w in words[i]}), _own(page.texts[i], len(words[i]), page.linked[i], page.tags[i] if tagged else "", said[i]) + ctx))
+    return out
+
+
+def _own(text: str, n: int, linked: int, tags: str, said: str | None) -> list[str]:
+    f = ["line", *_shape(text, n)]
+    if said is not None:
+        f.append("said" + said)
+    if linked:
+        f.append("linked" if linked >= n else "partly")
+    return f + _tag_features(tags)
 
 
-def features(lines: list[Line], tagged: bool) -> tuple[list[tuple[int, ...]], np.ndarray]:
-    """Hashed word columns per line, and dense columns: words, linked words, shape and (if tagged) tags."""
-    shapes = [_shape(ln.text) for ln in lines]
-    return [x[1] for x in shapes], _dense(lines, shapes, tagged)
+@lru_cache(maxsize=30_000)
+def _tag_features(tags: str) -> list[str]:
+    return ["<" + t for t in tags.split(" ")] if tags else []
 
 
-@dataclass
 class Weights:
-    words: np.ndarray
-    dense: np.ndarray
-    bias: float
+    """Fitted log-odds; scores of texts, tags and neighbourhoods are kept, as most of them recur."""
 
-    cache: dict = field(default_factory=dict)
+    def __init__(self, w: np.ndarray, least: float):
+        self.w = w.tolist()
+        self.least = least  # a region must score more
+        self._texts: dict[str, tuple[float, int, str | None]] = {}
+        self._parts: dict[str, float] = {}
 
-    def _text(self, text: str) -> tuple[float, int]:
-        """Score of a line's words and shape, and its number of words."""
-        got = self.cache.get(text)
+    def __reduce__(self):
+        return Weights, (np.array(self.w), self.least)
+
+    def part(self, feature: str) -> float:
+        got = self._parts.get(feature)
         if got is None:
-            if len(self.cache) > 30_000:
-                self.cache.clear()
-            n, slots, shape = _shape(text)
-            words = float(self.words[list(slots)].sum()) / math.sqrt(max(1, len(slots)))
-            got = self.cache[text] = (words + float(np.dot(self.dense[:N_SHAPE], shape)) + self.bias, n)
+            got = self._parts[feature] = self.w[_slot(feature)]
         return got
 
-    def score(self, lines: list[Line], tagged: bool) -> np.ndarray:
-        """The fitted log-odds of each line, as ``features`` times weights."""
-        tags = self.dense[N_SHAPE:].tolist()
-        per_link, all_linked, other = float(self.dense[1]), float(self.dense[2]), _NT["other"]
+    def score(self, page: Page, furniture: frozenset[str], tagged: bool) -> tuple[list[float], list[str | None]]:
+        """Score and furniture phrase of each line: its ``features`` times the weights."""
+        if len(self._texts) > 50_000:
+            self._texts.clear()
+        if len(self._parts) > 200_000:
+            self._parts.clear()
+        base = []
+        for t in page.texts:
+            got = self._texts.get(t)
+            if got is None:
+                words = _WORD.findall(t)
+                p = phrase(t)
+                said = p if p in furniture else None
+                slots = {_word_slot(x) for x in words}
+                s = sum(map(self.w.__getitem__, slots)) / math.sqrt(max(1, len(slots)))
+                got = self._texts[t] = (s + sum(map(self.part, _own(t, len(words), 0, "", said))), len(words), said)
+            base.append(got)
+        said = [b[2] for b in base]
+        counts = [b[1] for b in base]
         out = []
-        for ln in lines:
-            s, n = self._text(ln.text)
-            if ln.linked:
-                s += per_link * math.log1p(ln.linked) + (all_linked if ln.linked >= n else 0.0)
-            if tagged:
-                own = [_NT.get(x, other) for x in ln.tags]
-                s += sum(tags[k] for k in own) if len(own) <= 4 else sum(tags[k] * min(c, 4) for k, c in Counter(own).items())
+        for i, ctx in enumerate(contexts(page, said, counts, tagged)):
+            s = base[i][0] + sum(map(self.part, ctx))
+            if page.linked[i]:
+                s += self.part("linked" if page.linked[i] >= counts[i] else "partly")
+            if tagged and page.tags[i]:
+                s += sum(map(self.part, _tag_features(page.tags[i])))
             out.append(s)
-        return np.array(out)
-
-
-def fit(pages: list[list[Line]], tagged: bool, rounds: int = 150) -> Weights:
-    """Logistic regression by full-batch gradient steps with momentum; deterministic."""
-    sets = [features(p, tagged) for p in pages if p]
-    if not sets:
-        return Weights(np.zeros(HASHED), np.zeros(N_SHAPE + len(_TAGS)), 0.0)
-    words = [w for s in sets for w in s[0]]
-    dense = np.vstack([s[1] for s in sets])
-    y = np.array([ln.main for p in pages for ln in p], dtype=np.float64)
-    rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    cols = np.array([x for w in words for x in w], dtype=np.int64)
-    unit = np.array([1 / np.sqrt(max(1, len(w))) for w in words])
-    mean, sd = dense.mean(0), dense.std(0) + 1e-6
-    z = (dense - mean) / sd
-    a, b, c = np.zeros(HASHED), np.zeros(z.shape[1]), 0.0
-    ga, gb, gc = np.ones(HASHED) * 1e-8, np.ones(z.shape[1]) * 1e-8, 1e-8
+        return out, said
+
+
+def fit(pages: list[Page], furniture: frozenset[str], tagged: bool, rounds: int = 200, l2: float = 2e-6) -> Weights:
+    """Logistic regression of "inside the article" by full-batch adaptive gradient steps; deterministic."""
+    rows, cols, vals, y = [], [], [], []
+    for p in pages:
+        for (words, named), inside in zip(features(p, furniture, tagged), p.main):
+            r = len(y)
+            cols += words
+            vals += [1 / math.sqrt(max(1, len(words)))] * len(words)
+            cols += map(_slot, named)
+            vals += [1.0] * len(named)
+            rows += [r] * (len(words) + len(named))
+            y.append(inside)
+    d = WORDS + OTHERS
+    w = np.zeros(d)
+    if not y:
+        return Weights(w, 0.0)
+    row, col, val, want, n = np.array(rows), np.array(cols), np.array(vals), np.array(y, dtype=np.float64), len(y)
+    seen = np.full(d, 1e-8)
     for _ in range(rounds):
-        s = z @ b + np.bincount(rows, a[cols], len(y)) * unit + c
-        e = 1 / (1 + np.exp(-np.clip(s, -30, 30))) - y
-        da = np.bincount(cols, (e * unit)[rows], HASHED) / len(y) + 1e-6 * a
-        db, dc = z.T @ e / len(y) + 1e-5 * b, e.mean()
-        ga, gb, gc = ga + da**2, gb + db**2, gc + dc**2
-        a, b, c = a - 0.3 * da / np.sqrt(ga), b - 0.3 * db / np.sqrt(gb), c - 0.3 * dc / np.sqrt(gc)
-    return Weights(a, b / sd, c - float((b / sd) @ mean))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col] * val, n), -30, 30)))
+        g = np.bincount(col, (p - want)[row] * val, d) / n + l2 * w
+        seen += g * g
+        w -= 0.3 * g / np.sqrt(seen)
+    out = Weights(w, 0.0)
+    beside = []
+    for p in pages:
+        s, _ = out.score(p, furniture, tagged)
+        beside.append(max((best_region([x for x, m in zip(part, flags) if not m])[2] for part, flags in _apart(s, p.main)), default=0.0))
+    out.least = float(np.quantile(beside, QUIET)) if beside else 0.0
+    return out
 
 
-def best_region(scores: np.ndarray) -> tuple[int, int, float]:
+def _apart(scores: list[float], main: list[bool]) -> Iterator[tuple[list[float], list[bool]]]:
+    """The scores before and after the main body; all of them if there is none."""
+    if True not in main:
+        yield scores, main
+    else:
+        a, b = main.index(True), len(main) - main[::-1].index(True)
+        yield scores[:a], main[:a]
+        yield scores[b:], main[b:]
+
+
+def best_region(scores: list[float]) -> tuple[int, int, float]:
     """Half-open range of the contiguous lines with the greatest sum; empty if no score is positive."""
     best, at, start, out = 0.0, 0.0, 0, (0, 0)
-    for i, s in enumerate(scores.tolist()):
+    for i, s in enumerate(scores):
         if at <= 0:
             at, start = 0.0, i
         at += s
@@ -250,149 +391,88 @@ def best_region(scores: np.ndarray) -> tuple[int, int, float]:
     return *out, best
 
 
-@lru_cache(maxsize=30_000)
-def phrase(text: str) -> str:
-    """A line as furniture is counted: digits folded; of a read-on line only what stands before the colon.
-    Long lines are prose and have none."""
-    if len(text) > 160:
-        return ""
-    t = " ".join(_DIGITS.sub("0", text).split()).lower()
-    head, colon, _ = t.partition(": ")
-    return head + ":" if colon and len(head) <= 20 and " " in head and "0" not in head else t
-
-
-def furniture(text: str, phrases: frozenset[str]) -> bool:
-    return phrase(text) in phrases or (len(text) <= 160 and bool(_BYLINE.match(text.strip())))
+def within(page: Page, weights: Weights, furniture: frozenset[str], tagged: bool) -> tuple[list[bool], list[str | None]]:
+    """Whether each line is in the best region, which must be better than a menu, and the furniture among the lines."""
+    s, said = weights.score(page, furniture, tagged)
+    a, b, best = best_region(s)
+    return [a <= i < b and best > weights.least for i in range(len(s))], said
 
 
-def _prose(t: str) -> bool:
-    t = t.strip()
-    return len(t) >= 25 and (t[-1] in ".!?。”\"»" or bool(re.search(r"[.!?] \S", t)) or len(t) >= 60)
+def main_lines(page: Page, weights: Weights, furniture: frozenset[str], tagged: bool) -> list[int]:
+    """Numbers of the lines of the best region without its furniture."""
+    return [no for no, x, f in zip(page.nos, *within(page, weights, furniture, tagged)) if x and f is None]
 
 
-def borders(pages: list[list[Line]], phrases: frozenset[str]) -> frozenset[str]:
-    """Furniture that labelled pages hold outside their main body (nearly) always: it ends a region."""
-    inside, seen = {}, {}
-    for p in pages:
-        for ln in p:
-            if (x := phrase(ln.text)) in phrases:
-                seen[x] = seen.get(x, 0) + 1
-                inside[x] = inside.get(x, 0) + ln.main
-    return frozenset(x for x, n in seen.items() if inside[x] * 20 <= n)
+_PARSED = "h long, nos array<int>, texts array<string>, linked array<int>, tags array<string>, blocks array<int>, main array<boolean>, title string, phrases array<string>"
 
 
-def openers(pages: list[list[Line]], walls: frozenset[str]) -> frozenset[str]:
-    """Walls that never stand right before a main body, and rarely before another wall: headings of side columns."""
-    before, seen, next_wall = set(), {}, {}
-    for p in pages:
-        for a, b in zip(p, p[1:]):
-            if (x := phrase(a.text)) in walls:
-                seen[x] = seen.get(x, 0) + 1
-                next_wall[x] = next_wall.get(x, 0) + (phrase(b.text) in walls)
-                if b.main:
-                    before.add(x)
-    return frozenset(x for x, n in seen.items() if n >= 3 and x not in before and next_wall[x] * 5 <= n)
-
-
-def main_lines(lines: list[Line], weights: Weights, phrases: frozenset[str], walls: frozenset[str], heads: frozenset[str], tagged: bool) -> list[int]:
-    """Numbers of the lines of the main body; none if the page has no region of prose."""
-    if not lines:
-        return []
-    s = weights.score(lines, tagged)
-    own = [furniture(ln.text, phrases) for ln in lines]
-    s = np.where(own, np.minimum(s, 0.0), s)  # furniture neither makes a region nor breaks one
-    s = np.where(own, np.maximum(s, -0.5), s)
-    said = [phrase(ln.text) for ln in lines]
-    s = np.where([x in walls for x in said], -WALL, s)
-    if tagged:
-        depth = 0
-        while len({ln.blocks[: depth + 1] for ln in lines}) == 1 and any(len(ln.blocks) > depth + 1 for ln in lines):
-            depth += 1
-        cut = [ln.blocks[: depth + 1] for ln in lines]
-        gain: dict[tuple[int, ...], float] = {}
-        for i in range(len(lines)):
-            gain.setdefault(cut[i], 0.0)
-        best, block = 0.0, None
-        for name in gain:
-            inside = [i for i in range(len(lines)) if cut[i] == name]
-            a, b, g = best_region(s[inside])
-            if g > best and any(_prose(lines[inside[i]].text) and not own[inside[i]] and not (lines[inside[i]].linked >= len(_WORD.findall(lines[inside[i]].text))) for i in range(a, b)):
-                best, block = g, name
-        if block is None:
-            return []
-        return [ln.no for i, ln in enumerate(lines) if cut[i] == block and not own[i]]
-    side = False
-    for i, ln in enumerate(lines):
-        x = said[i]
-        side = x in heads or (side and x not in walls and not (own[i] and x in phrases) and not _BYLINE.match(ln.text.strip()) and len(ln.text) < LONG)
-        if side and not own[i]:
-            s[i] -= ASIDE
-    a, b, _ = best_region(s)
-    if not any(_prose(lines[i].text) and not own[i] for i in range(a, b)):
-        return []
-    i = a
-    while i > 0 and own[i - 1]:
-        i -= 1
-    # The headline: the one short line before the body or before the furniture under it.
-    head = lines[i - 1].text.strip() if i > 0 else ""
-    if i > 0 and s[i - 1] > -3.0 and len(head) <= 100 and head[-1] not in ".!?:|" and _prose(lines[a].text):
-        a = i - 1
-    return [lines[i].no for i in range(a, b) if not own[i]]
+def _phrases(texts: list[str]) -> list[str]:
+    return sorted({p for p in map(phrase, texts) if p})
 
 
 def extract(pages: DataFrame, key: str, body: str, markup: str, clean: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     """``(key, line_no)`` of every line with visible text of the main body of each page.
 
     ``markup`` is a boolean column: whether ``body`` has tags.  ``clean`` holds texts known to be free of boilerplate.
-    Null and empty bodies, pages without prose and lines without visible text have no rows; rows repeated under one
-    key come out once (repeats are dropped among the line numbers, so no page is shuffled); without any labelled page all weights are zero and no page has a main body.
+    Null and empty bodies, pages without a main body and lines without visible text have no rows; rows repeated under one
+    key come out once (repeats are dropped among the line numbers, so no page is shuffled); without any labelled page no
+    page has a main body.
     """
-    rows = pages.select(F.col(key).alias("key"), F.col(body).alias("body"), F.col(markup).alias("markup")).filter("key is not null and body <> ''")
     kind = pages.schema[key].dataType.simpleString()
-    h = F.xxhash64("body").alias("h")
-    usable = F.col("markup") & (F.length("body") <= LABELLED_CHARS) & F.lower("body").rlike("<(article|main)[ >]")
-    bodies = scratch.put(rows.select(h, usable.alias("usable")).groupBy("h").agg(F.max("usable").alias("usable")))
-    n_pages = bodies.count()
-    last = bodies.filter("usable").orderBy("h").limit(LABELLED).agg(F.max("h")).first()[0]
-    # One body for each hash; without labelled pages ``last`` is null and nothing passes.
-    labelled = rows.select(h, "body", "markup").filter(F.col("h") <= F.lit(last)).filter(usable).groupBy("h").agg(F.min("body").alias("body")).orderBy("h").select("body").toPandas()
-    fitted = [html_lines(b) for b in labelled["body"]]
-
-    def phrases_of(only: frozenset[str] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out, of = [], []
-                for t, m, h in zip(b["body"], b["markup"], b["h"]):
-                    got = [x for x in sorted({phrase(x) for x in (line_texts(t) if m else t.split("\n"))}) if 0 < len(x) <= 120 and (only is None or x in only)]
-                    out += got
-                    of += [h] * len(got)
-                yield pd.DataFrame({"phrase": pd.Series(out, dtype="object"), "h": pd.Series(of, dtype="int64")})
-
-        return run
-
-    def count(texts: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-        """Number of distinct bodies that hold each phrase."""
-        return texts.select("body", "markup", h).mapInPandas(phrases_of(only), "phrase string, h long").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-
-    often = {r[0]: r[1] for r in count(rows).filter(F.col("n") >= max(3, int(SHARE * n_pages))).collect()}  # at most 1 / SHARE phrases for each line of a page
-    clean_texts = clean.filter(F.col(text) != "").select(F.col(text).alias("body"), F.lit(False).alias("markup"))
-    own = {r[0]: r[1] for r in count(clean_texts, frozenset(often)).collect()}
-    phrases = frozenset(x for x, n in often.items() if own.get(x, 0) * 20 <= n)
-    walls = borders(fitted, phrases)
-    heads = openers(fitted, walls)
-    for p in fitted:
-        for ln in p:
-            ln.main = ln.main and not furniture(ln.text, phrases)
-    held = scratch.spark.sparkContext.broadcast((fit(fitted, True), fit(fitted, False), phrases, walls, heads))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tagged, plain, phrases, walls, heads = held.value
+    rows = pages.select(F.col(key).alias("key"), F.col(body).alias("body"), F.coalesce(F.col(markup), F.lit(False)).alias("markup"), F.xxhash64(F.col(body)).alias("h")).filter("key is not null and body <> ''")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.to_pydict()
+            got = [html_page(t) if m else text_page(t) for t, m in zip(c["body"], c["markup"])]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "key": b.column("key"), "markup": b.column("markup"), "usable": pa.array([m and len(t) <= LABELLED_CHARS for t, m in zip(c["body"], c["markup"])]), "h": b.column("h"),
+                    "nos": pa.array([p.nos for p in got], pa.list_(pa.int32())), "texts": pa.array([p.texts for p in got], pa.list_(pa.string())), "linked": pa.array([p.linked for p in got], pa.list_(pa.int32())),
+                    "tags": pa.array([p.tags for p in got], pa.list_(pa.string())), "blocks": pa.array([p.blocks for p in got], pa.list_(pa.int32())), "main": pa.array([p.main for p in got], pa.list_(pa.bool_())),
+                    "title": pa.array([p.title for p in got], pa.string()), "phrases": pa.array([_phrases(p.texts) for p in got], pa.list_(pa.string())),
+                }
+            )
+
+    parsed = scratch.put(rows.mapInArrow(parse, f"key {kind}, markup boolean, usable boolean, {_PARSED}"))
+
+    def phrases_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"h": b.column("h"), "phrases": pa.array([_phrases([x for x in map(str.strip, t.split("\n")) if x]) for t in b.column("text").to_pylist()], pa.list_(pa.string()))})
+
+    clean_rows = clean.filter(F.col(text) != "").select(F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).mapInArrow(phrases_of, "h long, phrases array<string>")
+    own = F.lit(0).cast("byte")
+    lines = parsed.select("h", "phrases", own.alias("clean")).unionByName(clean_rows.select("h", "phrases", F.lit(1).cast("byte").alias("clean")))
+    # One row per phrase and distinct body; a phrase travels as a hash until the few that count are known.
+    each = lines.select("h", "clean", F.explode("phrases").alias("phrase")).groupBy(F.xxhash64("phrase").alias("p"), "h", "clean").agg(F.first("phrase").alias("phrase"))
+    counts = scratch.put(each.groupBy("p").agg(F.first("phrase").alias("phrase"), F.count_if(F.col("clean") == 0).alias("n"), F.count_if(F.col("clean") == 1).alias("n_clean")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # At most 1 / SHARE phrases of at most PHRASE_CHARS characters.
+    furniture = frozenset(r[0] for r in counts.filter((F.col("n") >= 3 + SHARE * total) & (F.col("n_clean") * CLEAN <= F.col("n"))).select("phrase").collect())
+    cols = ["nos", "texts", "linked", "tags", "blocks", "main", "title"]
+
+    def sample(rows: DataFrame) -> list[Page]:
+        """At most LABELLED pages, one for each hash; the greatest of those hashes is null, and nothing passes, if there are none."""
+        last = rows.select("h").distinct().orderBy("h").limit(LABELLED).agg(F.max("h")).first()[0]
+        found = rows.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first(F.struct(*cols)).alias("s")).orderBy("h").select("s.*")
+        return [Page(**r) for r in found.toArrow().to_pylist()]
+
+    short = parsed.filter("usable")
+    marked = F.exists("main", lambda x: x)
+    labelled = sample(short.filter(marked))
+    with_tags = fit(labelled, furniture, True)
+    others = [replace(p, main=within(p, with_tags, furniture, True)[0]) for p in (sample(short.filter(~marked)) if labelled else [])]
+    held = scratch.spark.sparkContext.broadcast((with_tags, fit(labelled + others, furniture, False), furniture))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagged, plain, furniture = held.value
         for b in batches:
+            c = b.to_pydict()
             keys, nos = [], []
-            for k, t, m in zip(b["key"], b["body"], b["markup"]):
-                got = main_lines(html_lines(t), tagged, phrases, walls, heads, True) if m else main_lines(text_lines(t), plain, phrases, walls, heads, False)
+            for i, (k, m) in enumerate(zip(c["key"], c["markup"])):
+                got = main_lines(Page(c["nos"][i], c["texts"][i], c["linked"][i], c["tags"][i], c["blocks"][i], [], c["title"][i]), tagged if m else plain, furniture, m)
                 keys += [k] * len(got)
                 nos += got
-            yield pd.DataFrame({"key": pd.Series(keys, dtype=b["key"].dtype), "line_no": pd.Series(nos, dtype="int64")})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, b.schema.field("key").type), "line_no": pa.array(nos, pa.int64())})
 
-    return rows.mapInPandas(run, f"key {kind}, line_no long").distinct()
+    return parsed.select("key", "markup", "nos", "texts", "linked", "tags", "blocks", "title").mapInArrow(scan, f"key {kind}, line_no long").distinct()

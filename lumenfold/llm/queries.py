@@ -82,7 +82,7 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    fetched = table(spark, d, "fetched_document").filter("http_status = 200 and fetch_id is not null")
+    fetched = table(spark, d, "fetched_document").filter("fetch_id is not null")
     versions = table(spark, d, "document_version")
     key = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string")).alias("key")
     pages = fetched.select(key("f", "fetch_id"), "body", F.coalesce(F.col("content_type").startswith("text/html"), F.col("body").rlike("(?i)<html")).alias("markup"))

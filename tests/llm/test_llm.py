@@ -389,17 +389,56 @@ def test_copies_of_a_page_do_not_make_its_lines_furniture(spark, scratch):
 
 
 def test_scores_are_features_times_weights():
-    lines = B.html_lines(page("article", 7)) + B.html_lines("<ul><li><a>x</a></li><li><a>y</a></li><li>three words here.</li></ul>")
-    w = B.fit([B.html_lines(page("article", i)) for i in range(5)], True)
-    words, dense = B.features(lines, True)
-    want = dense @ w.dense + np.array([w.words[list(x)].sum() / math.sqrt(max(1, len(x))) for x in words]) + w.bias
-    assert np.allclose(w.score(lines, True), want)
+    pages = [B.html_page(page("article", i)) for i in range(5)]
+    said = frozenset(["share this page", "home"])
+    for tagged in (True, False):
+        w = B.fit(pages, said, tagged)
+        for p in (B.html_page(page("article", 7)), B.html_page("<title>x y</title><ul><li><a>x</a></li><li><a>y</a></li><li>three words here.</li></ul>"), B.text_page("one\n\n two three")):
+            want = [sum(w.w[x] for x in words) / math.sqrt(max(1, len(words))) + sum(w.w[B._slot(x)] for x in named) for words, named in B.features(p, said, tagged)]
+            assert np.allclose(w.score(p, said, tagged)[0], want)
+
+
+def test_phrases_fold_digits_names_and_marks():
+    assert B.phrase("By Some Body, 3 May 2020") == B.phrase("By Any Other Name, 21 June 2019") == "by X, 0 X 0"
+    assert B.phrase("## Tidal Index") == B.phrase("2.1 Tidal Index") == B.phrase("Tidal Margin") == "tidal X"
+    assert B.phrase("x" * 161) == "" and B.phrase("…") == "…"
+
+
+def test_lines_of_a_page_keep_their_numbers():
+    p = B.html_page("<html><head>\n<title>a &amp; b</title></head><body><p>one\ntwo <b>three</b></p>\n\n<script>no\nno</script><div style='display: none'>no<div>no</div></div>\n<a href=x>four</a> <!-- no\nno --> five</body>")
+    assert list(zip(p.nos, p.texts, p.linked)) == [(2, "one", 0), (3, "two three", 0), (7, "four", 1), (8, "five", 0)] and p.title == "a & b"
+
+
+def index_page(i):
+    teasers = "\n".join(f'<p><a href="/t{k}">Teaser {chr(97 + i)}{chr(97 + k)} word</a></p>\n<p>It goes on in a few words here.</p>' for k in range(8))
+    return page("div", i).split("<div>\n<h1>")[0] + "<div><h3>Most read</h3>\n" + teasers + '</div>\n<footer><a href="/c">Imprint</a>\n</footer></body></html>'
+
+
+def test_pages_that_only_list_others_have_no_main_body(spark, scratch):
+    long = lambda i: page("article", i).replace("<p><a href", "\n".join(f"<p>Teaser {chr(97 + i)} it goes on in a few words {k} here.</p>" for k in range(6)) + "<p><a href")
+    rows = [(f"l{i}", long(i), True) for i in range(30)] + [(f"x{i}", index_page(i), True) for i in range(5)] + [(f"s{i}", "\n".join(B.html_page(page("div", i)).texts), False) for i in range(5)]
+    df = spark.createDataFrame(rows, "key string, body string, markup boolean")
+    got = defaultdict(list)
+    for r in B.extract(df, "key", "body", "markup", spark.createDataFrame([], "text string"), "text", scratch).collect():
+        got[r.key].append(r.line_no)
+    assert not {f"x{i}" for i in range(5)} & set(got)
+    for i in range(5):
+        texts = B.html_page(page("div", i)).texts
+        assert [texts[k - 1][:5] for k in sorted(got[f"s{i}"])] == ["Headl", "The f", "Anoth"]
+
+
+def test_no_labelled_pages_and_no_pages(spark, scratch):
+    none = spark.createDataFrame([], "key string, body string, markup boolean")
+    clean = spark.createDataFrame([(None,), ("",)], "text string")
+    assert B.extract(none, "key", "body", "markup", clean, "text", scratch).count() == 0
+    some = spark.createDataFrame([("a", page("div", 1), True), ("b", "plain words.", None), (None, "x", False)], "key string, body string, markup boolean")
+    assert B.extract(some, "key", "body", "markup", clean, "text", scratch).count() == 0
 
 
 def test_region_is_the_maximum_scoring_subsequence():
     rng = random.Random(9)
     for _ in range(50):
         s = np.array([rng.uniform(-3, 3) for _ in range(rng.randrange(0, 12))])
-        a, b, best = B.best_region(s)
+        a, b, best = B.best_region(s.tolist())
         brute = max([0.0, *(s[i:j].sum() for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
         assert math.isclose(best, brute, abs_tol=1e-9) and math.isclose(s[a:b].sum(), brute, abs_tol=1e-9)
