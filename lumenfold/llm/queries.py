@@ -119,6 +119,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY model_id, chunk_id ORDER BY simi
 """
 ORACLES = {
     "p6_found": _P6 + "SELECT DISTINCT model_id, least(chunk_id, neighbour) AS chunk_a, greatest(chunk_id, neighbour) AS chunk_b FROM k WHERE rank <= 10",
+    "p6_neighbours": _P6.replace("ORDER BY similarity DESC", "ORDER BY round(similarity, 12) DESC").replace(" WHERE similarity >= 0.92", "") + "SELECT model_id, chunk_id, neighbour, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM k WHERE rank <= 10",
     "p2_found": """WITH RECURSIVE e AS (SELECT from_concept AS a, to_concept AS b FROM edge WHERE relation = 'user_linked' UNION SELECT to_concept, from_concept FROM edge WHERE relation = 'user_linked'),
  r AS (SELECT a AS concept_id, a AS o FROM e WHERE a IS NOT NULL UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.concept_id WHERE e.b IS NOT NULL)
  SELECT concept_id, min(o) AS group_id FROM r GROUP BY 1""",

@@ -128,6 +128,38 @@ def test_neighbours_reach_the_recall_of_brute_force(spark, scratch):
     assert got <= want and len(got) >= 0.95 * len(want) > 100
 
 
+def test_recall_of_pairs_right_at_the_threshold(spark, scratch):
+    rng = np.random.default_rng(8)
+    a, e = rng.normal(size=(3000, 64)), rng.normal(size=(3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e -= (e * a).sum(1, keepdims=True) * a
+    b = 0.9201 * a + math.sqrt(1 - 0.9201**2) * e / np.linalg.norm(e, axis=1, keepdims=True)
+    rows = [("m", f"{side}{i:04}", v.tolist(), 64, None, "") for side, x in (("a", a), ("b", b)) for i, v in enumerate(x.astype("float32"))]
+    got = {(r.key, r.neighbour) for r in N.nearest(spark.createDataFrame(rows, VECTORS), "model", "key", "v", "dim", "at", scratch).collect()}
+    assert sum((f"a{i:04}", f"b{i:04}") in got for i in range(3000)) >= 0.95 * 3000
+
+
+def test_substrings_grow_with_the_number_of_vectors():
+    few, many = N.shape(20_000, 0.92), N.shape(100_000_000, 0.92)
+    assert few[0] == 15 and many[0] == 27 and few[1] < many[1] < few[1] * 10
+
+
+def test_a_cloud_of_near_copies_is_compared_block_by_block(spark, scratch, monkeypatch):
+    monkeypatch.setattr(N, "DENSE", 12)
+    monkeypatch.setattr(N, "ROWS", 16)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=64) + rng.normal(size=(90, 64)) * 0.05
+    x = np.vstack([x, rng.normal(size=(40, 64))]).astype("float32")
+    u = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 12)
+    want = {f"k{i:03}": [f"k{j:03}" for j in sorted(set(range(130)) - {i}, key=lambda j: (-sim[i, j], j)) if sim[i, j] >= 0.92][:10] for i in range(130)}
+    got = defaultdict(list)
+    rows = [("m", f"k{i:03}", v.tolist(), 64, None, "") for i, v in enumerate(x)]
+    for r in N.nearest(spark.createDataFrame(rows, VECTORS), "model", "key", "v", "dim", "at", scratch).orderBy("rank").collect():
+        got[r.key].append(r.neighbour)
+    assert got == {k: v for k, v in want.items() if v} and len(got) == 90
+
+
 def test_neighbours_of_copies_unusable_and_small_vectors(spark, scratch):
     a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     rows = [("m", f"c{i:02}", a, 3, None, "") for i in range(15)] + [("m", "c00", a, 3, None, ""), ("m", "other", b, 3, None, ""), ("x", "c00", a, 3, None, ""), ("m", "n1", None, 3, None, ""), ("m", "n2", [0.0] * 3, 3, None, "")]
