@@ -339,10 +339,10 @@ def pieces_hold(text):
     at, last = 0, None
     for a, b, path in out:
         assert 0 <= a < b <= len(text) and b - a <= K.LIMIT
-        if last and a < last[1]:
-            assert path == last[2] and a == max(last[0], last[1] - K.OVERLAP)
+        if last and path == last[2]:
+            assert a == max(last[0], last[1] - K.OVERLAP)
         else:
-            assert not text[at:a].strip()
+            assert a >= at and not text[at:a].strip()
         at, last = b, (a, b, path)
     assert not text[at:].strip()
     return out
@@ -357,7 +357,18 @@ def test_pieces_cover_the_text_within_the_limit(seed):
         words = " ".join("".join(rng.choice("abcdé漢") for _ in range(rng.randrange(1, 12))) + rng.choice(["", "", ".", "!", "。"]) for _ in range(rng.randrange(1, 400)))
         parts.append({0: "# " + words[:30], 1: "2.1 Title Words", 2: words, 3: words.replace(" ", ""), 4: "- a\r\n- b\r\n" + words, 5: " \t\r"}[kind])
         parts.append(rng.choice(["\n\n", "\n", "\r\n\r\n", "\n" + " " * 1300 + "\n\n"]))
-    pieces_hold("".join(parts))
+    text = "".join(parts)
+    out = pieces_hold(text)
+    assert K.divided(text, out) == [x for x in K.paragraphs(text) if x[1] - x[0] > K.LIMIT]
+
+
+def test_smallest_neighbours_are_merged_first():
+    text = "\n\n".join(c * n for c, n in zip("abcd", (700, 300, 200, 900)))
+    assert [(a, b) for a, b, _ in pieces_hold(text)] == [(0, 700), (580, 1204), (1084, 2106)]
+    gap = "# H\n\n" + "word " * 300 + "\n\n" + " " * 700 + "\n\n" + "more " * 100
+    out = pieces_hold(gap)
+    assert len({p for _, _, p in out}) == 1 and all(b[0] == a[1] - K.OVERLAP for a, b in zip(out, out[1:]))
+    assert [b - a for a, b, _ in pieces_hold("x" * 3000)] == [1200, 1200, 840]
 
 
 def test_sections_paths_and_merging():
