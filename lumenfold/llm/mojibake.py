@@ -2,8 +2,11 @@
 
 Stage 1 maps characters back to the bytes of a legacy encoding and runs the byte structure of UTF-8 over them: a regular
 expression (the automaton) finds maximal spans of well-formed multibyte sequences, and only those spans are decoded.
-All encodings are tried until nothing changes, so repeated damage is undone layer by layer.  A span that could also be
-ordinary text (one sequence of letters and quotation marks that people do write) counts only beside a certain one.
+A span of two sequences or more, or of four bytes, that does not read as a word does not happen by chance and needs no
+knowledge of any language.  A
+lone sequence may be ordinary text (a letter and a quotation mark): it counts if its character is found in many more
+texts of the corpus than the sequence is, or if the rest of its text was misread the same way, and never if a word would
+mix scripts.  This is repeated until nothing changes, so damage of any number of layers is undone.
 
 Stage 2 covers text of one single-byte encoding read as another, which has no byte structure: words are mapped the other
 way, and a word is damaged if its mapped form is attested in many more texts than the word itself.  Where damage is
@@ -19,10 +22,13 @@ found and marked as not recovered.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,18 +46,6 @@ SINGLE = (
 ATTESTED, RATIO = 3, 5
 #: A text is judged as a whole from so many mapped words on.
 WHOLE = 3
-LAYERS = 5
-
-#: Letters and marks of ordinary text in the languages at hand.
-_LETTERS = "àâäçéèêëîïôöùûüÿœæñáíóúãõßąćęłńśźżìò"
-_ORDINARY = frozenset(_LETTERS + _LETTERS.upper() + "абвгдежзийклмнопрстуфхцчшщъыьэюяё" + "абвгдежзийклмнопрстуфхцчшщъыьэюяё".upper() + " «»“”„‘’‚…–—°·•¿¡§№›‹")
-#: Blocks that decoded text may come from.
-_PLAUSIBLE = re.compile(
-    "[\u0080-ſƒȘ-țˆ-˝Α-ωЀ-џҐґ‐-›⁄₠-₿℀-⅏←-⇿∀-⋿⌀-⏿─-◿☀-➿　-ヿ㐀-鿿가-힯ﬀ-ﬆ﻿＀-￯\U0001f300-\U0001faff]+"
-)
-#: What every certain span holds: an odd character beside another above ASCII, a typical lead, or an inner capital.
-_EASY = "".join(map(re.escape, sorted(_ORDINARY))) + "\u3000-\u30ff\u3400-\u9fff\uff00-\uffef"
-_SUSPECT = re.compile(f"[^\\x00-\\x7f{_EASY}][^\\x00-\\x7f]|[^\\x00-\\x7f][^\\x00-\\x7f{_EASY}]|[ÃÂâ][^\\x00-\\x7f]|[a-zß-öø-ÿ\u0100-\u017fа-яё][À-ÖØ-Þ\u0100-\u017fЀ-Я][^\\x00-\\x7f]")
 _LONE = re.compile(r"(?<![^\s(«“])Ã (?=[^\W\d_])")
 _LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]")
 
@@ -91,20 +85,43 @@ def _automaton(codec: str) -> tuple[re.Pattern[str], dict[int, int]]:
     return re.compile(f"(?:{two}|{three}|{four})+"), {ord(c): b for c, b in by.items()}
 
 
+@lru_cache(maxsize=100_000)
 def _script(c: str) -> str:
-    if c < "\u0250" or "\ufb00" <= c <= "\ufb06":
-        return "latin" if c.isalpha() and c > "\x7f" else "ascii" if c.isalpha() else ""
-    if "\u0400" <= c <= "\u052f":
-        return "cyrillic"
-    return "east" if "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" else ""
+    """Script of a letter or mark, as the first word of its name; empty for anything else and for what all scripts share."""
+    name = unicodedata.name(c, "").split(" ")[0] if unicodedata.category(c)[0] in "LM" else ""
+    return "" if name in ("COMBINING", "VARIATION", "MODIFIER", "FEMININE", "MASCULINE", "MICRO", "FULLWIDTH", "HALFWIDTH") else name
 
 
-def _clash(outside: str, inside: str) -> bool:
-    """Whether two neighbouring letters cannot belong to one word."""
-    a, b = _script(outside), _script(inside)
-    if not a or not b or a == b or {a, b} == {"ascii", "latin"}:
-        return False
-    return {a, b} != {"ascii", "east"}
+#: Scripts written beside others without a space.
+_EAST = frozenset(["CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HANGUL", "THAI"])
+
+
+def _mixed(word: str) -> bool:
+    """Whether letters of two alphabets touch."""
+    kinds = [_script(c) for c in word]
+    return any(a and b and a != b and a not in _EAST and b not in _EAST for a, b in zip(kinds, kinds[1:]))
+
+
+def _wordlike(raw: str) -> bool:
+    """Whether characters could be a piece of a word: letters of one script, without a capital after a small one."""
+    return raw.isalpha() and len({_script(c) for c in raw}) == 1 and not any(a.islower() and b.isupper() for a, b in zip(raw, raw[1:]))
+
+
+def _kind(c: str) -> str:
+    """Script of a character; empty for what all scripts share."""
+    if c < "\u0300" or "\u2000" <= c <= "\u218f" or "\uff00" <= c <= "\uffef":
+        return _script(c)
+    name = unicodedata.name(c, "").split(" ")[0]
+    return "CJK" if "\u3000" <= c <= "\u303f" or (name in _EAST and name != "HANGUL") else "" if name == "COMBINING" else name
+
+
+def _one_kind(word: str) -> bool:
+    """Whether the characters of a short span are of one script; long spans do not happen by chance."""
+    return len(word) > 3 or len({k for k in map(_kind, word) if k}) < 2
+
+
+#: Signs that stand inside words: apostrophes, hyphens and dashes.
+_JOINS = frozenset(["Pd", "Pf", "Pi"])
 
 
 @lru_cache(maxsize=None)
@@ -139,51 +156,93 @@ def _japanese(text: str) -> tuple[str, int, str]:
     return text, 0, ""
 
 
-def _spans(text: str, codec: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, decoded, certain) of the spans whose decoded text is plausible."""
-    found, table = _automaton(codec)
+@dataclass(frozen=True)
+class Stats:
+    """Number of distinct texts that hold a character, and a lone sequence."""
+
+    chars: dict[str, int] = field(default_factory=dict)
+    raw: dict[str, int] = field(default_factory=dict)
+
+
+@lru_cache(maxsize=50_000)
+def _spans(run: str) -> tuple[tuple[str, tuple[tuple[int, int, str, bool], ...]], ...]:
+    """Per encoding the well-formed spans of a run of characters above ASCII: start, end, decoded text, whether certain."""
     out = []
-    for m in found.finditer(text):
-        raw = m.group()
-        new = bytes(table[ord(c)] for c in raw).decode("utf-8")
-        if not _PLAUSIBLE.fullmatch(new):
-            continue
-        before = text[m.start() - 1] if m.start() else " "
-        after = text[m.end()] if m.end() < len(text) else " "
-        if _clash(before, new[0]) or _clash(after, new[-1]):
-            continue
-        odd = any(c not in _ORDINARY for c in raw)
-        if raw[0] in "ÃÂâ" and codec != "mac_roman":
-            odd = odd or not before.isupper()
-            if before.isupper() and len(new) == 1 and all(c in " »”’…—–“" for c in raw[1:]):
-                odd = False
-        elif len(new) == 1 and len(raw) == 2 and not (raw[0] not in _ORDINARY):
-            odd = (odd and not raw[1].isalpha() and raw[0] in "ÐÑÅÄ") or (raw[0].isupper() and before.islower())
-        if len(new) == 1 and raw.isalpha() and _script(new) == "east" or "\uac00" <= new[0] <= "\ud7af" and raw.isalpha():
-            odd = False  # letters only: a word of another single-byte encoding, see stage 2
-        out.append((m.start(), m.end(), new, odd))
+    for codec in READ_AS:
+        found, table = _automaton(codec)
+        spans = []
+        for m in found.finditer(run):
+            new = bytes(table[ord(c)] for c in m.group()).decode("utf-8")
+            around = run[max(0, m.start() - 1) : m.start()] + new + run[m.end() : m.end() + 1]
+            if not any(unicodedata.category(c) in ("Cn", "Co", "Cs") for c in new):
+                spans.append((m.start(), m.end(), new, (len(new) > 1 or new > "\uffff") and not _wordlike(m.group()) and not _mixed(around) and _one_kind(new)))
+        if spans:
+            out.append((codec, tuple(spans)))
+    return tuple(out)
+
+
+_HIGH = re.compile(r"[^\x00-\x7f]{2,}")
+
+
+def _found(text: str) -> dict[str, list[tuple[int, int, str, bool]]]:
+    out: dict[str, list[tuple[int, int, str, bool]]] = {}
+    for m in _HIGH.finditer(text):
+        at = m.start()
+        for codec, spans in _spans(m.group()):
+            out.setdefault(codec, []).extend((at + a, at + b, new, sure) for a, b, new, sure in spans)
     return out
 
 
-def repair(text: str) -> tuple[str, int, str]:
+def _fits(text: str, a: int, b: int, new: str) -> bool:
+    """Whether the one decoded character may stand where its sequence does."""
+    raw, before, after = text[a:b], text[a - 1 : a], text[b : b + 1]
+    script = _script(new)
+    if not script:
+        inside = bool(before and after and _script(before) and _script(after))
+        touched = bool(_script(raw[0])) and _script(raw[0]) in (_script(c) for c in (before, after) if c)
+        goes_on = len(raw) == 2 and before.isalpha() and not (before.islower() and raw[0].isupper())
+        word = touched and (goes_on or raw.isalpha() and _wordlike(before * before.isalpha() + raw + after * after.isalpha()))
+        return not word and unicodedata.category(new) != "Cc" and not (inside and unicodedata.category(new) not in _JOINS and new != "'")
+    if any(x and x != script for x in (_script(c) for c in (before, after) if c)):
+        return False
+    # Capitals stay among capitals.
+    return not (new.islower() and raw[0].isupper() and a > 1 and text[a - 2 : a].isupper() and text[a - 2 : a].isalpha())
+
+
+def _lone(text: str, spans: list[tuple[int, int, str, bool]], stats: Stats, evident: bool) -> list[tuple[int, int, str]]:
+    """The lone sequences of one encoding that are damage."""
+    fits = [(a, b, new) for a, b, new, sure in spans if not sure and len(new) == 1 and _fits(text, a, b, new)]
+    count = lambda x: (stats.chars.get(x[2], 0), stats.raw.get(text[x[0] : x[1]], 0))
+    odd = {text[a:b] for a, b, new in fits if stats.chars.get(new, 0) >= ATTESTED and not text[a:b].isalpha()}
+    long = {text[a:b] for a, b, new in fits if b - a > 2 and _script(new) and not text[a:b].isalpha()}
+    evident = evident or len(long) > 1
+    out = []
+    for x in fits:
+        n, r = count(x)
+        raw = text[x[0] : x[1]]
+        if (n >= ATTESTED and n >= RATIO * r) or (evident and not (r >= ATTESTED and r > n)) or (len(odd) > 1 and raw in odd):
+            out.append(x)
+    return out
+
+
+def repair(text: str, stats: Stats = Stats()) -> tuple[str, int, str]:
     """Text with its spans decoded, their number, and the encodings they had been read as (outermost first)."""
-    if not _SUSPECT.search(text) and not any(_double_bytes(c).search(text) for c in ("shift_jis", "euc_jp")):
-        text, n = _LONE.subn("à ", text)
-        return text, n, ""
-    text, n, kana = _japanese(text)
-    used = [kana] if kana else []
-    for _ in range(LAYERS):
-        best: tuple[int, str, list] | None = None
-        for codec in READ_AS:
-            spans = _spans(text, codec)
-            if any(s[3] for s in spans):
-                gain = sum(s[1] - s[0] for s in spans)
-                if best is None or gain > best[0]:
-                    best = (gain, codec, spans)
+    n, used = 0, []
+    if any(_double_bytes(c).search(text) for c in ("shift_jis", "euc_jp")):
+        text, n, kana = _japanese(text)
+        used = [kana] if kana else []
+    while True:  # each turn shortens the text
+        best: tuple[tuple[bool, int], str, list[tuple[int, int, str]]] | None = None
+        for codec, spans in _found(text).items():
+            sure = [(a, b, new) for a, b, new, x in spans if x]
+            take = sure + _lone(text, spans, stats, bool(sure) or codec in used)
+            rank = (bool(sure), sum(b - a for a, b, _ in sure or take))
+            if take and (best is None or rank > best[0]):
+                best = (rank, codec, sorted(take))
         if best is None:
             break
         parts, at = [], 0
-        for a, b, new, _ in best[2]:
+        for a, b, new in best[2]:
             parts += [text[at:a], new]
             at = b
         text = "".join([*parts, text[at:]])
@@ -194,6 +253,14 @@ def repair(text: str) -> tuple[str, int, str]:
     return lone[0], n + lone[1], ",".join(used)
 
 
+def _seen(text: str) -> list[str]:
+    """Characters above ASCII and lone sequences of a text, each once; sequences have two characters or more."""
+    out = {c for c in text if c > "\x7f"}
+    for spans in _found(text).values():
+        out.update(text[a:b] for a, b, new, sure in spans if not sure and len(new) == 1)
+    return sorted(out)
+
+
 def _remap(word: str, read_as: str, written_in: str) -> str | None:
     table = _automaton(read_as)[1]
     out = []
@@ -212,10 +279,14 @@ _RUN = re.compile("[ß-öø-ÿ\u0101-\u024fÀ-ÖØ-Þ]{3}")
 
 def _implausible(word: str) -> bool:
     """Whether a word mixes scripts, has a capital after a small letter, a sign between letters, or a row of accented letters."""
-    core = word.strip("".join(_ORDINARY - set(filter(str.isalpha, _ORDINARY))) + "0123456789")
-    kinds = {"latin" if k == "ascii" else k or c for c in core if c.isalpha() for k in [_script(c)]}
+    core = word.strip("0123456789")
+    while core and not core[0].isalnum():
+        core = core[1:]
+    while core and not core[-1].isalnum():
+        core = core[:-1]
+    kinds = {_script(c) for c in core if c.isalpha()} - _EAST
     inner = any(a.islower() and b.isupper() and not (a.isascii() and b.isascii()) for a, b in zip(core, core[1:]))
-    return len(kinds - {"east"}) > 1 or inner or any(not c.isalnum() for c in core) or bool(_RUN.search(core))
+    return len(kinds) > 1 or inner or any(not c.isalnum() for c in core) or bool(_RUN.search(core))
 
 
 #: Words of three characters or more that hold one above ASCII; no-break spaces may stand for letters.
@@ -231,9 +302,19 @@ def recover(df: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
 
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"h": b.column("h"), "what": pa.array([_seen(t) for t in b.column("text").to_pylist()], pa.list_(pa.string()))})
+
+    once = rows.select(F.xxhash64("text").alias("h"), "text").mapInArrow(seen, "h long, what array<string>").groupBy("h").agg(F.first("what").alias("what"))
+    # Bounded by Unicode, not by the corpus: one row per character and per well-formed sequence of two to four bytes.
+    known_what = once.select(F.explode("what").alias("what")).groupBy("what").agg(F.count(F.lit(1)).alias("n")).collect()
+    held = scratch.spark.sparkContext.broadcast(Stats({r[0]: r[1] for r in known_what if len(r[0]) == 1}, {r[0]: r[1] for r in known_what if len(r[0]) > 1}))
+
     def stage1(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stats = held.value
         for b in batches:
-            got = [repair(t) for t in b["text"]]
+            got = [repair(t, stats) for t in b["text"]]
             yield pd.DataFrame({"key": b["key"], "text": [g[0] for g in got], "n_spans": [g[1] for g in got], "codecs": [g[2] for g in got], "lost": [bool(_LOST.search(g[0])) for g in got]})
 
     kind = df.schema[key].dataType.simpleString()

@@ -309,7 +309,33 @@ def test_kana_with_ascii_trail_bytes_comes_back_between_ascii_words():
 def test_double_damage_and_damage_in_places():
     twice = "é–".encode().decode("cp1252").encode().decode("cp1252")
     assert J.repair(f"a {twice} b")[0] == "a é– b"
-    assert J.repair("à côté, voilÃ  une clÃ©")[0].endswith("une clé")
+    stats = J.Stats({"à": 9, "é": 9}, {"Ã©": 1})
+    assert J.repair("à côté, voilÃ\u00a0 une clÃ©", stats)[0] == "à côté, voilà une clé"
+    layers = "Déjà vu à l’été"
+    for _ in range(7):
+        layers = "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in layers.encode())
+    assert J.repair(layers)[0] == "Déjà vu à l’été"
+
+
+@pytest.mark.parametrize("text", ["שלום עולם", "مرحبا بالعالم", "สวัสดีชาวโลก", "नमस्ते दुनिया", "Xin chào thế giới", "안녕하세요 세계", "γειά σου Κόσμε", "გამარჯობა", "smile 😀 here"])
+def test_any_script_comes_back_from_latin_1(text):
+    assert J.repair(text.encode().decode("latin-1"))[0] == text
+    assert J.repair(text) == (text, 0, "")
+
+
+@pytest.mark.parametrize("text", ["clé\u00a0» et été\u00a0»", "СССР… её Её сёстры СЁСТРЫ", "Він і її дім", "ÉTÉ» CAFÉ” ÂGÉ…", "está»—dijo", "MANHû", "┌─┐ ╔═╗"])
+def test_lone_sequences_of_ordinary_text_stay(text):
+    # As many texts hold the characters as usual, none the ones that decoding would give.
+    stats = J.Stats({c: 500 for c in "éêàèçôûîïëñáíóúöäüßÉёЁії’“”«»…—Ã"}, {})
+    assert J.repair(text, stats) == (text, 0, "")
+
+
+def test_lone_sequences_need_attested_characters():
+    stats = J.Stats({"é": 500, "’": 300, "ê": 60}, {"Ã©": 40, "â€™": 30, "Ãª": 50, "É»": 2})
+    assert J.repair("une clÃ© perdue", stats)[0] == "une clé perdue"
+    assert J.repair("itâ€™s", stats)[0] == "it’s"
+    assert J.repair("une forÃªt", stats) == ("une forÃªt", 0, "")  # half of the texts with the letter are damaged: one place is not enough
+    assert J.repair("une forÃªt et une clÃ©", stats)[0] == "une forêt et une clé"
 
 
 def test_recover_finds_single_byte_confusions_by_attested_words(spark, scratch):
