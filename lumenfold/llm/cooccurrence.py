@@ -3,8 +3,8 @@
 1.  Items get dense ids ordered by frequency, rarest first.  2.  Baskets are deduplicated id arrays; identical arrays
 are collapsed to one with a weight.  3.  Each distinct basket sends, for each item, the array of its more frequent
 partners to the task of that item: a pair is shuffled as one id, and a frequent item has few partners, so no item's
-task outgrows the others.  4.  Weights are summed per pair inside that partitioning, without another shuffle, and
-scored by lift and conviction.
+task outgrows the others.  4.  Weights are summed per pair inside that partitioning, without another shuffle; pairs of the few items
+that hold a large share of all places are summed in many tasks.  Pairs are scored by lift and conviction.
 
 With a minimum of shared baskets and a minimum lift, items in more than baskets / lift baskets cannot take part in any
 pair and are left out before pairs are made; this is exact, as shared <= the smaller count.
@@ -19,6 +19,8 @@ from lumenfold.session import Scratch
 
 #: A dictionary of at most so many items is broadcast; larger ones are joined by shuffle.
 BROADCAST_ITEMS = 100_000
+#: Items that hold more than 1 / HOT of all places in baskets are summed in many tasks.
+HOT = 500
 #: Baskets of more rows than this are kept as blocks of about this many items.
 BLOCK = 4_096
 
@@ -71,7 +73,7 @@ def cooccurrence(df: DataFrame, basket: str, item: str, scratch: Scratch, min_sh
     counts = scratch.put(sets.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")))
     keep = F.col("codes")
     if min_lift:
-        # At most lift * (mean basket size) items lie above this bound.
+        # Counts add up to baskets * (mean basket size), so at most lift * (mean basket size) items lie above this bound.
         often = [r[0] for r in counts.filter(F.col("n") * F.lit(min_lift) > n).select("code").collect()]
         if often:
             keep = F.array_except("codes", F.array(*[F.lit(x).cast("long") for x in often]))
@@ -84,7 +86,11 @@ def cooccurrence(df: DataFrame, basket: str, item: str, scratch: Scratch, min_sh
         other = blocks.select("basket", F.col("codes").alias("codes2"))
         wide = blocks.join(other, "basket").select("codes2", F.explode("codes").alias("a")).select("a", F.filter("codes2", lambda x: x > F.col("a")).alias("more"), F.lit(1).cast("long").alias("w")).filter("size(more) > 0")
         sends = sends.unionByName(wide)
-    pairs = sends.repartition("a").select("a", F.explode("more").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("n_ab")).filter(F.col("n_ab") >= min_shared)
+    # Items in more than this share of all (basket, item) places, at most HOT of them, send to many tasks instead of one.
+    places = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("n") * HOT > places).select(F.col("code").alias("a")))
+    summed = lambda rows: rows.select("a", F.explode("more").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("n_ab"))
+    pairs = summed(sends.join(hot, "a", "left_anti").repartition("a")).unionByName(summed(sends.join(hot, "a", "left_semi"))).filter(F.col("n_ab") >= min_shared)
 
     named = counts.join(codes, "code").select("code", "item", "n")
     side = lambda c: named.select(F.col("code").alias(c), F.col("item").alias("item_" + c), F.col("n").alias("n_" + c))
