@@ -57,8 +57,10 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").filter("text <> ''").select("doc_id", "source", F.sha2("text", 256).alias("key"), n_tokens(F.col("text")).alias("n_tokens"))
-    return mixture(docs, table(spark, d, "mix_target"), Scratch(spark, "mix"))
+    scratch = Scratch(spark, "mix")
+    # Written first, so that no later filter counts the tokens of a text a second time.
+    docs = scratch.put(table(spark, d, "documents").filter("text <> ''").select("doc_id", "source", F.sha2("text", 256).alias("key"), n_tokens(F.col("text")).alias("n_tokens")))
+    return mixture(docs, table(spark, d, "mix_target"), scratch)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
