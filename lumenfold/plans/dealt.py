@@ -48,26 +48,34 @@ def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "edge").filter("provenance = 'vocabulary' and relation in ('subclass_of', 'part_of')")
 
 
+_P7_COLUMNS = ("from_concept", "to_concept", "relation")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "cycles")
-    state, _ = H.sizes_upward(H.parents(_vocabulary(spark, d), "from_concept", "to_concept", "relation"), scratch)
-    return H.cycles(state, scratch).select(F.col("forest").alias("relation"), F.col("node").alias("concept_id"), "cycle_id")
+    lost = H.unprocessed(scratch.put(H.links(_vocabulary(spark, d), *_P7_COLUMNS)), scratch)
+    return lost.select(F.col("forest").alias("relation"), F.col("node").alias("concept_id"), "cycle_id")
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(_vocabulary(spark, d), "from_concept", "to_concept", "relation", Scratch(spark, "tree"))
+def p7_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    t = H.hierarchy(_vocabulary(spark, d), *_P7_COLUMNS, Scratch(spark, "tree"))
+    return t.select(F.col("forest").alias("relation"), F.col("node").alias("concept_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", (F.col("size") - 1).alias("n_descendants"), F.array_join("path", " > ").alias("path"), "n_parents", "cycle_id")
 
 
-def p7_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    t = _tree(spark, d)
-    return t.select(F.col("forest").alias("relation"), F.col("node").alias("concept_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", (F.col("size") - 1).alias("n_descendants"), F.array_join("path", " > ").alias("path"), "cycle_id")
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every parent link, also those beside the tree."""
+    return H.links_in_tree(_vocabulary(spark, d), *_P7_COLUMNS).select(F.col("forest").alias("relation"), F.col("node").alias("concept_id"), F.col("parent").alias("parent_id"), "in_tree")
 
 
 def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return H.descendants(_tree(spark, d)).select(F.col("forest").alias("relation"), F.col("ancestor").alias("concept_id"), F.col("node").alias("descendant_id"))
+    scratch = Scratch(spark, "below")
+    e = _vocabulary(spark, d)
+    tree = scratch.put(H.hierarchy(e, *_P7_COLUMNS, scratch).drop("path"))
+    out = H.descendants(tree, H.links_in_tree(e, *_P7_COLUMNS).filter("not in_tree"), scratch)
+    return out.select(F.col("forest").alias("relation"), F.col("ancestor").alias("concept_id"), F.col("node").alias("descendant_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p7_found, p7_hierarchy, p7_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p7_found, p7_hierarchy, p7_links, p7_descendants)}
 
 #: DuckDB text of the DOI normal form of ``{}``.
 DOI_SQL = r"""(SELECT CASE WHEN regexp_matches(x, '/.') THEN lower(x) END FROM (SELECT regexp_replace(regexp_extract(
@@ -90,16 +98,15 @@ found AS (SELECT DISTINCT r.child_table, r.child_key, r.parent_key, r.ts,
  WHERE st.k IS NULL OR st.n_live = 0 OR r.ts < st.first_live)
 """
 _P7 = """
-WITH RECURSIVE e AS (SELECT relation, from_concept AS node, min(to_concept) AS parent FROM edge
- WHERE provenance = 'vocabulary' AND relation IN ('subclass_of', 'part_of') AND from_concept IS NOT NULL AND to_concept IS NOT NULL GROUP BY 1, 2),
-n AS (SELECT relation, node FROM e UNION SELECT relation, parent FROM e),
+WITH RECURSIVE l AS (SELECT DISTINCT relation, from_concept AS node, to_concept AS parent FROM edge
+ WHERE provenance = 'vocabulary' AND relation IN ('subclass_of', 'part_of') AND from_concept IS NOT NULL AND to_concept IS NOT NULL),
+n AS (SELECT relation, node FROM l UNION SELECT relation, parent FROM l),
+r AS (SELECT relation, node AS start, parent AS x FROM l UNION SELECT r.relation, r.start, l.parent FROM r JOIN l ON l.relation = r.relation AND l.node = r.x),
+o AS (SELECT relation, start AS node FROM r WHERE start = x),
+c AS (SELECT relation, node, min(cycle_id) AS cycle_id FROM (SELECT relation, node, node AS cycle_id FROM o UNION ALL SELECT r.relation, r.start, o.node FROM r JOIN o ON o.relation = r.relation AND o.node = r.x) GROUP BY 1, 2),
+e AS (SELECT relation, node, min(parent) AS parent, count(*) AS n_parents FROM l GROUP BY 1, 2),
 t AS (SELECT n.relation, n.node, NULL::VARCHAR AS parent, n.node AS root, 0::BIGINT AS depth, [n.node] AS path FROM n LEFT JOIN e USING (relation, node) WHERE e.node IS NULL
- UNION ALL SELECT e.relation, e.node, e.parent, t.root, t.depth + 1, list_append(t.path, e.node) FROM t JOIN e ON e.relation = t.relation AND e.parent = t.node),
-lost AS (SELECT e.* FROM e LEFT JOIN t USING (relation, node) WHERE t.node IS NULL),
-w AS (SELECT relation, node AS start, parent AS ts, [node] AS seen, false AS over FROM lost
- UNION ALL SELECT w.relation, w.start, lost.parent, list_append(w.seen, w.ts), false
- FROM w JOIN lost ON lost.relation = w.relation AND lost.node = w.ts WHERE NOT list_contains(w.seen, w.ts)),
-c AS (SELECT relation, start AS node, list_min(list_slice(seen, list_position(seen, ts), len(seen))) AS cycle_id FROM w WHERE list_contains(seen, ts))
+ UNION ALL SELECT e.relation, e.node, e.parent, t.root, t.depth + 1, list_append(t.path, e.node) FROM t JOIN e ON e.relation = t.relation AND e.parent = t.node WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.relation = e.relation AND c.node = e.node))
 """
 ORACLES = {
     "p1_found": _P1 + "SELECT DISTINCT child_table, child_key, parent_key FROM found",
@@ -107,7 +114,8 @@ ORACLES = {
  SELECT child_table, month, reason, count(*) AS n_orphans, count(DISTINCT parent_key) AS n_keys FROM m GROUP BY 1, 2, 3""",
     "p7_found": _P7 + "SELECT relation, node AS concept_id, cycle_id FROM c",
     "p7_hierarchy": _P7 + """SELECT t.relation, t.node AS concept_id, t.parent AS parent_id, t.root AS root_id, t.depth,
- (SELECT count(*) FROM t d WHERE d.relation = t.relation AND list_contains(d.path, t.node)) - 1 AS n_descendants, array_to_string(t.path, ' > ') AS path, NULL::VARCHAR AS cycle_id FROM t
- UNION ALL SELECT relation, node, lost.parent, NULL, NULL, NULL, NULL, c.cycle_id FROM c JOIN lost USING (relation, node)""",
-    "p7_descendants": _P7 + "SELECT relation, unnest(path[1:len(path) - 1]) AS concept_id, node AS descendant_id FROM t WHERE depth > 0",
+ (SELECT count(*) FROM t d WHERE d.relation = t.relation AND list_contains(d.path, t.node)) - 1 AS n_descendants, array_to_string(t.path, ' > ') AS path, coalesce(e.n_parents, 0) AS n_parents, NULL::VARCHAR AS cycle_id FROM t LEFT JOIN e USING (relation, node)
+ UNION ALL SELECT c.relation, c.node, e.parent, NULL, NULL, NULL, NULL, e.n_parents, c.cycle_id FROM c JOIN e USING (relation, node)""",
+    "p7_links": _P7 + "SELECT l.relation, l.node AS concept_id, l.parent AS parent_id, l.parent = e.parent AS in_tree FROM l JOIN e USING (relation, node)",
+    "p7_descendants": _P7 + "SELECT relation, x AS concept_id, start AS descendant_id FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.relation = r.relation AND c.node = r.start)",
 }

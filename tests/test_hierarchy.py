@@ -13,20 +13,30 @@ def build(spark, scratch, pairs):
 
 
 def brute(pairs):
-    parent = {}
+    up = {}
     for a, b in pairs:
         if a is not None and b is not None:
-            parent[a] = min(b, parent.get(a, b))
-    nodes = set(parent) | {b for a, b in pairs if a is not None and b is not None}
+            up.setdefault(a, set()).add(b)
+    nodes = set(up) | {b for a, b in pairs if a is not None and b is not None}
+    reach = {}
+    for n in nodes:
+        seen, todo = set(), list(up.get(n, ()))
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += up.get(x, ())
+        reach[n] = seen
+    on = {n for n in nodes if n in reach[n]}
     out = {}
     for n in nodes:
-        path = [n]
-        while path[-1] in parent and parent[path[-1]] not in path:
-            path.append(parent[path[-1]])
-        if path[-1] in parent:
-            cycle = path[path.index(parent[path[-1]]) :]
-            out[n] = ("cycle", min(cycle))
+        hit = (reach[n] | {n}) & on
+        if hit:
+            out[n] = ("cycle", min(hit))
         else:
+            path = [n]
+            while path[-1] in up:
+                path.append(min(up[path[-1]]))
             out[n] = ("tree", path[::-1])
     return out
 
@@ -61,8 +71,42 @@ def test_empty(spark, scratch):
     assert build(spark, scratch, []) == {}
 
 
+def test_several_parents_and_cycles_through_the_larger(spark, scratch):
+    pairs = [("b", "a"), ("c", "b"), ("a", "0"), ("a", "c"), ("d", "c"), ("e", "0"), ("e", "z"), ("f", "e"), ("f", "y"), ("g", "f"), ("x", "x"), ("w", "0"), ("w", "x"), ("v", "w")]
+    verify(build(spark, scratch, pairs), pairs)
+    got = build(spark, scratch, pairs)
+    assert got["a"]["cycle_id"] == got["d"]["cycle_id"] == "a" and got["v"]["cycle_id"] == "x" and got["f"]["n_parents"] == 2
+
+
+def test_random_graphs_of_several_parents(spark, scratch):
+    for seed, n, m in ((1, 30, 40), (4, 24, 26)):
+        rng = random.Random(seed)
+        pairs = [(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(m)] if seed == 1 else [(f"n{i:02}", f"n{rng.randrange(i):02}") for i in range(1, n) for _ in range(2)] + [("n00", "n09")] * (seed == 9)
+        verify(build(spark, scratch, pairs), pairs)
+
+
+def test_descendants_by_other_parents(spark, scratch):
+    pairs = [("b", "a"), ("c", "b"), ("d", "c"), ("c", "q"), ("q", "p"), ("e", "d"), ("e", "z")]
+    df = spark.createDataFrame([("r", a, b, 1) for a, b in pairs], SCHEMA)
+    tree = H.hierarchy(df, "c", "p", "f", scratch)
+    beside = H.links_in_tree(df, "c", "p", "f").filter("not in_tree")
+    assert sorted((r.node, r.parent) for r in beside.collect()) == [("c", "q"), ("e", "z")]
+    up = {}
+    for a, b in pairs:
+        up.setdefault(a, set()).add(b)
+    want = set()
+    for x in "abcdeqpz":
+        todo = list(up.get(x, ()))
+        while todo:
+            y = todo.pop()
+            want.add((y, x))
+            todo += up.get(y, ())
+    got = [(r.ancestor, r.node) for r in H.descendants(tree, beside, scratch).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_descendants_and_subtree(spark, scratch):
     df = spark.createDataFrame([("r", a, b, 1) for a, b in [("b", "a"), ("c", "b"), ("d", "a")]], SCHEMA)
     tree = H.hierarchy(df, "c", "p", "f", scratch)
-    assert sorted((r.ancestor, r.node) for r in H.descendants(tree).collect()) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c")]
+    assert sorted((r.ancestor, r.node) for r in H.descendants(tree, df.filter("false").selectExpr("f as forest", "c as node", "p as parent"), scratch).collect()) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c")]
     assert sorted(r.node for r in H.subtree(tree, "r", "b").collect()) == ["b", "c"]
