@@ -1,10 +1,11 @@
 """References to records that do not exist, kept as signed counts per key.
 
 Every change of a child table is a delta ``(space, key, d_ref, d_live, d_dead)``: +1 for an added reference or
-record, -1 for a retracted one.  ``ledger`` folds deltas into one state row per key, and ``advance`` folds a
-later batch into an earlier state, so the report never needs the history again.  Keys whose reference count
-is positive and whose existence count is zero are the current orphans; keys whose first reference precedes the
-first live record are those that arrive late.
+record, -1 for a retracted one.  ``ledger`` folds deltas into a state, ``advance`` folds a later batch into an earlier
+state, and ``save`` and ``load`` keep a state per epoch in a folder, so the report never needs the history again.  Live
+records are counted per key and time, so that retracting the earliest one moves a key's first time of existence to the
+next.  Keys whose reference count is positive and whose existence count is zero are the current orphans; keys referenced
+before their first live record are those that arrive late.
 
 Scale: the fold is a map-side combined aggregation, so a key holding a third of all references shuffles one row
 per map task.  The way back from keys to child rows joins only orphaned keys; those that hold more than a
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.identity import normal_doi
@@ -44,56 +45,64 @@ def records(df: DataFrame, key: str, space: str, at: str = "recorded_at", delete
     return df.select(F.lit(space).alias("space"), k.alias("key"), F.col(at).alias("at"), F.col(deleted).isNull().alias("live")).filter(F.col("key").isNotNull())
 
 
-def deltas(refs: DataFrame | None = None, recs: DataFrame | None = None, sign: int = 1) -> DataFrame:
-    """Change deltas of added (``sign`` 1) or retracted (-1) child and parent rows."""
+def deltas(refs: DataFrame | None = None, recs: DataFrame | None = None, sign: int | Column = 1) -> DataFrame:
+    """Change deltas of added (``sign`` 1) or retracted (-1) child and parent rows; a column gives each row its own sign."""
     parts = []
     zero = F.lit(0).cast("long")
     none = F.lit(None).cast("timestamp")
+    by = (sign if isinstance(sign, Column) else F.lit(sign)).cast("long")
     if refs is not None:
-        parts.append(refs.select("space", "key", F.lit(sign).cast("long").alias("d_ref"), zero.alias("d_live"), zero.alias("d_dead"), F.col("at").alias("ref_at"), none.alias("live_at")))
+        parts.append(refs.select("space", "key", none.alias("live_at"), by.alias("d_ref"), zero.alias("d_live"), zero.alias("d_dead"), F.when(by > 0, F.col("at")).alias("ref_at")))
     if recs is not None:
-        parts.append(
-            recs.select(
-                "space", "key", zero.alias("d_ref"),
-                F.when(F.col("live"), F.lit(sign)).otherwise(0).cast("long").alias("d_live"),
-                F.when(F.col("live"), 0).otherwise(F.lit(sign)).cast("long").alias("d_dead"),
-                none.alias("ref_at"), F.when(F.col("live"), F.col("at")).alias("live_at"),
-            )
-        )
+        live = F.col("live")
+        parts.append(recs.select("space", "key", F.when(live, F.col("at")).alias("live_at"), zero.alias("d_ref"), F.when(live, by).otherwise(zero).alias("d_live"), F.when(live, zero).otherwise(by).alias("d_dead"), none.alias("ref_at")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _fold(df: DataFrame) -> DataFrame:
-    return df.groupBy("space", "key").agg(
-        F.sum("d_ref").alias("n_ref"), F.sum("d_live").alias("n_live"), F.sum("d_dead").alias("n_dead"), F.min("ref_at").alias("first_ref_at"), F.min("live_at").alias("first_live_at")
-    )
-
-
 def ledger(changes: DataFrame) -> DataFrame:
-    """State per key: signed counts, first reference, first live record.  Times do not move back on retraction."""
-    return _fold(changes)
+    """State ``(space, key, live_at, n_ref, n_live, n_dead, first_ref_at)``: one row per key and time of live records.
+
+    ``first_ref_at`` does not move back when a reference is retracted; it only says which keys are looked at.
+    """
+    return changes.groupBy("space", "key", "live_at").agg(F.sum("d_ref").alias("n_ref"), F.sum("d_live").alias("n_live"), F.sum("d_dead").alias("n_dead"), F.min("ref_at").alias("first_ref_at"))
 
 
 def advance(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """The state after one more batch of deltas."""
-    old = state.select("space", "key", F.col("n_ref").alias("d_ref"), F.col("n_live").alias("d_live"), F.col("n_dead").alias("d_dead"), F.col("first_ref_at").alias("ref_at"), F.col("first_live_at").alias("live_at"))
-    return _fold(old.unionByName(changes))
+    """The state after one more batch of deltas; rows whose counts are all zero again are dropped."""
+    old = state.select("space", "key", "live_at", F.col("n_ref").alias("d_ref"), F.col("n_live").alias("d_live"), F.col("n_dead").alias("d_dead"), F.col("first_ref_at").alias("ref_at"))
+    return ledger(old.unionByName(changes)).filter("n_ref <> 0 or n_live <> 0 or n_dead <> 0")
+
+
+def save(state: DataFrame, folder: str, epoch: int) -> None:
+    """Writes the state of an epoch; writing it again replaces it, so a repeated batch does no harm."""
+    state.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+
+def load(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
+    return spark.read.parquet(f"{folder}/epoch={epoch}")
+
+
+def keys(state: DataFrame) -> DataFrame:
+    """Per key ``(space, key, n_ref, n_live, n_dead, first_ref_at, first_live_at)``."""
+    return state.groupBy("space", "key").agg(
+        F.sum("n_ref").alias("n_ref"), F.sum("n_live").alias("n_live"), F.sum("n_dead").alias("n_dead"), F.min("first_ref_at").alias("first_ref_at"), F.min(F.when(F.col("n_live") > 0, F.col("live_at"))).alias("first_live_at")
+    )
 
 
 def open_keys(state: DataFrame) -> DataFrame:
     """Keys with positive references and zero existence, or referenced before they first existed."""
-    return state.filter((F.col("n_ref") > 0) & ((F.col("n_live") <= 0) | (F.col("first_ref_at") < F.col("first_live_at"))))
+    return keys(state).filter((F.col("n_ref") > 0) & ((F.col("n_live") <= 0) | (F.col("first_ref_at") < F.col("first_live_at"))))
 
 
 def orphans(refs: DataFrame, state: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct orphan references ``(child_table, child_key, parent_key, at, reason)``.
+    """Orphan references ``(child_table, child_key, parent_key, at, reason)``, one row per row of ``refs``.
 
     ``reason`` is ``missing`` (no row of the key), ``deleted`` (only deleted rows) or ``late`` (the earliest live row
-    was recorded after the reference).  Null ``at`` on either side is never late.  Repeated rows come out once;
-    an empty ``refs`` or state gives an empty result.
+    was recorded after the reference).  Null ``at`` on either side is never late.  Repeated rows are
+    left to the caller, who drops them together with the columns that are not wanted; an empty ``refs`` or state gives an empty result.
     """
     found = scratch.put(open_keys(state))
     total = found.agg(F.sum("n_ref")).first()[0] or 0
@@ -106,7 +115,7 @@ def orphans(refs: DataFrame, state: DataFrame, scratch: Scratch) -> DataFrame:
     else:
         joined = refs.join(cold, ["space", "key"])
     reason = F.when(F.col("n_live") > 0, "late").when(F.col("n_dead") > 0, "deleted").otherwise("missing")
-    return joined.filter((F.col("n_live") <= 0) | (F.col("at") < F.col("first_live_at"))).select("child_table", "child_key", "parent_key", "at", reason.alias("reason")).distinct()
+    return joined.filter((F.col("n_live") <= 0) | (F.col("at") < F.col("first_live_at"))).select("child_table", "child_key", "parent_key", "at", reason.alias("reason"))
 
 
 def by_period(found: DataFrame) -> DataFrame:

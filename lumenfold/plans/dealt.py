@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.operators import hierarchy as H
 from lumenfold.operators import references as R
 from lumenfold.session import Scratch
-from lumenfold.tables import table
+from lumenfold.tables import iso, table
 
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +44,18 @@ def p1_by_month(spark: SparkSession, d: str) -> DataFrame:
     return R.by_period(_orphans(spark, d))
 
 
+def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The state kept up by changes: rows recorded before 2025, then the later ones, then the retraction of all repeats."""
+    scratch = Scratch(spark, "ledger")
+    refs, recs = _refs(spark, d), _records(spark, d)
+    early = F.coalesce(F.col("at") < F.to_timestamp(F.lit("2025-01-01")), F.lit(False))
+    R.save(R.ledger(R.deltas(refs.filter(early), recs.filter(early))), scratch.base, 0)
+    R.save(R.advance(R.load(spark, scratch.base, 0), R.deltas(refs.filter(~early), recs.filter(~early))), scratch.base, 1)
+    extra = lambda t: t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    R.save(R.advance(R.load(spark, scratch.base, 1), R.deltas(extra(refs), extra(recs), sign=1 - F.col("n"))), scratch.base, 2)
+    return R.keys(R.load(spark, scratch.base, 2)).select("space", "key", "n_ref", "n_live", "n_dead", iso("first_live_at").alias("first_live_at"))
+
+
 def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "edge").filter("provenance = 'vocabulary' and relation in ('subclass_of', 'part_of')")
 
@@ -75,7 +87,7 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("forest").alias("relation"), F.col("ancestor").alias("concept_id"), F.col("node").alias("descendant_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p7_found, p7_hierarchy, p7_links, p7_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p1_ledger, p7_found, p7_hierarchy, p7_links, p7_descendants)}
 
 #: DuckDB text of the DOI normal form of ``{}``.
 DOI_SQL = r"""(SELECT CASE WHEN regexp_matches(x, '/.') THEN lower(x) END FROM (SELECT regexp_replace(regexp_extract(
@@ -112,6 +124,9 @@ ORACLES = {
     "p1_found": _P1 + "SELECT DISTINCT child_table, child_key, parent_key FROM found",
     "p1_by_month": _P1 + """, m AS (SELECT DISTINCT child_table, child_key, parent_key, strftime(ts, '%Y-%m') AS month, reason FROM found)
  SELECT child_table, month, reason, count(*) AS n_orphans, count(DISTINCT parent_key) AS n_keys FROM m GROUP BY 1, 2, 3""",
+    "p1_ledger": _P1 + """, a AS (SELECT space, k, 1 AS r, 0 AS l, 0 AS x, NULL::TIMESTAMP AS ts FROM (SELECT DISTINCT * FROM refs)
+ UNION ALL SELECT space, k, 0, CASE WHEN live THEN 1 ELSE 0 END, CASE WHEN live THEN 0 ELSE 1 END, CASE WHEN live THEN ts END FROM (SELECT DISTINCT * FROM recs WHERE k IS NOT NULL))
+ SELECT space, replace(k, '?', chr(1)) AS key, sum(r)::BIGINT AS n_ref, sum(l)::BIGINT AS n_live, sum(x)::BIGINT AS n_dead, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_live_at FROM a GROUP BY space, k""",
     "p7_found": _P7 + "SELECT relation, node AS concept_id, cycle_id FROM c",
     "p7_hierarchy": _P7 + """SELECT t.relation, t.node AS concept_id, t.parent AS parent_id, t.root AS root_id, t.depth,
  (SELECT count(*) FROM t d WHERE d.relation = t.relation AND list_contains(d.path, t.node)) - 1 AS n_descendants, array_to_string(t.path, ' > ') AS path, coalesce(e.n_parents, 0) AS n_parents, NULL::VARCHAR AS cycle_id FROM t LEFT JOIN e USING (relation, node)
