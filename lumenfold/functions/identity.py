@@ -128,9 +128,21 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(F.when(text.rlike(r"[^\x00-\x7f]"), fold_text(text)).otherwise(plain), 256)
 
 
+@F.pandas_udf(StringType())
+def compose(s: pd.Series) -> pd.Series:
+    """NFKC."""
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def folded(c: Column) -> Column:
+    """Lower case, NFKC; only texts with characters above ASCII visit Python."""
+    low = F.lower(c)
+    return F.when(low.rlike(r"[^\x00-\x7f]"), compose(low)).otherwise(low)
+
+
 def local_key(form: Column) -> Column:
-    """Stable slug id of a concept of the user's own."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(form), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+    """Stable slug id of a concept of the user's own; full-width letters and ligatures count as what they stand for."""
+    slug = F.regexp_replace(F.regexp_replace(folded(form), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
     return F.when(slug != "", F.concat(F.lit("local:"), slug))
 
 

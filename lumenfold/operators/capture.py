@@ -6,21 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import identity as I
+from lumenfold.operators.graph import groups
+from lumenfold.session import Scratch
 
 
-def captured(log: DataFrame) -> DataFrame:
-    """One row per identity (DOI, else canonical URL, else content hash) from all captures of it.
+def captured(log: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per source from all captures of it: captures that share a DOI, a canonical URL or a content hash, directly or
+    through others, are one source, so a capture by URL alone attaches to the source known by DOI.
 
-    First sighting is the earliest, privacy only ratchets on, a known DOI makes it a paper; captures without any key
-    stay apart under their own id.
+    First sighting is the earliest, privacy only ratchets on, a known DOI makes it a paper, and the strongest key of any
+    capture names the source; captures without any key stay apart under their own id.
     """
-    key = F.coalesce(I.source_id(F.coalesce(I.normal_doi(F.col("doi")), I.resolved_doi(F.col("canonical_url"))), F.col("canonical_url"), F.col("content_hash")), F.concat(F.lit("s-loc-"), "id"))
     doi = F.coalesce(I.normal_doi(F.col("doi")), I.resolved_doi(F.col("canonical_url")))
-    return (
-        log.withColumn("source_id", key).withColumn("doi", doi).groupBy("source_id")
-        .agg(F.min("doi").alias("doi"), F.min("kind").alias("kind"), F.min("first_seen_at").alias("first_seen_at"), F.coalesce(F.bool_or("is_private"), F.lit(False)).alias("is_private"), F.count_distinct("id").alias("ids"))
-        .withColumn("kind", F.when(F.col("doi").isNotNull(), "paper").otherwise(F.col("kind")))
-    )
+    rows = scratch.put(
+        log.filter("id is not null").select("id", "kind", "first_seen_at", "is_private", doi.alias("doi"), I.canonical_url(F.col("canonical_url")).alias("url"), F.col("content_hash").alias("content"))
+    )
+    key = lambda tag, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(tag), c))
+    links = rows.select(F.concat(F.lit("i:"), "id").alias("a"), F.explode(F.array(key("d:", "doi"), key("u:", "url"), key("h:", "content"), F.concat(F.lit("i:"), "id"))).alias("b")).filter("b is not null")
+    of = groups(links, scratch).select(F.expr("substring(v, 3)").alias("id"), F.col("l").alias("group")).filter("v like 'i:%'")
+    keep = lambda c: F.min(c).alias(c)
+    one = rows.join(of, "id").groupBy("group").agg(keep("doi"), keep("url"), keep("content"), keep("kind"), keep("first_seen_at"), F.coalesce(F.bool_or("is_private"), F.lit(False)).alias("is_private"), F.count_distinct("id").alias("ids"), F.min("id").alias("first_id"))
+    name = F.coalesce(I.source_id(F.col("doi"), F.col("url"), F.col("content")), F.concat(F.lit("s-loc-"), "first_id"))
+    return one.select(name.alias("source_id"), "doi", F.when(F.col("doi").isNotNull(), "paper").otherwise(F.col("kind")).alias("kind"), "first_seen_at", "is_private", "ids")
 
 
 #: Tables that fall with a source: (table, its key to the parent, the parent, the parent's key), parents first.

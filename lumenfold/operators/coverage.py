@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.session import Scratch
+
 #: Engagement levels from the lightest to the deepest.
 LEVELS = ("skim", "read", "annotate", "apply", "teach")
 
@@ -70,14 +72,36 @@ def stale(coverage: DataFrame, concept: DataFrame, before: Column, limit: int =
     return coverage.filter(F.col("last_contact_at") < before).join(c, "concept_id").orderBy("last_contact_at", "concept_id").limit(limit)
 
 
-def taxonomy(edge: DataFrame, concept: DataFrame, coverage: DataFrame, include_uncovered: bool = True) -> DataFrame:
-    """Every concept with its one parent (the smallest vocabulary subclass_of target) and its source count."""
+def taxonomy(edge: DataFrame, concept: DataFrame, coverage: DataFrame, include_uncovered: bool = True, within: DataFrame | None = None) -> DataFrame:
+    """Every concept with its one parent (the smallest vocabulary subclass_of target) and its source count; only those of
+    ``within`` (as from ``rooted``) if it is given."""
     up = edge.filter("relation = 'subclass_of' and provenance = 'vocabulary'").groupBy(F.col("from_concept").alias("concept_id")).agg(F.min("to_concept").alias("parent_id"))
     t = concept.select(F.col("id").alias("concept_id"), "label").join(up, "concept_id", "left").join(coverage.select("concept_id", "distinct_sources", "primary_sources"), "concept_id", "left")
     t = t.select("concept_id", "label", "parent_id", F.coalesce("distinct_sources", F.lit(0)).alias("distinct_sources"), F.coalesce("primary_sources", F.lit(0)).alias("primary_sources"))
+    if within is not None:
+        t = t.join(within, "concept_id", "left_semi")
     return t if include_uncovered else t.filter("distinct_sources > 0")
 
 
+def coverage_for(coverage: DataFrame, concept_id: str) -> DataFrame:
+    """The coverage row of one concept."""
+    return coverage.filter(F.col("concept_id") == concept_id)
+
+
+def source_detail(event: DataFrame, source: DataFrame, version: DataFrame, chunk: DataFrame, mention: DataFrame) -> DataFrame:
+    """Per source its title, events, versions, chunks and concepts; each child is counted before it is joined."""
+    n_events = event.filter("source_id is not null").groupBy("source_id").agg(F.count_distinct("id").alias("events"), F.max("occurred_at").alias("last_event_at"))
+    v = version.filter("source_id is not null").select(F.col("id").alias("document_version_id"), "source_id").distinct()
+    c = chunk.select(F.col("id").alias("chunk_id"), "document_version_id").distinct().join(v, "document_version_id")
+    n_versions = v.groupBy("source_id").agg(F.count(F.lit(1)).alias("versions"))
+    n_chunks = c.groupBy("source_id").agg(F.count_distinct("chunk_id").alias("chunks"))
+    n_concepts = mention.filter("concept_id is not null").select("chunk_id", "concept_id").distinct().join(c.select("chunk_id", "source_id").distinct(), "chunk_id").groupBy("source_id").agg(F.count_distinct("concept_id").alias("concepts"))
+    out = source.select(F.col("id").alias("source_id"), "title")
+    for n in (n_events, n_versions, n_chunks, n_concepts):
+        out = out.join(n, "source_id", "left")
+    return out.select("source_id", "title", "last_event_at", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("events", "versions", "chunks", "concepts")])
+
+
 def bucket(at: Column, grain: str) -> Column:
     """Day, Monday of the week, or first of the month, as a date string."""
     return F.date_format(F.date_trunc({"day": "day", "week": "week", "month": "month"}[grain], at), "yyyy-MM-dd")
@@ -90,11 +114,32 @@ def largest_gaps(points: DataFrame, key: str, at: str) -> DataFrame:
     return step.groupBy(key).agg(F.coalesce(F.max(days_between(F.col("prev"), F.col(at))), F.lit(0)).alias("largest_gap_days"), F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count(F.lit(1)).alias("points"))
 
 
-def timeline(sources: DataFrame, event: DataFrame, since: Column, until: Column, limit: int = 50) -> DataFrame:
-    """Encounters per concept in a period, the concepts with most encounters first, with their largest gap."""
-    e = event.filter(F.col("occurred_at").between(since, until)).select("source_id", "occurred_at").distinct()
-    met = sources.select("concept_id", "source_id").join(e, "source_id").select("concept_id", "occurred_at").distinct()
-    return largest_gaps(met, "concept_id", "occurred_at").orderBy(F.desc("points"), "concept_id").limit(limit)
+def timeline(sources: DataFrame, event: DataFrame, coverage: DataFrame, concept: DataFrame, reviews: DataFrame, since: Column, until: Column, limit: int = 50, concepts: list[str] | None = None) -> DataFrame:
+    """Encounters and reviews per concept in a period, the concepts of most sources first, with the largest gap between
+    any two neighbouring marks.  ``concepts`` restricts the answer."""
+    c = coverage.filter((F.col("last_contact_at") >= since) & (F.col("first_contact_at") <= until)).join(concept.select(F.col("id").alias("concept_id"), "label"), "concept_id")
+    if concepts is not None:
+        c = c.filter(F.col("concept_id").isin(concepts))
+    top = F.broadcast(c.orderBy(F.desc("distinct_sources"), F.desc("last_contact_at"), "concept_id").limit(limit).select("concept_id", "label", "distinct_sources"))
+    e = event.filter(F.col("occurred_at").between(since, until)).select("source_id", "occurred_at", "engagement", "capture_path").distinct()
+    met = sources.select("concept_id", "source_id").join(top.select("concept_id"), "concept_id").join(e, "source_id")
+    said = reviews.filter(F.col("presented_at").between(since, until)).join(top.select("concept_id"), "concept_id")
+    rating = F.coalesce("user_grade_override", "machine_rating", "self_rating")
+    n_met = met.groupBy("concept_id").agg(F.count(F.lit(1)).alias("encounters"))
+    n_said = said.groupBy("concept_id").agg(F.count(F.lit(1)).alias("reviews"), F.count_if(rating >= 3).alias("passed"))
+    marks = met.select("concept_id", F.col("occurred_at").alias("at")).unionByName(said.select("concept_id", F.col("presented_at").alias("at")))
+    out = top.join(largest_gaps(marks, "concept_id", "at").drop("points"), "concept_id", "left").join(n_met, "concept_id", "left").join(n_said, "concept_id", "left")
+    return out.select("concept_id", "label", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("encounters", "reviews", "passed", "largest_gap_days")], "first_at", "last_at")
+
+
+def rooted(edge: DataFrame, root: str, scratch: Scratch) -> DataFrame:
+    """``concept_id`` of a root and all its vocabulary subclasses, found breadth-first; cycles end the walk."""
+    down = edge.filter("relation = 'subclass_of' and provenance = 'vocabulary' and from_concept is not null").select(F.col("to_concept").alias("concept_id"), F.col("from_concept").alias("kid")).distinct()
+    seen = frontier = scratch.put(edge.sparkSession.createDataFrame([(root,)], "concept_id string"))
+    while frontier.limit(1).count():
+        frontier = scratch.put(down.join(frontier, "concept_id", "left_semi").select(F.col("kid").alias("concept_id")).distinct().join(seen, "concept_id", "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def prior_coverage(event: DataFrame) -> DataFrame:

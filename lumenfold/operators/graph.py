@@ -8,37 +8,55 @@ from pyspark.sql import functions as F
 from lumenfold.session import Scratch
 
 
+#: Concepts of one source that are held in one array; a source of more is cut into blocks.
+BLOCK = 2_048
+
+
 def cooccurrence(sources: DataFrame, min_shared: int = 1) -> DataFrame:
     """``(a, b, shared)`` for concepts met in the same sources, a < b, counting distinct sources.
 
     ``sources`` is already distinct per (concept, source).  Concepts are gathered per source once and pairs are made
-    from the sorted array, which spares the self-join and its two shuffles.
+    from the sorted array, which spares the self-join and its two shuffles; of a source with many concepts every two
+    blocks are paired in a row of their own.
     """
-    sets = sources.groupBy("source_id").agg(F.array_sort(F.collect_set("concept_id")).alias("c"))
+    count = sources.groupBy("source_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = sources.select("source_id", "concept_id").join(count, "source_id").withColumn("block", F.pmod(F.xxhash64("concept_id"), F.col("blocks")).cast("int"))
+    sets = placed.groupBy("source_id", "block").agg(F.array_sort(F.collect_set("concept_id")).alias("c"), F.max("blocks").alias("blocks"))
     heads = sets.select("c", F.posexplode("c").alias("i", "a")).filter(F.col("i") < F.size("c") - 1)
     pairs = heads.select("a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
+    many = sets.filter("blocks > 1")
+    across = many.join(many.select("source_id", F.col("block").alias("block2"), F.col("c").alias("c2")), "source_id").filter("block < block2").select(F.explode("c").alias("x"), "c2").select("x", F.explode("c2").alias("y"))
+    both = pairs.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
 
 
-def clusters(links: DataFrame, scratch: Scratch, min_size: int = 2) -> DataFrame:
-    """``(concept_id, cluster_id, size)``: connected components, the smallest member naming each.
+def groups(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(v, l)``: every vertex of the links ``(a, b)`` with the smallest vertex of its connected component.
 
-    Minimum labels spread along edges and then along labels (three hops a round), so long chains need few rounds.
+    Each round every label takes its smallest neighbour, labels follow each other for three steps, and the links are
+    contracted to what still joins two labels, so the table shrinks and a chain of n vertices takes about log(n) rounds.
     """
-    both = scratch.put(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    label = scratch.put(both.select(F.col("a").alias("v")).distinct().withColumn("l", F.col("v")))
-    while True:
-        near = both.join(label.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
-        nxt = label.join(near, "v").select("v", F.least("l", "m").alias("l"), F.col("l").alias("old"))
+    one = links.select("a", "b").filter("a is not null and b is not null")
+    ends = scratch.put(one.select(F.col("a").alias("v")).unionByName(one.select(F.col("b").alias("v"))).distinct())
+    rest = scratch.put(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    maps: list[DataFrame] = []
+    while rest.limit(1).count():
+        hop = scratch.put(rest.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("l")))
         for _ in range(3):
-            nxt = nxt.join(nxt.select(F.col("v").alias("l"), F.col("l").alias("l2")), "l").select("v", F.col("l2").alias("l"), "old")
-        done = scratch.put(nxt)
-        moved = done.filter("l <> old").limit(1).count()
-        scratch.drop(label)
-        label = done.select("v", "l")
-        label._lumenfold_path = done._lumenfold_path
-        if not moved:
-            break
+            hop = hop.join(hop.select(F.col("v").alias("l"), F.col("l").alias("l2")), "l").select("v", F.col("l2").alias("l"))
+        maps.append(scratch.put(hop))
+        end = lambda c: maps[-1].select(F.col("v").alias(c), F.col("l").alias(c + "2"))
+        old, rest = rest, scratch.put(rest.join(end("a"), "a").join(end("b"), "b").filter("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+        scratch.drop(old)
+    label = ends.withColumn("l", F.col("v"))
+    for hop in maps:
+        label = scratch.put(label.join(hop.select(F.col("v").alias("l"), F.col("l").alias("l2")), "l", "left").select("v", F.coalesce("l2", "l").alias("l")))
+    return label
+
+
+def clusters(links: DataFrame, scratch: Scratch, min_size: int = 2) -> DataFrame:
+    """``(concept_id, cluster_id, size)``: connected components, the smallest member naming each."""
+    label = groups(links, scratch)
     sizes = label.groupBy("l").count()
     return label.join(sizes, "l").filter(F.col("count") >= min_size).select(F.col("v").alias("concept_id"), F.col("l").alias("cluster_id"), F.col("count").alias("size"))
 

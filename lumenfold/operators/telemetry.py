@@ -17,11 +17,14 @@ def expected_ms(words: Column) -> Column:
 
 
 def assess(sessions: DataFrame) -> DataFrame:
-    """Adds ``expected_ms``, ``reject`` (the first rule that fails, or null), ``plausible`` and ``capped_ms``."""
+    """Adds ``expected_ms``, ``reject`` (the first rule that fails, or null), ``plausible`` and ``capped_ms``.
+
+    Scrolling back counts as scrolling, also where no depth was reported.
+    """
     e = expected_ms(F.col("word_count"))
     elapsed = (F.unix_millis("ended_at") - F.unix_millis("started_at")).cast("long")
     reject = (
-        F.when(F.col("active_ms") < MIN_ACTIVE_MS, "too_short").when(F.coalesce("max_scroll_pct", F.lit(0.0)) <= 0, "no_scroll")
+        F.when(F.col("active_ms") < MIN_ACTIVE_MS, "too_short").when((F.coalesce("max_scroll_pct", F.lit(0.0)) <= 0) & (F.coalesce("scroll_reversals", F.lit(0)) <= 0), "no_scroll")
         .when(F.col("active_ms") > CAP * F.col("expected_ms"), "too_long").when(F.col("active_ms") > elapsed + CLOCK_SLACK_MS, "beyond_wall_clock")
     )
     return sessions.withColumn("expected_ms", e).withColumn("reject", reject).withColumn("plausible", F.col("reject").isNull()).withColumn("capped_ms", F.least("active_ms", CAP * F.col("expected_ms")))

@@ -14,6 +14,7 @@ from lumenfold.operators import items as Q
 from lumenfold.operators.sync import merged_sources
 from lumenfold.plans.dealt import DOI_SQL
 from lumenfold.plans.text import _canon
+from lumenfold.session import Scratch
 from lumenfold.tables import iso, table
 
 TABLES = ("ingestion_event", "document_version", "chunk", "mention", "embedding_meta", "concept", "citation", "reading_source", "edge")
@@ -24,7 +25,7 @@ def _all(s: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def capture_fold(s: SparkSession, d: str) -> DataFrame:
-    return C.captured(table(s, d, "reading_source")).select("source_id", "kind", iso("first_seen_at").alias("first_seen_at"), "is_private", "ids")
+    return C.captured(table(s, d, "reading_source"), Scratch(s, "capture")).select("source_id", "kind", iso("first_seen_at").alias("first_seen_at"), "is_private", "ids")
 
 
 def delete_counts(s: SparkSession, d: str) -> DataFrame:
@@ -81,9 +82,12 @@ _EV = f"""WITH m AS (SELECT concept_id, chunk_id, max(coalesce(is_primary, false
  e AS (SELECT m.*, c.a, c.b, v.text, row_number() OVER (PARTITION BY concept_id ORDER BY is_primary DESC, confidence DESC NULLS LAST, chunk_id)::INTEGER AS rank FROM m JOIN c ON c.id = m.chunk_id JOIN v ON v.id = c.dv WHERE v.source_id IN (SELECT id FROM reading_source) AND v.source_id NOT IN {_PRIV})
 """
 ORACLES = {
-    "capture_fold": f"""WITH {_canon('reading_source', 'canonical_url')}, k AS (SELECT *, coalesce({_D('doi')}, {_D('canonical_url')}, {_ARX}) AS nd FROM cu),
- x AS (SELECT *, coalesce('s-doi-' || substr(sha256('doi:' || nd), 1, 24), 's-url-' || substr(sha256('url:' || canonical), 1, 24), 's-cnt-' || substr(sha256('content:' || content_hash), 1, 24), 's-loc-' || id) AS sid FROM k)
- SELECT sid AS source_id, CASE WHEN min(nd) IS NOT NULL THEN 'paper' ELSE min(kind) END AS kind, strftime(min(first_seen_at), '%Y-%m-%d %H:%M:%S') AS first_seen_at, coalesce(bool_or(is_private), false) AS is_private, count(DISTINCT id) AS ids FROM x GROUP BY 1""",
+    "capture_fold": f"""WITH RECURSIVE {_canon('reading_source', 'canonical_url')}, k AS (SELECT *, coalesce({_D('doi')}, {_D('canonical_url')}, {_ARX}) AS nd FROM cu WHERE id IS NOT NULL),
+ x AS (SELECT DISTINCT id, 'd:' || nd AS y FROM k WHERE nd IS NOT NULL UNION SELECT id, 'u:' || canonical FROM k WHERE canonical IS NOT NULL UNION SELECT id, 'h:' || content_hash FROM k WHERE content_hash IS NOT NULL),
+ n AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.y = b.y), r AS (SELECT DISTINCT id AS v, id AS o FROM k UNION SELECT n.b, r.o FROM r JOIN n ON n.a = r.v), g AS (SELECT v AS id, min(o) AS g FROM r GROUP BY 1),
+ z AS (SELECT g, min(nd) AS nd, min(canonical) AS canonical, min(content_hash) AS content_hash, min(kind) AS kind, min(first_seen_at) AS f, coalesce(bool_or(is_private), false) AS is_private, count(DISTINCT k.id) AS ids FROM k JOIN g ON g.id = k.id GROUP BY 1)
+ SELECT coalesce('s-doi-' || substr(sha256('doi:' || nd), 1, 24), 's-url-' || substr(sha256('url:' || canonical), 1, 24), 's-cnt-' || substr(sha256('content:' || content_hash), 1, 24), 's-loc-' || g) AS source_id,
+ CASE WHEN nd IS NOT NULL THEN 'paper' ELSE kind END AS kind, strftime(f, '%Y-%m-%d %H:%M:%S') AS first_seen_at, is_private, ids FROM z""",
     "delete_counts": f"""WITH p AS {_PRIV}, dv AS (SELECT DISTINCT id FROM document_version WHERE source_id IN (SELECT id FROM p)), ch AS (SELECT DISTINCT id FROM chunk WHERE document_version_id IN (SELECT id FROM dv))
  SELECT 'ingestion_event' AS tab, count(*) AS n FROM ingestion_event WHERE source_id IN (SELECT id FROM p) UNION ALL SELECT 'document_version', count(*) FROM document_version WHERE source_id IN (SELECT id FROM p) UNION ALL SELECT 'chunk', count(*) FROM chunk WHERE document_version_id IN (SELECT id FROM dv)
  UNION ALL SELECT 'mention', count(*) FROM mention WHERE chunk_id IN (SELECT id FROM ch) UNION ALL SELECT 'embedding_meta', count(*) FROM embedding_meta WHERE chunk_id IN (SELECT id FROM ch)""",

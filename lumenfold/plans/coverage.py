@@ -12,6 +12,7 @@ from lumenfold.operators import suggest as U
 from lumenfold.operators import vectors as E
 from lumenfold.operators.sync import merged_sources
 from lumenfold.plans.dealt import DOI_SQL
+from lumenfold.plans.learning import _REV, _TOP40, domain_reviews
 from lumenfold.session import Scratch
 from lumenfold.tables import iso, table
 
@@ -61,8 +62,39 @@ def taxonomy_holes(s: SparkSession, d: str) -> DataFrame:
 
 
 def timeline(s: SparkSession, d: str) -> DataFrame:
-    t = V.timeline(_sources(s, d), table(s, d, "ingestion_event"), F.to_timestamp(F.lit("2024-01-01")), F.to_timestamp(F.lit("2026-01-01")))
-    return t.select("concept_id", "points", "largest_gap_days", iso("first_at").alias("first_at"), iso("last_at").alias("last_at"))
+    span = [F.to_timestamp(F.lit(x)) for x in ("2024-01-01", "2026-01-01")]
+    cov = Scratch(s, "timeline").put(_coverage(s, d))
+    t = V.timeline(_sources(s, d), table(s, d, "ingestion_event"), cov, _concept(s, d), domain_reviews(s, d), *span)
+    return t.withColumns({c: iso(c) for c in ("first_at", "last_at")})
+
+
+def _root(s: SparkSession, d: str) -> str:
+    e = table(s, d, "edge").filter("relation = 'subclass_of' and provenance = 'vocabulary'")
+    return e.groupBy("to_concept").agg(F.count_distinct("from_concept").alias("n")).orderBy(F.desc("n"), "to_concept").limit(1).first()[0]
+
+
+def taxonomy_rooted(s: SparkSession, d: str) -> DataFrame:
+    """The concepts below the one with most subclasses."""
+    e = table(s, d, "edge")
+    return V.taxonomy(e, _concept(s, d), _coverage(s, d), within=V.rooted(e, _root(s, d), Scratch(s, "rooted")))
+
+
+def coverage_for(s: SparkSession, d: str) -> DataFrame:
+    """Coverage of the smallest covered concept."""
+    cov = Scratch(s, "one").put(_coverage(s, d))
+    return V.coverage_for(cov, cov.agg(F.min("concept_id")).first()[0]).select("concept_id", "distinct_sources", "primary_sources", "contact_count", "max_engagement")
+
+
+def source_detail(s: SparkSession, d: str) -> DataFrame:
+    out = V.source_detail(table(s, d, "ingestion_event"), merged_sources(table(s, d, "reading_source")), table(s, d, "document_version"), table(s, d, "chunk"), table(s, d, "mention"))
+    return out.withColumn("last_event_at", iso("last_event_at"))
+
+
+def neighbourhood_vocabulary(s: SparkSession, d: str) -> DataFrame:
+    """The edges of the neighbourhood of the same start by vocabulary edges alone."""
+    start = table(s, d, "edge").groupBy("from_concept").count().agg(F.max_by("from_concept", F.struct("count", "from_concept"))).first()[0]
+    nodes, edges = G.neighbourhood(table(s, d, "edge"), start, Scratch(s, "near"), provenance="vocabulary")
+    return edges.select("id", "from_concept", "to_concept", "relation").distinct()
 
 
 def timeline_buckets(s: SparkSession, d: str) -> DataFrame:
@@ -121,11 +153,11 @@ def link_pending(s: SparkSession, d: str) -> DataFrame:
 
 
 def cooccurrence(s: SparkSession, d: str) -> DataFrame:
-    return G.cooccurrence(_sources(s, d), 3)
+    return G.cooccurrence(_sources(s, d))
 
 
 def _clusters(s: SparkSession, d: str) -> DataFrame:
-    links = table(s, d, "edge").filter("relation = 'co_occurs' and provenance = 'corpus_stats' and weight >= 6").select(F.col("from_concept").alias("a"), F.col("to_concept").alias("b"))
+    links = table(s, d, "edge").filter("relation = 'co_occurs' and provenance = 'corpus_stats' and from_concept <> to_concept").select(F.col("from_concept").alias("a"), F.col("to_concept").alias("b"))
     return G.clusters(links.filter("a is not null and b is not null"), Scratch(s, "clusters"))
 
 
@@ -218,7 +250,7 @@ def hash_embedding(s: SparkSession, d: str) -> DataFrame:
 
 
 _FNS = (
-    coverage_rollup, uncovered_but_recurring, stale_coverage, taxonomy, taxonomy_covered, taxonomy_holes, timeline, timeline_buckets, prior_coverage, recent_events, engagement_high_water, top_concepts, corpus_stats, vectors_by_model,
+    coverage_rollup, coverage_for, source_detail, taxonomy_rooted, neighbourhood_vocabulary, uncovered_but_recurring, stale_coverage, taxonomy, taxonomy_covered, taxonomy_holes, timeline, timeline_buckets, prior_coverage, recent_events, engagement_high_water, top_concepts, corpus_stats, vectors_by_model,
     index_pending, link_pending, cooccurrence, concept_clusters, bridge_gaps, neighbourhood, work_upsert, work_backfill, convergent_references, suggestion_candidates, suggestion_slate, vector_topk, novelty, concept_centroid, neighbour_concepts,
     literal_search, hash_embedding,
 )
@@ -242,7 +274,7 @@ gap AS (SELECT cov.*, label FROM cov JOIN co ON co.id = cov.concept_id WHERE sch
 sub AS (SELECT DISTINCT from_concept, to_concept FROM edge WHERE relation = 'subclass_of' AND provenance = 'vocabulary' AND from_concept IS NOT NULL AND to_concept IS NOT NULL),
 hole AS (SELECT b.from_concept AS concept_id, a.from_concept AS anchor_id, a.to_concept AS parent_id, 'sibling' AS kind FROM sub a JOIN cov ON cov.concept_id = a.from_concept AND distinct_sources >= 2
  JOIN sub b ON b.to_concept = a.to_concept AND b.from_concept <> a.from_concept WHERE NOT EXISTS (SELECT 1 FROM cov x WHERE x.concept_id = b.from_concept) ORDER BY 1, 2, 3 LIMIT 25),
-lk AS (SELECT from_concept AS a, to_concept AS b FROM edge WHERE relation = 'co_occurs' AND provenance = 'corpus_stats' AND weight >= 6 AND from_concept <> to_concept),
+lk AS (SELECT from_concept AS a, to_concept AS b FROM edge WHERE relation = 'co_occurs' AND provenance = 'corpus_stats' AND from_concept <> to_concept),
 l2 AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
 rc AS (SELECT a AS v, a AS o FROM l2 UNION SELECT l2.b, rc.o FROM rc JOIN l2 ON l2.a = rc.v),
 c1 AS (SELECT v AS concept_id, min(o) AS cluster_id FROM rc GROUP BY 1),
@@ -279,9 +311,22 @@ ORACLES = {
     "taxonomy": _CTE + "SELECT co.id AS concept_id, label, parent_id, coalesce(distinct_sources, 0) AS distinct_sources, coalesce(primary_sources, 0) AS primary_sources FROM co LEFT JOIN up ON up.concept_id = co.id LEFT JOIN cov ON cov.concept_id = co.id",
     "taxonomy_covered": _CTE + "SELECT co.id AS concept_id, label, parent_id, distinct_sources, primary_sources FROM co LEFT JOIN up ON up.concept_id = co.id JOIN cov ON cov.concept_id = co.id WHERE distinct_sources > 0",
     "taxonomy_holes": _CTE + "SELECT * FROM hole",
-    "timeline": _CTE + f"""SELECT concept_id, count(*) AS points, coalesce(max(greatest(floor((epoch(o) - epoch(p)) / 86400 + 0.5), 0)), 0)::BIGINT AS largest_gap_days, {_TS('min(o)')} AS first_at, {_TS('max(o)')} AS last_at
- FROM (SELECT concept_id, o, lag(o) OVER (PARTITION BY concept_id ORDER BY o) AS p FROM (SELECT DISTINCT concept_id, occurred_at AS o FROM cs JOIN ev USING (source_id) WHERE occurred_at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2026-01-01'))
- GROUP BY 1 ORDER BY points DESC, concept_id LIMIT 50""",
+    "timeline": _CTE + "," + _REV.replace("WITH RECURSIVE", "") + _TOP40 + f""", tp AS (SELECT cov.concept_id, label FROM cov JOIN co ON co.id = cov.concept_id WHERE l >= TIMESTAMP '2024-01-01' AND f <= TIMESTAMP '2026-01-01' ORDER BY distinct_sources DESC, l DESC, cov.concept_id LIMIT 50),
+ en AS (SELECT DISTINCT concept_id, source_id, occurred_at AS o, engagement, capture_path FROM tp JOIN cs USING (concept_id) JOIN ev USING (source_id) WHERE occurred_at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2026-01-01'),
+ rv AS (SELECT tp.concept_id, at_ AS o, coalesce(override, machine, self) AS g FROM rev JOIN top40 ON top40.k = rev.concept_id JOIN tp ON tp.concept_id = top40.concept_id WHERE at_ BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2026-01-01'),
+ mk AS (SELECT concept_id, o, lag(o) OVER (PARTITION BY concept_id ORDER BY o) AS p FROM (SELECT concept_id, o FROM en UNION SELECT concept_id, o FROM rv)),
+ gp AS (SELECT concept_id, coalesce(max(greatest(floor((epoch(date_trunc('second', o)) - epoch(date_trunc('second', p))) / 86400 + 0.5), 0)), 0)::BIGINT AS largest_gap_days, {_TS('min(o)')} AS first_at, {_TS('max(o)')} AS last_at FROM mk GROUP BY 1)
+ SELECT tp.concept_id, label, (SELECT count(*) FROM en WHERE en.concept_id = tp.concept_id) AS encounters, (SELECT count(*) FROM rv WHERE rv.concept_id = tp.concept_id) AS reviews, (SELECT count(*) FILTER (WHERE g >= 3) FROM rv WHERE rv.concept_id = tp.concept_id) AS passed,
+ coalesce(largest_gap_days, 0) AS largest_gap_days, first_at, last_at FROM tp LEFT JOIN gp USING (concept_id)""",
+    "coverage_for": _CTE + "SELECT concept_id, distinct_sources, primary_sources, contact_count, max_engagement FROM cov ORDER BY concept_id LIMIT 1",
+    "source_detail": _CTE + f"""SELECT s.id AS source_id, title, (SELECT {_TS('max(occurred_at)')} FROM ev WHERE ev.source_id = s.id) AS last_event_at, (SELECT count(DISTINCT ev.id) FROM ev WHERE ev.source_id = s.id) AS events, (SELECT count(DISTINCT v.id) FROM document_version v WHERE v.source_id = s.id) AS versions,
+ (SELECT count(DISTINCT c.id) FROM chunk c JOIN document_version v ON v.id = c.document_version_id WHERE v.source_id = s.id) AS chunks, (SELECT count(DISTINCT concept_id) FROM cs WHERE cs.source_id = s.id) AS concepts FROM (SELECT id, min(title) AS title FROM reading_source WHERE id IS NOT NULL GROUP BY 1) s""",
+    "taxonomy_rooted": _CTE + """, rt AS (SELECT to_concept AS v FROM edge WHERE relation = 'subclass_of' AND provenance = 'vocabulary' GROUP BY 1 ORDER BY count(DISTINCT from_concept) DESC, v LIMIT 1),
+ un AS (SELECT v FROM rt UNION SELECT sub.from_concept FROM un JOIN sub ON sub.to_concept = un.v)
+ SELECT co.id AS concept_id, label, parent_id, coalesce(distinct_sources, 0) AS distinct_sources, coalesce(primary_sources, 0) AS primary_sources FROM co JOIN un ON un.v = co.id LEFT JOIN up ON up.concept_id = co.id LEFT JOIN cov ON cov.concept_id = co.id""",
+    "neighbourhood_vocabulary": """WITH s AS (SELECT from_concept AS v FROM edge GROUP BY 1 ORDER BY count(*) DESC, v DESC LIMIT 1), x AS (SELECT * FROM edge WHERE provenance = 'vocabulary' AND coalesce(weight, 1) >= 0 AND from_concept IS NOT NULL AND to_concept IS NOT NULL), e AS (SELECT from_concept AS a, to_concept AS b FROM x UNION SELECT to_concept, from_concept FROM x),
+ h1 AS (SELECT DISTINCT b AS v FROM e WHERE a IN (SELECT v FROM s) AND b NOT IN (SELECT v FROM s)), h1t AS (SELECT v FROM h1 ORDER BY v LIMIT 150), h2 AS (SELECT DISTINCT b AS v FROM e WHERE a IN (SELECT v FROM h1t) AND b NOT IN (SELECT v FROM s) AND b NOT IN (SELECT v FROM h1t)),
+ n AS (SELECT v FROM (SELECT v, 0 AS q FROM s UNION ALL SELECT v, 1 FROM h1t UNION ALL SELECT v, 2 FROM h2) ORDER BY q, v LIMIT 150) SELECT DISTINCT id, from_concept, to_concept, relation FROM x WHERE from_concept IN (SELECT v FROM n) AND to_concept IN (SELECT v FROM n)""",
     "timeline_buckets": """WITH e AS (SELECT DISTINCT id, occurred_at AS o FROM ingestion_event WHERE occurred_at IS NOT NULL)
  SELECT grain, bucket, count(*) AS events FROM (SELECT 'day' AS grain, strftime(date_trunc('day', o), '%Y-%m-%d') AS bucket FROM e UNION ALL SELECT 'week', strftime(date_trunc('week', o), '%Y-%m-%d') FROM e UNION ALL SELECT 'month', strftime(date_trunc('month', o), '%Y-%m-%d') FROM e) GROUP BY 1, 2""",
     "prior_coverage": "WITH e AS (SELECT DISTINCT id, source_id, occurred_at, novelty FROM ingestion_event WHERE source_id IS NOT NULL) SELECT source_id, count(*) AS events, count(*) > 1 AS seen_before, arg_max(novelty, (occurred_at, id)) FILTER (WHERE novelty IS NOT NULL) AS latest_novelty FROM e GROUP BY 1",
@@ -294,7 +339,7 @@ ORACLES = {
     "vectors_by_model": "SELECT model_id, count(DISTINCT chunk_id) AS vectors, count(DISTINCT dim) AS dims FROM embedding_meta WHERE vector IS NOT NULL GROUP BY 1",
     "index_pending": f"SELECT DISTINCT id AS document_version_id FROM document_version v WHERE id IS NOT NULL AND text <> '' AND NOT EXISTS (SELECT 1 FROM embedding_meta m WHERE m.model_id = '{MODEL}' AND m.document_version_id = v.id)",
     "link_pending": "SELECT DISTINCT id AS document_version_id FROM document_version v WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunk c JOIN mention m ON m.chunk_id = c.id WHERE c.document_version_id = v.id)",
-    "cooccurrence": _CTE + "SELECT x.concept_id AS a, y.concept_id AS b, count(*) AS shared FROM cs x JOIN cs y ON x.source_id = y.source_id AND x.concept_id < y.concept_id GROUP BY 1, 2 HAVING count(*) >= 3",
+    "cooccurrence": _CTE + "SELECT x.concept_id AS a, y.concept_id AS b, count(*) AS shared FROM cs x JOIN cs y ON x.source_id = y.source_id AND x.concept_id < y.concept_id GROUP BY 1, 2",
     "concept_clusters": _CTE + "SELECT concept_id, cluster_id, size FROM cl WHERE size >= 2",
     "bridge_gaps": _CTE + "SELECT * FROM br",
     "neighbourhood": """WITH s AS (SELECT from_concept AS v FROM edge GROUP BY 1 ORDER BY count(*) DESC, v DESC LIMIT 1), e AS (SELECT from_concept AS a, to_concept AS b FROM edge WHERE coalesce(weight, 1) >= 0 UNION SELECT to_concept, from_concept FROM edge WHERE coalesce(weight, 1) >= 0),

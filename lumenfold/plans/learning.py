@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenfold.functions import scheduler as S
 from lumenfold.operators import retention as R
@@ -55,7 +56,7 @@ def next_due(s: SparkSession, d: str) -> DataFrame:
 
 def retention_evidence(s: SparkSession, d: str) -> DataFrame:
     r = reviews(s, d)
-    out = R.evidence(r, R.memory_states(r), F.to_timestamp(F.lit(AS_OF)))
+    out = R.evidence(r, R.memory_states(r), _items(s, d), F.to_timestamp(F.lit(AS_OF)))
     return out.select("concept_id", "outcomes", "passes", iso("last_success_at").alias("last_success_at"), "longest_interval", "recent", F.round("modelled_recall", 6).alias("modelled_recall"), "sufficient", "durably_known")
 
 
@@ -68,12 +69,48 @@ def calibration_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def anomalous_items(s: SparkSession, d: str) -> DataFrame:
-    return R.anomalous(reviews(s, d)).select("quiz_item_id", "reviews", F.round("pass_rate", 6).alias("pass_rate"), F.round("override_rate", 6).alias("override_rate"))
+    """Every five events in a row taken for the reviews of one item."""
+    return R.anomalous(reviews(s, d).withColumn("quiz_item_id", F.floor(F.col("id") / 5))).select("quiz_item_id", "reviews", F.round("pass_rate", 6).alias("pass_rate"), F.round("override_rate", 6).alias("override_rate"))
+
+
+def domain_reviews(s: SparkSession, d: str) -> DataFrame:
+    """The reviews, those of concept number k being of the k-th most mentioned concept."""
+    top = table(s, d, "mention").filter("concept_id is not null").groupBy("concept_id").count().orderBy(F.desc("count"), "concept_id").limit(40)
+    number = top.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("count"), "concept_id")) - 1).select(F.col("k").cast("long").alias("k"), F.col("concept_id").alias("concept"))  # 40 rows
+    return reviews(s, d).join(F.broadcast(number), F.col("concept_id") == F.col("k")).drop("k", "concept_id").withColumnRenamed("concept", "concept_id")
+
+
+def _sessions(s: SparkSession, d: str) -> DataFrame:
+    """Reports of reading sessions, the n-th event being one of the n-th ingestion event."""
+    ids = table(s, d, "ingestion_event").filter("id is not null").select("id").distinct()
+    by_id = ids.withColumn("n", F.row_number().over(Window.partitionBy(F.substring("id", 1, 4)).orderBy("id"))).withColumn("p", F.substring("id", 1, 4))
+    before = by_id.groupBy("p").count().withColumn("base", F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "base")
+    numbered = by_id.join(before, "p").select((F.col("n") + F.col("base")).alias("n"), F.col("id").alias("ingestion_event_id"))
+    return T.assess(_reports(s, d)).join(numbered, F.col("event_id") == F.col("n")).drop("n")
+
+
+def _contacts(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "mention").filter("concept_id is not null and id is not null").select("id", "concept_id", "chunk_id").distinct()
+    c = table(s, d, "chunk").select(F.col("id").alias("chunk_id"), "document_version_id").distinct()
+    v = table(s, d, "document_version").select(F.col("id").alias("document_version_id"), "source_id").distinct()
+    per = m.join(c, "chunk_id").join(v, "document_version_id").groupBy("concept_id", "source_id").agg(F.count(F.lit(1)).alias("mentions"))
+    e = table(s, d, "ingestion_event").filter("id is not null").groupBy("id", "source_id").agg(F.max("occurred_at").alias("occurred_at"), F.max("engagement").alias("engagement"))
+    return per.join(e, "source_id").select("concept_id", F.col("id").alias("event_id"), "occurred_at", "engagement", "mentions")
+
+
+def _replay_rows(s: SparkSession, d: str) -> DataFrame:
+    sessions = _sessions(s, d).select(F.col("ingestion_event_id").alias("event_id"), "plausible")
+    return R.replay_rows(domain_reviews(s, d), _contacts(s, d), sessions)
+
+
+def replay_rows(s: SparkSession, d: str) -> DataFrame:
+    return _replay_rows(s, d).select("id", "quiz_item_id", "concept_id", "rating", "engagement", "telemetry_backed")
 
 
 def counterfactual_replay(s: SparkSession, d: str) -> DataFrame:
-    out = R.counterfactual(reviews(s, d), T.multiplier(F.col("engagement")))
-    return out.select("variant", "scored", F.round("brier", 6).alias("brier"), F.round("bias", 6).alias("bias"), "sufficient")
+    out = R.counterfactual(_replay_rows(s, d), T.multiplier(F.col("engagement")))
+    exact = ["brier_with", "brier_without", "bias_with", "bias_without"]
+    return out.select("scored_with", "scored_without", *[F.round(c, 6).alias(c) for c in exact], F.round("brier_delta", 6).alias("brier_delta"), "improves", "telemetry_backed_reviews", "engaged_reviews", "sufficient", "notes")
 
 
 def reading_sessions(s: SparkSession, d: str) -> DataFrame:
@@ -82,11 +119,16 @@ def reading_sessions(s: SparkSession, d: str) -> DataFrame:
 
 def derived_engagement(s: SparkSession, d: str) -> DataFrame:
     """Every event taken for a client's report of a reading session."""
-    e = table(s, d, "events").select(
+    return T.engagement(T.assess(_reports(s, d))).select("event_id", "expected_ms", "reject", "plausible", "capped_ms", "engagement")
+
+
+def _reports(s: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(s, d, "events").select(
         "event_id", F.col("ts").alias("started_at"), F.timestamp_millis(F.unix_millis("ts") + (F.col("value") * 2000).cast("long")).alias("ended_at"), (F.col("value") * 1500).cast("long").alias("active_ms"),
-        F.when(F.col("event_type") != "signup", F.get_json_object("props", "$.k").cast("double") / 100).alias("max_scroll_pct"), (F.get_json_object("props", "$.k").cast("long") * 10).alias("word_count"),
+        F.when(F.col("event_type") != "signup", F.get_json_object("props", "$.k").cast("double") / 100).alias("max_scroll_pct"), (k * 10).alias("word_count"),
+        F.when(k % 3 == 0, k % 4).cast("int").alias("scroll_reversals"),
     )
-    return T.engagement(T.assess(e)).select("event_id", "expected_ms", "reject", "plausible", "capped_ms", "engagement")
 
 
 def daily_windows(s: SparkSession, d: str) -> DataFrame:
@@ -121,7 +163,7 @@ def natural_matches(s: SparkSession, d: str) -> DataFrame:
 
 
 _FNS = (
-    memory_state_replay, due_items, due_count, next_due, retention_evidence, calibration_bins, calibration_summary, anomalous_items, counterfactual_replay, reading_sessions, derived_engagement, daily_windows, merged_sources, merged_events,
+    memory_state_replay, due_items, due_count, next_due, retention_evidence, calibration_bins, calibration_summary, anomalous_items, replay_rows, counterfactual_replay, reading_sessions, derived_engagement, daily_windows, merged_sources, merged_events,
     deferred_events, sealed_round_trip, natural_matches,
 )
 QUERIES = {f.__name__: f for f in _FNS}
@@ -145,11 +187,26 @@ gr AS (SELECT *, coalesce(override, machine, self) AS g FROM rev),
 lg AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY at_, id) AS n, CASE engagement WHEN 'skim' THEN 0.8 WHEN 'read' THEN 1.0 WHEN 'annotate' THEN 1.25 WHEN 'apply' THEN 1.5 ELSE 1.8 END AS m FROM gr WHERE g IS NOT NULL AND item IS NOT NULL AND at_ IS NOT NULL),
 r AS (SELECT 'neutral' AS variant, item, n, at_, [{", ".join(map(str, _W[:4]))}][g]::DOUBLE AS s, {_d0("g")}::DOUBLE AS d, 0 AS lapses, NULL::DOUBLE AS p, NULL::DOUBLE AS ok FROM lg WHERE n = 1
  UNION ALL SELECT 'prior', item, n, at_, ([{", ".join(map(str, _W[:4]))}][g] * m)::DOUBLE, {_d0("g")}::DOUBLE, 0, NULL, NULL FROM lg WHERE n = 1
- UNION ALL SELECT r.variant, x.item, x.n, x.at_, {_NEXT_S}, {_NEXT_D}, r.lapses + CASE WHEN x.g = 1 THEN 1 ELSE 0 END, {_rec(_DAYS, "r.s")}, CASE WHEN x.g >= 2 THEN 1.0 ELSE 0.0 END FROM r JOIN lg x ON x.item = r.item AND x.n = r.n + 1),
+ UNION ALL SELECT r.variant, x.item, x.n, x.at_, {_NEXT_S}, {_NEXT_D}, r.lapses + CASE WHEN x.g = 1 THEN 1 ELSE 0 END, {_rec(_DAYS, "r.s")}, CASE WHEN x.g >= 3 THEN 1.0 ELSE 0.0 END FROM r JOIN lg x ON x.item = r.item AND x.n = r.n + 1),
 st AS (SELECT item, arg_max(s, n) AS s, arg_max(d, n) AS d, arg_max(at_, n) AS at_, max(n) AS reps, arg_max(lapses, n) AS lapses FROM r WHERE variant = 'neutral' GROUP BY 1),
 s2 AS (SELECT *, greatest(1, floor(s / {_F} * (pow(0.9, {-1 / _W[20]}) - 1) + 0.5))::BIGINT AS days FROM st),
 s3 AS (SELECT *, at_ + to_days(days::INTEGER) AS due_at FROM s2)
 """
+_REPORTS = """e AS (SELECT event_id, trunc(value * 2000)::BIGINT AS el, trunc(value * 1500)::BIGINT AS active_ms, CASE WHEN event_type <> 'signup' THEN json_extract(props, '$.k')::DOUBLE / 100 END AS sc, json_extract(props, '$.k')::BIGINT * 10 AS wc, CASE WHEN json_extract(props, '$.k')::BIGINT % 3 = 0 THEN json_extract(props, '$.k')::BIGINT % 4 END AS rv FROM events),
+ x AS (SELECT *, greatest(1000, floor(wc / 240.0 * 60000 + 0.5))::BIGINT AS expected_ms FROM e),
+ y AS (SELECT *, CASE WHEN active_ms < 3000 THEN 'too_short' WHEN coalesce(sc, 0) <= 0 AND coalesce(rv, 0) <= 0 THEN 'no_scroll' WHEN active_ms > 3 * expected_ms THEN 'too_long' WHEN active_ms > el + 1000 THEN 'beyond_wall_clock' END AS reject FROM x)"""
+_TOP40 = "top40 AS (SELECT concept_id, row_number() OVER (ORDER BY count(*) DESC, concept_id) - 1 AS k FROM mention WHERE concept_id IS NOT NULL GROUP BY 1 ORDER BY 2 LIMIT 40)"
+_REPLAY = _REV + _TOP40 + ", " + _REPORTS + """,
+ pe AS (SELECT concept_id, source_id, count(*) AS mentions FROM (SELECT DISTINCT id, concept_id, chunk_id FROM mention WHERE concept_id IS NOT NULL AND id IS NOT NULL) m JOIN (SELECT DISTINCT id, document_version_id FROM chunk) c ON c.id = m.chunk_id JOIN (SELECT DISTINCT id, source_id FROM document_version) v ON v.id = c.document_version_id GROUP BY 1, 2),
+ ie AS (SELECT id, source_id, max(occurred_at) AS occurred_at, max(engagement) AS engagement FROM ingestion_event WHERE id IS NOT NULL GROUP BY 1, 2),
+ ct AS (SELECT concept_id, id AS event_id, occurred_at, engagement, mentions FROM pe JOIN ie USING (source_id)),
+ lv AS (SELECT concept_id, arg_max(engagement, (occurred_at, engagement)) FILTER (WHERE engagement IS NOT NULL) AS engagement FROM ct GROUP BY 1),
+ nm AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT DISTINCT id FROM ingestion_event WHERE id IS NOT NULL)),
+ be AS (SELECT nm.id AS event_id, count(*) AS n FROM y JOIN nm ON nm.n = y.event_id WHERE reject IS NULL GROUP BY 1),
+ bk AS (SELECT concept_id, sum(n * mentions)::BIGINT AS telemetry_backed FROM ct JOIN be USING (event_id) GROUP BY 1),
+ rr AS (SELECT rev.id, item, t.concept_id, at_, machine, override, self, lv.engagement, coalesce(telemetry_backed, 0) AS telemetry_backed FROM rev JOIN top40 t ON t.k = rev.concept_id LEFT JOIN lv ON lv.concept_id = t.concept_id LEFT JOIN bk ON bk.concept_id = t.concept_id
+  WHERE item IS NOT NULL AND coalesce(override, machine, self) IS NOT NULL)
+"""
 _P = f"CASE WHEN s3.item IS NULL THEN 0.5 ELSE 1 - abs({_rec(f'''greatest(0, (epoch(TIMESTAMP '{AS_OF}') - epoch(date_trunc('second', s3.at_))) / 86400.0)''', 's3.s')} - 0.9) END"
 _RANK = "list_position(['skim', 'read', 'annotate', 'apply', 'teach'], engagement)"
 _PR = "list_position(['captured', 'extraction_failed', 'extracted', 'chunked', 'embedded', 'linked', 'rolled_up', 'itemised'], status)"
@@ -164,17 +221,25 @@ ORACLES = {
     "next_due": _STATE + f"SELECT {_TS('min(due_at)')} AS next_due_at FROM s3",
     "retention_evidence": _STATE + f""", oc AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY at_ DESC, id DESC) AS rn FROM gr WHERE g > 0),
  e AS (SELECT concept_id, count(*) AS outcomes, count(*) FILTER (WHERE g >= 3) AS passes, max(at_) FILTER (WHERE g >= 3) AS ls, max(interval_days) FILTER (WHERE g >= 3) AS longest_interval, string_agg(g::VARCHAR, '' ORDER BY rn) FILTER (WHERE rn <= 10) AS recent FROM oc GROUP BY 1),
- mo AS (SELECT item % 40 AS concept_id, avg({_rec(f'''greatest(0, (epoch(TIMESTAMP '{AS_OF}') - epoch(date_trunc('second', at_))) / 86400.0)''', 's')}) AS p FROM s3 GROUP BY 1)
+ mo AS (SELECT item % 40 AS concept_id, avg({_rec(f'''greatest(0, (epoch(TIMESTAMP '{AS_OF}') - epoch(date_trunc('second', at_))) / 86400.0)''', 's')}) AS p FROM s3 WHERE item % 11 <> 0 GROUP BY 1)
  SELECT e.concept_id, outcomes, passes, {_TS('ls')} AS last_success_at, longest_interval, recent, round(p, 6) AS modelled_recall, outcomes >= 2 AS sufficient, coalesce(longest_interval >= 21, false) AS durably_known FROM e LEFT JOIN mo USING (concept_id)""",
-    "calibration_bins": _REV + "x AS (SELECT *, coalesce(override, machine) AS g FROM rev) SELECT least(9, floor(predicted * 10))::INTEGER AS bin, count(*) AS n, round(avg(predicted), 6) AS predicted, round(avg(CASE WHEN g >= 2 THEN 1.0 ELSE 0.0 END), 6) AS actual FROM x WHERE g IS NOT NULL AND predicted IS NOT NULL GROUP BY 1",
-    "calibration_summary": _REV + "x AS (SELECT predicted, predicted - CASE WHEN coalesce(override, machine) >= 2 THEN 1.0 ELSE 0.0 END AS e FROM rev WHERE coalesce(override, machine) IS NOT NULL) SELECT count(predicted) AS scored, count(*) FILTER (WHERE predicted IS NULL) AS excluded, round(coalesce(avg(e * e), 0), 6) AS brier, round(coalesce(avg(e), 0), 6) AS bias FROM x",
-    "anomalous_items": _REV + "x AS (SELECT item, count(*) AS reviews, avg(CASE WHEN coalesce(override, machine) >= 3 THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN override IS NOT NULL THEN 1.0 ELSE 0.0 END) AS o FROM rev WHERE coalesce(override, machine) IS NOT NULL GROUP BY 1) SELECT item AS quiz_item_id, reviews, round(p, 6) AS pass_rate, round(o, 6) AS override_rate FROM x WHERE reviews >= 4 AND (p = 0 OR p = 1 OR o >= 0.5)",
-    "counterfactual_replay": _STATE + "SELECT variant, count(p) AS scored, round(avg((p - ok) ** 2), 6) AS brier, round(avg(p - ok), 6) AS bias, count(p) >= 50 AS sufficient FROM r GROUP BY 1",
+    "calibration_bins": _REV + "x AS (SELECT *, coalesce(override, machine) AS g FROM rev) SELECT least(9, floor(predicted * 10))::INTEGER AS bin, count(*) AS n, round(avg(predicted), 6) AS predicted, round(avg(CASE WHEN g >= 3 THEN 1.0 ELSE 0.0 END), 6) AS actual FROM x WHERE g IS NOT NULL AND predicted IS NOT NULL GROUP BY 1",
+    "calibration_summary": _REV + "x AS (SELECT predicted, CASE WHEN coalesce(override, machine) IS NOT NULL THEN predicted - CASE WHEN coalesce(override, machine) >= 3 THEN 1.0 ELSE 0.0 END END AS e FROM rev) SELECT count(e) AS scored, count(*) FILTER (WHERE predicted IS NULL) AS excluded, round(coalesce(avg(e * e), 0), 6) AS brier, round(coalesce(avg(e), 0), 6) AS bias FROM x",
+    "anomalous_items": _REV + "x AS (SELECT (id // 5)::BIGINT AS item, count(*) AS reviews, avg(CASE WHEN coalesce(override, machine) >= 3 THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN override IS NOT NULL THEN 1.0 ELSE 0.0 END) AS o FROM rev GROUP BY 1) SELECT item AS quiz_item_id, reviews, round(p, 6) AS pass_rate, round(o, 6) AS override_rate FROM x WHERE reviews >= 4 AND (p = 0 OR p = 1 OR o >= 0.5)",
+    "replay_rows": _REPLAY + "SELECT id, item AS quiz_item_id, concept_id, coalesce(override, machine, self)::INTEGER AS rating, engagement, telemetry_backed FROM rr",
+    "counterfactual_replay": _REPLAY + f""", lg AS (SELECT *, coalesce(override, machine, self) AS g, row_number() OVER (PARTITION BY item ORDER BY at_, id) AS n, CASE engagement WHEN 'skim' THEN 0.8 WHEN 'annotate' THEN 1.25 WHEN 'apply' THEN 1.5 WHEN 'teach' THEN 1.8 ELSE 1.0 END AS m FROM rr WHERE at_ IS NOT NULL),
+ r AS (SELECT 'without' AS variant, item, n, at_, [{", ".join(map(str, _W[:4]))}][g]::DOUBLE AS s, {_d0("g")}::DOUBLE AS d, NULL::DOUBLE AS p, NULL::DOUBLE AS ok FROM lg WHERE n = 1
+ UNION ALL SELECT 'with', item, n, at_, ([{", ".join(map(str, _W[:4]))}][g] * m)::DOUBLE, {_d0("g")}::DOUBLE, NULL, NULL FROM lg WHERE n = 1
+ UNION ALL SELECT r.variant, x.item, x.n, x.at_, {_NEXT_S}, {_NEXT_D}, {_rec(_DAYS, "r.s")}, CASE WHEN x.g >= 3 THEN 1.0 ELSE 0.0 END FROM r JOIN lg x ON x.item = r.item AND x.n = r.n + 1),
+ a AS (SELECT count(p) FILTER (WHERE variant = 'with') AS sw, count(p) FILTER (WHERE variant = 'without') AS so, avg((p - ok) ** 2) FILTER (WHERE variant = 'with') AS bw, avg((p - ok) ** 2) FILTER (WHERE variant = 'without') AS bo,
+  avg(p - ok) FILTER (WHERE variant = 'with') AS iw, avg(p - ok) FILTER (WHERE variant = 'without') AS io FROM r), t AS (SELECT count(*) FILTER (WHERE telemetry_backed > 0) AS tb, count(engagement) AS en FROM rr)
+ SELECT sw AS scored_with, so AS scored_without, round(bw, 6) AS brier_with, round(bo, 6) AS brier_without, round(iw, 6) AS bias_with, round(io, 6) AS bias_without, round(bw - bo, 6) AS brier_delta, bw < bo AS improves, tb AS telemetry_backed_reviews, en AS engaged_reviews,
+ sw >= 50 AND tb > 0 AS sufficient, concat_ws(';', CASE WHEN sw < 50 THEN 'few_reviews' END, CASE WHEN tb = 0 THEN 'no_telemetry' END, CASE WHEN tb = 0 AND en > 0 THEN 'self_asserted' END) AS notes FROM a, t""",
     "reading_sessions": f"""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
  g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, count(*) AS events, {_TS('min(ts)')} AS started_at, {_TS('max(ts)')} AS ended_at FROM g GROUP BY user_id, s""",
-    "derived_engagement": """WITH e AS (SELECT event_id, trunc(value * 2000)::BIGINT AS el, trunc(value * 1500)::BIGINT AS active_ms, CASE WHEN event_type <> 'signup' THEN json_extract(props, '$.k')::DOUBLE / 100 END AS sc, json_extract(props, '$.k')::BIGINT * 10 AS wc FROM events),
+    "derived_engagement": """WITH e AS (SELECT event_id, trunc(value * 2000)::BIGINT AS el, trunc(value * 1500)::BIGINT AS active_ms, CASE WHEN event_type <> 'signup' THEN json_extract(props, '$.k')::DOUBLE / 100 END AS sc, json_extract(props, '$.k')::BIGINT * 10 AS wc, CASE WHEN json_extract(props, '$.k')::BIGINT % 3 = 0 THEN json_extract(props, '$.k')::BIGINT % 4 END AS rv FROM events),
  x AS (SELECT *, greatest(1000, floor(wc / 240.0 * 60000 + 0.5))::BIGINT AS expected_ms FROM e),
- y AS (SELECT *, CASE WHEN active_ms < 3000 THEN 'too_short' WHEN coalesce(sc, 0) <= 0 THEN 'no_scroll' WHEN active_ms > 3 * expected_ms THEN 'too_long' WHEN active_ms > el + 1000 THEN 'beyond_wall_clock' END AS reject FROM x)
+ y AS (SELECT *, CASE WHEN active_ms < 3000 THEN 'too_short' WHEN coalesce(sc, 0) <= 0 AND coalesce(rv, 0) <= 0 THEN 'no_scroll' WHEN active_ms > 3 * expected_ms THEN 'too_long' WHEN active_ms > el + 1000 THEN 'beyond_wall_clock' END AS reject FROM x)
  SELECT event_id, expected_ms, reject, reject IS NULL AS plausible, least(active_ms, 3 * expected_ms) AS capped_ms, CASE WHEN reject IS NULL THEN CASE WHEN least(active_ms, 3 * expected_ms) >= 0.5 * expected_ms AND coalesce(sc, 0) >= 0.8 THEN 'read' ELSE 'skim' END END AS engagement FROM y""",
     "daily_windows": f"SELECT {_TS('date_trunc(' + chr(39) + 'day' + chr(39) + ', ts)')} AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2",
     "merged_sources": f"WITH {_SRC} SELECT id, kind, canonical_url, doi, title, array_to_string(authors, ';') AS authors, {_TS('f')} AS first_seen_at, is_private, {_TS('del')} AS deleted_at FROM m",
