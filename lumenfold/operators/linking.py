@@ -2,49 +2,121 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.functions.identity import folded, local_key
 from lumenfold.operators import hierarchy as H
+from lumenfold.operators.vectors import dot
 from lumenfold.session import Scratch
 
-EXACT, PARTIAL, NIL_BELOW = 1.0, 0.7, 0.55
+#: Confidence of an exact and of a partial match, the least that links, candidates per form, occurrences that
+#: make a concept primary.
+EXACT, PARTIAL, NIL_BELOW, CANDIDATES, PRIMARY_FROM = 1.0, 0.7, 0.55, 8, 2
+#: Characters of the grams on which partial matches are joined.
+GRAM = 5
 
 
 def fold(c: Column) -> Column:
-    """Lower case, white space runs to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[\s ]+", " "))
+    """Lower case, NFKC, white space runs to one space, trimmed."""
+    return F.trim(F.regexp_replace(folded(c), r"[\s\u00a0]+", " "))
 
 
-def gazetteer(concept: DataFrame) -> DataFrame:
-    """``(form, concept_id)`` of all labels and aliases, folded; a form of several concepts names the smallest id."""
+def names(concept: DataFrame) -> DataFrame:
+    """Distinct ``(alias, concept_id)`` of all labels and aliases, folded."""
     forms = concept.select(F.col("id").alias("concept_id"), F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("f"))
-    return forms.select(fold(F.col("f")).alias("form"), "concept_id").filter("form <> '' and concept_id is not null").groupBy("form").agg(F.min("concept_id").alias("concept_id"))
+    return forms.select(fold(F.col("f")).alias("alias"), "concept_id").filter("alias <> '' and concept_id is not null").distinct()
 
 
-def _grams(c: Column) -> Column:
-    """All runs of whole words inside a form, the form itself left out."""
-    w = F.split(c, " ")
-    n = F.size(w)
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(w, i, k), " ")))), lambda g: g != c)
+def _grams(c: str) -> Column:
+    """Pieces of a string on which a string inside it can be joined: all of GRAM characters, and all shorter ones."""
+    n = F.length(c)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(c), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(k) for k in range(1, GRAM + 1)]))
 
 
-def link(forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(form, concept_id, confidence)`` per distinct folded form: exact alias 1.0, else 0.7 where one of form and alias
-    is a run of whole words of the other, else no concept.
+def contained(inner: DataFrame, a: str, outer: DataFrame, b: str) -> DataFrame:
+    """Rows of ``inner`` and ``outer`` where string ``a`` is part of string ``b``: an equi-join on the first GRAM characters
+    of ``a`` (all of it, if it is shorter) and the grams of ``b``, then the exact test."""
+    left = inner.withColumn("_g", F.left(F.col(a), F.lit(GRAM)))
+    right = outer.withColumn("_g", F.explode(_grams(b)))
+    return left.join(right, "_g").filter(F.col(b).contains(F.col(a))).drop("_g")
 
-    Both partial cases are equi-joins on word runs, so no form meets all aliases.  Ties go to the longer alias, then id.
-    """
+
+def candidates(forms: DataFrame, name: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """``(form, concepts, exact)`` per distinct folded form with a match: the concepts of that alias, or else those with an
+    alias that contains the form or is part of it; the ``limit`` smallest ids."""
+    f = forms.select(fold(F.col("form")).alias("form")).filter("form <> ''").distinct()
+    exact = f.join(name.withColumnRenamed("alias", "form"), "form").select("form", "concept_id", F.lit(True).alias("exact"))
+    rest = f.join(name.select(F.col("alias").alias("form")).distinct(), "form", "left_anti")
+    fuzzy = contained(name, "alias", rest, "form").select("form", "concept_id").unionByName(contained(rest, "form", name, "alias").select("form", "concept_id"))
+    every = exact.unionByName(fuzzy.distinct().withColumn("exact", F.lit(False)))
+    first = every.withColumn("n", F.row_number().over(Window.partitionBy("form").orderBy("concept_id"))).filter(F.col("n") <= limit)
+    return first.groupBy("form").agg(F.array_sort(F.collect_list("concept_id")).alias("concepts"), F.max("exact").alias("exact"))
+
+
+def link(forms: DataFrame, name: DataFrame) -> DataFrame:
+    """``(form, concept_id, confidence)`` per distinct folded form: the first of its candidates, or no concept, surely."""
     f = forms.select(fold(F.col("form")).alias("form")).filter("form <> ''").distinct()
-    exact = f.join(vocabulary, "form").select("form", "concept_id", F.lit(EXACT).alias("confidence"), F.col("form").alias("alias"))
-    rest = f.join(vocabulary, "form", "left_anti")
-    inside = rest.select("form", F.explode(_grams(F.col("form"))).alias("alias")).join(vocabulary.withColumnRenamed("form", "alias"), "alias")
-    around = vocabulary.select(F.col("form").alias("alias"), "concept_id", F.explode(_grams(F.col("form"))).alias("form")).join(rest, "form")
-    partial = inside.select("form", "concept_id", F.lit(PARTIAL).alias("confidence"), "alias").unionByName(around.select("form", "concept_id", F.lit(PARTIAL).alias("confidence"), "alias"))
-    best = exact.unionByName(partial).groupBy("form").agg(F.max_by(F.struct("concept_id", "confidence"), F.struct("confidence", F.length("alias"), F.col("alias"))).alias("b"))
-    return f.join(best, "form", "left").select("form", F.when(F.col("b.confidence") >= NIL_BELOW, F.col("b.concept_id")).alias("concept_id"), F.coalesce("b.confidence", F.lit(1.0)).alias("confidence"))
+    found = candidates(forms, name)
+    sure = F.when(F.col("concepts").isNull() | F.col("exact"), EXACT).otherwise(PARTIAL)
+    return f.join(found, "form", "left").select("form", F.col("concepts")[0].alias("concept_id"), sure.alias("confidence"))
+
+
+def occurrences(text: Column, form: Column) -> Column:
+    return F.floor((F.length(text) - F.length(F.replace(text, form, F.lit("")))) / F.length(form))
+
+
+def link_spots(spots: DataFrame, chunks: DataFrame, name: DataFrame, targets: DataFrame) -> DataFrame:
+    """Mentions ``(chunk_id, concept_id, start_char, end_char, surface_form, confidence, is_primary)`` of the given spots.
+
+    ``chunks`` has ``(chunk_id, text, title)``; chunks of private sources are left out by the caller.  A form without a
+    concept of enough confidence becomes a local concept named by the form; merged concepts are followed to their
+    ``targets``; a concept is primary where its form is in the title or twice in the chunk; one span names a concept once.
+    """
+    linked = link(spots.select(F.col("surface_form").alias("form")), name)
+    texts = chunks.select("chunk_id", fold(F.col("text")).alias("text"), fold(F.col("title")).alias("title"))
+    rows = spots.withColumn("form", fold(F.col("surface_form"))).join(linked, "form").join(texts, "chunk_id")
+    known = F.when(F.col("confidence") >= NIL_BELOW, F.col("concept_id"))
+    primary = F.col("concept_id").isNotNull() & (F.coalesce(F.col("title").contains(F.col("form")), F.lit(False)) | (occurrences(F.col("text"), F.col("form")) >= PRIMARY_FROM))
+    out = rows.withColumn("is_primary", F.coalesce(primary, F.lit(False))).withColumn("concept_id", F.coalesce(known, local_key(F.col("surface_form")))).filter("concept_id is not null")
+    out = out.join(targets.select("concept_id", "target_id"), "concept_id", "left").withColumn("concept_id", F.coalesce("target_id", "concept_id"))
+    best = F.max(F.struct("confidence", "is_primary", "surface_form"))
+    return out.groupBy("chunk_id", "concept_id", "start_char", "end_char").agg(best.alias("b")).select("chunk_id", "concept_id", "start_char", "end_char", "b.surface_form", "b.confidence", "b.is_primary")
+
+
+def new_locals(mentions: DataFrame, concept: DataFrame) -> DataFrame:
+    """Local concepts ``(id, scheme, label)`` that linking created; those that exist are left as they are."""
+    made = mentions.filter("concept_id like 'local:%'").groupBy(F.col("concept_id").alias("id")).agg(F.min("surface_form").alias("label"))
+    return made.join(concept.select("id").distinct(), "id", "left_anti").select("id", F.lit("local").alias("scheme"), "label")
+
+
+def reconcile(requests: DataFrame, decisions: DataFrame, found: DataFrame) -> DataFrame:
+    """Decisions of a model beside the mentions it was asked about: ``requests`` with ``concept_id, confidence, is_primary``.
+
+    The n-th decision on a form of a chunk answers its n-th mention; a concept that was not among the form's candidates
+    counts as none with confidence 0; confidences are cut to 0..1.
+    """
+    nth = lambda: F.row_number().over(Window.partitionBy("chunk_id", "surface_form").orderBy("start_char", "end_char", "id"))
+    asked = requests.select("id", "chunk_id", "surface_form", "start_char", "end_char").withColumn("n", nth()).withColumn("form", fold(F.col("surface_form")))
+    said = decisions.withColumn("n", nth()).select("chunk_id", "surface_form", "n", F.col("concept_id").alias("said"), F.col("confidence").alias("c"), F.col("is_primary").alias("p"))
+    both = asked.join(said, ["chunk_id", "surface_form", "n"], "left").join(found.select("form", "concepts"), "form", "left")
+    ok = F.coalesce(F.array_contains("concepts", F.col("said")), F.lit(False))
+    return both.select("id", F.when(ok, F.col("said")).alias("concept_id"), F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("c", F.lit(0.0))))).otherwise(0.0).alias("confidence"), (ok & F.coalesce("p", F.lit(False))).alias("is_primary"))
+
+
+def ancestors(edge: DataFrame, start: DataFrame, scratch: Scratch, depth: int = 4) -> DataFrame:
+    """Vocabulary edges ``(from_concept, to_concept, relation)`` met on the way up from the ids in ``start``, level by level."""
+    up = edge.filter("provenance = 'vocabulary' and from_concept is not null and to_concept is not null").select("from_concept", "to_concept", "relation").distinct()
+    seen = frontier = scratch.put(start.select(F.col("id").alias("from_concept")).filter("from_concept is not null").distinct())
+    found = None
+    for _ in range(depth):
+        step = scratch.put(up.join(frontier, "from_concept", "left_semi"))
+        found = step if found is None else found.unionByName(step)
+        frontier = scratch.put(step.select(F.col("to_concept").alias("from_concept")).distinct().join(seen, "from_concept", "left_anti"))
+        seen = seen.unionByName(frontier)
+    return found
 
 
 def resolve_merges(merges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
@@ -55,14 +127,28 @@ def resolve_merges(merges: DataFrame, a: str, b: str, scratch: Scratch) -> DataF
     return out.unionByName(H.cycles(state, scratch).select(F.col("node").alias("concept_id"), F.col("cycle_id").alias("target_id"))) if lost else out
 
 
-def apply_overrides(mention: DataFrame, rejected: DataFrame, added: DataFrame, targets: DataFrame) -> DataFrame:
-    """Mentions after the user's corrections: rejected (chunk, concept) pairs removed, forced ones added with confidence
-    1 as primary, merged concepts renamed; of rows that clash after a merge the most confident stays."""
-    m = mention.select("chunk_id", "concept_id", "start_char", "end_char", "confidence", "is_primary").join(rejected.select("chunk_id", "concept_id"), ["chunk_id", "concept_id"], "left_anti")
-    forced = added.select("chunk_id", "concept_id", F.coalesce("start_char", F.lit(0)).cast("long").alias("start_char"), (F.coalesce("start_char", F.lit(0)) + 1).cast("long").alias("end_char"), F.lit(1.0).alias("confidence"), F.lit(True).alias("is_primary"))
-    both = m.unionByName(forced).join(targets, "concept_id", "left").withColumn("concept_id", F.coalesce("target_id", "concept_id")).drop("target_id")
-    w = Window.partitionBy("chunk_id", "concept_id", "start_char").orderBy(F.desc_nulls_last("confidence"), "end_char", F.desc_nulls_last("is_primary"))
-    return both.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+def apply_overrides(mention: DataFrame, rejected: DataFrame, added: DataFrame, targets: DataFrame, chunks: DataFrame, concept: DataFrame) -> DataFrame:
+    """Mentions ``(chunk_id, concept_id, start_char, end_char, confidence, is_primary)`` after the user's corrections.
+
+    Rejected (chunk, concept) pairs go; added pairs that have no mention yet come in as primary with confidence 1, at the
+    place of the concept's label in the chunk or else with one character at its start (unknown chunks and concepts are
+    ignored); merged concepts are renamed, and where the chunk has a mention of the target already, or had another one
+    renamed before, the later row goes.
+    """
+    m = mention.select("chunk_id", "concept_id", "start_char", "end_char", "confidence", "is_primary").distinct().join(rejected.select("chunk_id", "concept_id").distinct(), ["chunk_id", "concept_id"], "left_anti")
+    fresh = added.select("chunk_id", "concept_id").distinct().join(m.select("chunk_id", "concept_id").distinct(), ["chunk_id", "concept_id"], "left_anti")
+    placed = fresh.join(chunks.select("chunk_id", F.col("start_char").alias("at"), "text"), "chunk_id").join(concept.select(F.col("id").alias("concept_id"), "label"), "concept_id")
+    hit = F.position(F.lower("label"), F.lower("text"))
+    forced = placed.select(
+        "chunk_id", "concept_id", (F.col("at") + F.greatest(hit - 1, F.lit(0))).cast("long").alias("start_char"), (F.col("at") + F.when(hit > 0, hit - 1 + F.length("label")).otherwise(1)).cast("long").alias("end_char"),
+        F.lit(1.0).alias("confidence"), F.lit(True).alias("is_primary"),
+    )
+    both = m.unionByName(forced).join(targets.select("concept_id", "target_id"), "concept_id", "left")
+    moved = both.filter("target_id is not null and target_id <> concept_id").withColumn("concept_id", F.col("target_id"))
+    stay = both.filter("target_id is null or target_id = concept_id")
+    w = Window.partitionBy("chunk_id", "concept_id").orderBy("start_char", "end_char", F.desc_nulls_last("confidence"), F.desc_nulls_last("is_primary"))
+    first = moved.join(stay.select("chunk_id", "concept_id").distinct(), ["chunk_id", "concept_id"], "left_anti").withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+    return stay.unionByName(first).drop("target_id")
 
 
 def label_tokens(c: Column) -> Column:
@@ -93,30 +179,88 @@ def similar_labels(concept: DataFrame, at_least: float = 0.5) -> tuple[DataFrame
     return found, t.join(classes, "t").select("concept_id", "class_id")
 
 
-def _greedy(g: pd.DataFrame) -> pd.DataFrame:
-    g = g.sort_values(["g_start", "g_end", "g_id", "p_start", "p_end", "p_id"])
-    used_g, used_p, keep = set(), set(), []
-    for row in g.itertuples():
-        if row.g_id not in used_g and row.p_id not in used_p:
-            used_g.add(row.g_id)
-            used_p.add(row.p_id)
-            keep.append(row.Index)
-    return g.loc[keep, ["chunk_id", "g_id", "p_id", "same"]]
+def proposed_merges(concept: DataFrame, centroid: DataFrame, blocked: DataFrame, min_label: float = 0.5, min_centroid: float = 0.6, auto: float = 0.9) -> DataFrame:
+    """``(from_id, to_id, label_similarity, centroid_similarity, auto_applicable)``: local concepts whose labels and
+    centroids are similar and which the user did not keep apart; the later id merges into the earlier.
+
+    Concepts of equal label words are one class: each member is compared with the class's smallest id, and classes by
+    these, so a label that a third of all concepts bear gives one row per concept.
+    """
+    pairs, classes = similar_labels(concept.filter("scheme = 'local'"), min_label)
+    same = classes.filter("concept_id <> class_id").select(F.col("class_id").alias("a"), F.col("concept_id").alias("b"), F.lit(1.0).alias("similarity"))
+    side = lambda c: centroid.select(F.col("concept_id").alias(c), F.col("u").alias("u" + c))
+    both = pairs.unionByName(same).join(side("a"), "a").join(side("b"), "b").withColumn("centroid_similarity", dot(F.col("ua"), F.col("ub"))).filter(F.col("centroid_similarity") >= min_centroid)
+    apart = blocked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ok = both.join(apart, ["a", "b"], "left_anti")
+    return ok.select(F.col("b").alias("from_id"), F.col("a").alias("to_id"), F.col("similarity").alias("label_similarity"), "centroid_similarity", ((F.col("similarity") >= auto) & (F.col("centroid_similarity") >= auto)).alias("auto_applicable"))
 
 
 def match_spans(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One-to-one matches ``(chunk_id, g_id, p_id, same)`` of overlapping spans, greedily in order of the gold spans."""
-    side = lambda d, p: d.select("chunk_id", F.col("id").alias(p + "id"), F.col("start_char").alias(p + "start"), F.col("end_char").alias(p + "end"), F.col("concept_id").alias(p + "concept")).distinct()
-    pairs = side(gold, "g_").join(side(predicted, "p_"), "chunk_id").filter("g_start < p_end and p_start < g_end")
-    same = pairs.select("chunk_id", "g_id", "g_start", "g_end", "p_id", "p_start", "p_end", F.col("g_concept").eqNullSafe(F.col("p_concept")).alias("same"))
-    return same.groupBy("chunk_id").applyInPandas(_greedy, "chunk_id string, g_id string, p_id string, same boolean")
-
-
-def evaluation(gold: DataFrame, matches: DataFrame) -> DataFrame:
-    """Precision, recall and F1: a wrong concept is a false positive and a false negative, unmatched predictions are
-    ignored, empty ratios are 0."""
-    n = gold.select("id").distinct().agg(F.count(F.lit(1)).alias("gold")).withColumn("k", F.lit(1))
-    m = matches.agg(F.count_if("same").alias("tp"), F.count_if(~F.col("same")).alias("fp")).withColumn("k", F.lit(1))
-    x = n.join(m, "k").withColumn("fn", F.col("gold") - F.col("tp"))
-    p, r = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide("tp", "gold"), F.lit(0.0))
-    return x.select("gold", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+    """One-to-one matches ``(g_id, p_id)`` of overlapping spans of a chunk: each gold span in order takes the first
+    prediction that is still free.  The overlaps of one chunk are folded in one row."""
+    side = lambda d, p: d.select("chunk_id", *[F.col(c).alias(p + c) for c in ("start_char", "end_char", "id")]).distinct()
+    pairs = side(gold, "g_").join(side(predicted, "p_"), "chunk_id").filter("g_start_char < p_end_char and p_start_char < g_end_char")
+    order = F.array_sort(F.collect_list(F.struct("g_start_char", "g_end_char", "g_id", "p_start_char", "p_end_char", "p_id")))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("g"), none.alias("p"))
+
+    def take(s: Column, x: Column) -> Column:
+        free = ~F.array_contains(s["g"], x["g_id"]) & ~F.array_contains(s["p"], x["p_id"])
+        more = lambda a, v: F.when(free, F.concat(a, F.array(v))).otherwise(a)
+        return F.struct(more(s["g"], x["g_id"]).alias("g"), more(s["p"], x["p_id"]).alias("p"))
+
+    taken = pairs.groupBy("chunk_id").agg(order.alias("o")).select(F.aggregate("o", start, take).alias("t"))
+    return taken.select(F.explode(F.arrays_zip("t.g", "t.p")).alias("x")).select(F.col("x.g").alias("g_id"), F.col("x.p").alias("p_id"))
+
+
+def judged(gold: DataFrame, predicted: DataFrame, min_confidence: float = NIL_BELOW) -> DataFrame:
+    """Every gold mention with ``kind``: correct, wrong_primary, wrong_concept, missed_link, not_spotted, spurious_link or
+    correct_nil; ``expected`` and ``actual`` are the concepts, or the flag that is wrong."""
+    p = predicted.filter("id is not null")
+    m = match_spans(gold, p)
+    g = gold.select(F.col("id").alias("g_id"), "chunk_id", "start_char", "end_char", "surface_form", F.col("concept_id").alias("expected"), F.coalesce("is_primary", F.lit(False)).alias("g_primary")).dropDuplicates(["g_id"])
+    said = p.select(F.col("id").alias("p_id"), F.when(F.col("confidence") >= min_confidence, F.col("concept_id")).alias("actual"), F.coalesce("is_primary", F.lit(False)).alias("p_primary")).dropDuplicates(["p_id"])
+    x = g.join(m, "g_id", "left").join(said, "p_id", "left")
+    e, a = F.col("expected"), F.col("actual")
+    kind = (
+        F.when(e.isNull(), F.when(a.isNull(), "correct_nil").otherwise("spurious_link")).when(F.col("p_id").isNull(), "not_spotted").when(a.isNull(), "missed_link").when(a != e, "wrong_concept")
+        .when(F.col("g_primary") == F.col("p_primary"), "correct").otherwise("wrong_primary")
+    )
+    y = x.withColumn("kind", kind)
+    shown = F.when(F.col("kind") == "wrong_primary", F.concat(F.lit("primary="), F.col("p_primary").cast("string"))).otherwise(F.col("actual"))
+    return y.select("g_id", "chunk_id", "start_char", "end_char", "surface_form", "expected", shown.alias("actual"), "kind")
+
+
+def evaluation(j: DataFrame) -> DataFrame:
+    """Counts and ratios of ``judged`` mentions: a wrong concept is a false positive and a false negative, a wrong primary
+    flag is still a true positive, unmatched predictions are ignored, empty ratios are 0."""
+    n = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    x = j.agg(
+        F.count("expected").alias("linkable"), n("correct", "wrong_primary").alias("tp"), n("wrong_concept", "spurious_link").alias("fp"), n("not_spotted", "missed_link", "wrong_concept").alias("fn"),
+        n("correct_nil", "spurious_link").alias("nil_total"), n("correct_nil").alias("nil_correct"), n("correct").alias("primary_correct"), n("not_spotted").alias("missed_by_spotter"),
+    )
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    return x.select("*", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), ratio(F.col("nil_correct"), F.col("nil_total")).alias("nil_accuracy"), ratio(F.col("primary_correct"), F.col("tp")).alias("primary_accuracy"))
+
+
+def stability(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(comparable, stable, stability)`` of two runs (``judged``): errors on the same form of the same chunk count as stable
+    if both gave the same concept; what both got right is stable."""
+    last = lambda j, c: j.filter("kind not in ('correct', 'correct_nil')").groupBy("chunk_id", "surface_form").agg(F.max_by(F.struct("actual"), F.struct("start_char", "end_char", "g_id"))["actual"].alias(c))
+    shared = last(before, "a").join(last(after, "b"), ["chunk_id", "surface_form"]).agg(F.count(F.lit(1)).alias("errors"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("same")).withColumn("k", F.lit(1))
+    right = lambda j, c: evaluation(j).select(F.col("tp").alias(c), F.lit(1).alias("k"))
+    x = shared.join(right(before, "t1"), "k").join(right(after, "t2"), "k").withColumn("agreed", F.least("t1", "t2"))
+    return x.select((F.col("errors") + F.col("agreed")).alias("comparable"), (F.col("same") + F.col("agreed")).alias("stable")).withColumn("stability", F.coalesce(F.try_divide("stable", "comparable"), F.lit(0.0)))
+
+
+def report(e: DataFrame) -> DataFrame:
+    """``(n, line)``: an evaluation as text."""
+    pct = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
+    lines = [
+        F.concat(F.lit("linkable "), F.col("linkable"), F.lit(", without concept "), F.col("nil_total")),
+        F.concat(F.lit("precision "), pct("precision"), F.lit(" ("), F.col("tp"), F.lit(" right, "), F.col("fp"), F.lit(" wrong)")),
+        F.concat(F.lit("recall "), pct("recall"), F.lit(" ("), F.col("fn"), F.lit(" missed, "), F.col("missed_by_spotter"), F.lit(" not spotted)")),
+        F.concat(F.lit("f1 "), pct("f1")), F.concat(F.lit("nil accuracy "), pct("nil_accuracy")), F.concat(F.lit("primary accuracy "), pct("primary_accuracy")),
+    ]
+    return e.select(F.posexplode(F.array(*lines)).alias("n", "line"))

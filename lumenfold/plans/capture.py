@@ -63,14 +63,7 @@ def validation_report(s: SparkSession, d: str) -> DataFrame:
     return schema.report(_all(s, d))
 
 
-def identity_stability(s: SparkSession, d: str) -> DataFrame:
-    """Spans that two models linked: how many to the same concept."""
-    m = table(s, d, "mention").filter("concept_id is not null").groupBy("chunk_id", "start_char", "end_char", "model_id").agg(F.min("concept_id").alias("c"))
-    g = m.groupBy("chunk_id", "start_char", "end_char").agg(F.count(F.lit(1)).alias("models"), F.count_distinct("c").alias("concepts")).filter("models > 1")
-    return g.agg(F.count(F.lit(1)).alias("comparable"), F.count_if(F.col("concepts") == 1).alias("stable"))
-
-
-_FNS = (capture_fold, delete_counts, egress_summary, redacted_urls, evidence_spans, item_drafts, keyword_grade, validation_report, identity_stability)
+_FNS = (capture_fold, delete_counts, egress_summary, redacted_urls, evidence_spans, item_drafts, keyword_grade, validation_report)
 QUERIES = {f.__name__: f for f in _FNS}
 
 _D = DOI_SQL.format
@@ -101,5 +94,4 @@ ORACLES = {
  UNION ALL SELECT 'self_citation', count(*) FILTER (WHERE f = t) FROM (SELECT {_D('from_doi')} AS f, {_D('to_doi')} AS t FROM citation) UNION ALL SELECT 'dimension_mismatch', count(*) FILTER (WHERE len(vector) <> dim) FROM embedding_meta
  UNION ALL SELECT 'no_identity', count(*) FILTER (WHERE canonical_url IS NULL AND doi IS NULL AND content_hash IS NULL) FROM reading_source UNION ALL SELECT 'unknown_relation', count(*) FILTER (WHERE relation NOT IN ('subclass_of', 'part_of', 'co_occurs', 'user_linked', 'cites')) FROM edge
  UNION ALL SELECT 'unknown_provenance', count(*) FILTER (WHERE provenance NOT IN ('vocabulary', 'corpus_stats', 'user', 'citation_graph')) FROM edge""",
-    "identity_stability": "WITH m AS (SELECT chunk_id, start_char, end_char, model_id, min(concept_id) AS c FROM mention WHERE concept_id IS NOT NULL GROUP BY 1, 2, 3, 4), g AS (SELECT count(*) AS k, count(DISTINCT c) AS n FROM m GROUP BY chunk_id, start_char, end_char HAVING count(*) > 1) SELECT count(*) AS comparable, count(*) FILTER (WHERE n = 1) AS stable FROM g",
 }

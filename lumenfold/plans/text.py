@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lumenfold.functions import identity as I
 from lumenfold.functions import privacy as P
 from lumenfold.functions.spotter import spot
-from lumenfold.operators import linking as L
 from lumenfold.plans.dealt import DOI_SQL
 from lumenfold.session import Scratch
 from lumenfold.sources import exchange as X
@@ -87,30 +86,6 @@ def spots(s: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("k.id").alias("key"), *[(F.col(x) + F.col("k.at")).alias(x) for x in ("start_char", "end_char")], "surface_form", "signal").distinct()
 
 
-def rule_link(s: SparkSession, d: str) -> DataFrame:
-    return L.link(table(s, d, "mention").select(F.col("surface_form").alias("form")), L.gazetteer(table(s, d, "concept")))
-
-
-def merge_resolution(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "edge").filter("relation = 'user_linked' and provenance = 'user' and from_concept <> to_concept")
-    return L.resolve_merges(e, "from_concept", "to_concept", Scratch(s, "merges"))
-
-
-def merge_proposals(s: SparkSession, d: str) -> DataFrame:
-    return L.similar_labels(table(s, d, "concept"))[0].select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
-def label_classes(s: SparkSession, d: str) -> DataFrame:
-    return L.similar_labels(table(s, d, "concept"))[1]
-
-
-def linking_eval(s: SparkSession, d: str) -> DataFrame:
-    """The judge model's mentions as gold for the rule model's."""
-    m = table(s, d, "mention").filter("concept_id is not null")
-    gold = m.filter("model_id like 'judge%'")
-    return L.evaluation(gold, L.match_spans(gold, m.filter("model_id like 'rule%'")))
-
-
 def export_lines(s: SparkSession, d: str) -> DataFrame:
     cols = ["id", "from_concept", "to_concept", "relation", "provenance"]
     return X.export_lines({"edge": (table(s, d, "edge").select(*cols).distinct(), ["id"])}).filter("ord > 0").select("value")
@@ -127,8 +102,7 @@ def stream_deduplicated(s: SparkSession, d: str) -> DataFrame:
 
 
 _FNS = (
-    canonical_url, source_ids, doi_normalise, ulid_times, local_keys, text_fingerprint_copies, classify_url, redact_counts, html_meta, page_outcomes, text_titles, normal_texts, version_dedupe, spots, rule_link, merge_resolution, merge_proposals,
-    label_classes, linking_eval, export_lines, stream_daily_windows, stream_deduplicated,
+    canonical_url, source_ids, doi_normalise, ulid_times, local_keys, text_fingerprint_copies, classify_url, redact_counts, html_meta, page_outcomes, text_titles, normal_texts, version_dedupe, spots, export_lines, stream_daily_windows, stream_deduplicated,
 )
 QUERIES = {f.__name__: f for f in _FNS}
 
@@ -149,12 +123,6 @@ def _canon(rel: str, url: str) -> str:
  cu AS (SELECT *, CASE WHEN regexp_matches(trim({url}), '{_SHAPE}', 'i') THEN 'https://' || host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || path || CASE WHEN coalesce(tail, '') = '' THEN '' ELSE '?' || tail END END AS canonical, coalesce(array_to_string(gone, ','), '') AS dropped FROM c2)"""
 
 
-_FOLD = lambda c: f"trim(regexp_replace(lower({c}), '[\\s\\x{{A0}}]+', ' ', 'g'))"
-_GRAMS = "list_filter(flatten(list_transform(range(1, n + 1), lambda i: list_transform(range(i, n + 1), lambda j: array_to_string(list_slice(w, i, j), ' ')))), lambda g: g <> form)"
-_GAZ = f"gz AS (SELECT form, min(id) AS concept_id FROM (SELECT id, {_FOLD('f')} AS form FROM (SELECT id, unnest(list_concat([label], coalesce(aliases, []))) AS f FROM concept WHERE id IS NOT NULL)) WHERE form <> '' GROUP BY 1)"
-_STEM = "CASE WHEN regexp_full_match(x, '[a-z0-9_]+ies') THEN regexp_replace(x, 'ies$', 'y') WHEN regexp_full_match(x, '[a-z0-9_]+es') THEN regexp_replace(x, 'es$', '') WHEN regexp_full_match(x, '[a-z0-9_]+s') THEN regexp_replace(x, 's$', '') ELSE x END"
-_LAB = f"""WITH t0 AS (SELECT id, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(label), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> ''), lambda x: {_STEM}))) AS t FROM concept WHERE label IS NOT NULL),
- t AS (SELECT id, min(t) AS t FROM t0 WHERE len(t) > 0 GROUP BY 1), c AS (SELECT t, min(id) AS class_id FROM t GROUP BY 1)"""
 ORACLES = {
     "canonical_url": f"WITH u AS (SELECT DISTINCT fetch_id, final_url AS url FROM fetched_document), {_canon('u', 'url')} SELECT fetch_id, canonical, dropped FROM cu",
     "source_ids": f"WITH {_canon('reading_source', 'canonical_url')} SELECT DISTINCT id, coalesce('s-doi-' || substr(sha256('doi:' || {DOI_SQL.format('doi')}), 1, 24), 's-url-' || substr(sha256('url:' || canonical), 1, 24), 's-cnt-' || substr(sha256('content:' || content_hash), 1, 24)) AS derived FROM cu",
@@ -169,16 +137,6 @@ ORACLES = {
  nullif(regexp_extract(body, '(?i)<link[^>]*rel=["'']canonical["''][^>]*href=["'']([^"'']+)["'']', 1), '') AS canonical, nullif(regexp_extract(body, '(?i)<html[^>]*\\slang=["'']([A-Za-z-]+)["'']', 1), '') AS lang FROM fetched_document WHERE body IS NOT NULL""",
     "normal_texts": "SELECT DISTINCT id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM document_version WHERE text IS NOT NULL",
     "version_dedupe": "SELECT source_id, text_hash, arg_min(id, (recorded_at, id)) AS id, count(DISTINCT id) AS versions FROM document_version WHERE source_id IS NOT NULL AND text_hash IS NOT NULL GROUP BY 1, 2",
-    "rule_link": f"""WITH {_GAZ}, f AS (SELECT DISTINCT {_FOLD('surface_form')} AS form FROM mention WHERE {_FOLD('surface_form')} <> ''), fw AS (SELECT form, str_split(form, ' ') AS w, len(str_split(form, ' ')) AS n FROM f),
- gw AS (SELECT form, concept_id, str_split(form, ' ') AS w, len(str_split(form, ' ')) AS n FROM gz), fg AS (SELECT form, unnest({_GRAMS}) AS alias FROM fw), gg AS (SELECT form AS alias, concept_id, unnest({_GRAMS}) AS form FROM gw),
- k AS (SELECT f.form, concept_id, 1.0 AS c, f.form AS alias FROM f JOIN gz USING (form) UNION ALL SELECT fg.form, gz.concept_id, 0.7, fg.alias FROM fg JOIN gz ON gz.form = fg.alias WHERE fg.form NOT IN (SELECT form FROM gz) UNION ALL SELECT gg.form, gg.concept_id, 0.7, gg.alias FROM gg JOIN f ON f.form = gg.form WHERE gg.form NOT IN (SELECT form FROM gz)),
- b AS (SELECT form, arg_max(concept_id, (c, length(alias), alias)) AS concept_id, max(c) AS c FROM k GROUP BY 1) SELECT f.form, b.concept_id, coalesce(b.c, 1.0)::DOUBLE AS confidence FROM f LEFT JOIN b USING (form)""",
-    "merge_resolution": """WITH RECURSIVE e AS (SELECT from_concept AS a, min(to_concept) AS b FROM edge WHERE relation = 'user_linked' AND provenance = 'user' AND from_concept <> to_concept GROUP BY 1),
- w AS (SELECT a AS start, b AS cur, [a] AS seen FROM e UNION ALL SELECT w.start, e.b, list_append(w.seen, w.cur) FROM w JOIN e ON e.a = w.cur WHERE NOT list_contains(w.seen, w.cur)),
- x AS (SELECT start, arg_max(cur, len(seen)) AS cur, arg_max(seen, len(seen)) AS seen FROM w GROUP BY 1)
- SELECT start AS concept_id, CASE WHEN list_contains(seen, cur) THEN list_min(list_slice(seen, list_position(seen, cur), len(seen))) ELSE cur END AS target_id FROM x""",
-    "merge_proposals": _LAB + " SELECT x.class_id AS a, y.class_id AS b, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))::DOUBLE, 6) AS similarity FROM c x JOIN c y ON x.class_id < y.class_id WHERE len(list_intersect(x.t, y.t)) * 2 >= len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))",
-    "label_classes": _LAB + " SELECT t.id AS concept_id, c.class_id FROM t JOIN c USING (t)",
     "export_lines": """SELECT to_json(struct_pack(t := 'edge', r := struct_pack(id := id, from_concept := from_concept, to_concept := to_concept, relation := relation, provenance := provenance)))::VARCHAR AS value FROM (SELECT DISTINCT id, from_concept, to_concept, relation, provenance FROM edge)""",
     "stream_daily_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2",
     "stream_deduplicated": "SELECT id, min(source_id) AS source_id FROM ingestion_event WHERE recorded_at IS NOT NULL GROUP BY 1",

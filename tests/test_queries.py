@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 from oracle import DATA, check
 
-from lumenfold.plans import capture, coverage, dealt, learning, text
+from lumenfold.plans import capture, coverage, dealt, learning, linking, text
 
-MODULES = (dealt, coverage, learning, text, capture)
+MODULES = (dealt, coverage, learning, text, capture, linking)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
