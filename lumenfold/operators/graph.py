@@ -61,6 +61,13 @@ def clusters(links: DataFrame, scratch: Scratch, min_size: int = 2) -> DataFrame
     return label.join(sizes, "l").filter(F.col("count") >= min_size).select(F.col("v").alias("concept_id"), F.col("l").alias("cluster_id"), F.col("count").alias("size"))
 
 
+def rewritten(edge: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct edges with those of an older run of the corpus statistics replaced by ``pairs`` (a, b, shared)."""
+    mine = (F.col("relation") == "co_occurs") & (F.col("provenance") == "corpus_stats")
+    kept = edge.filter(~F.coalesce(mine, F.lit(False))).select("from_concept", "to_concept", "relation", "provenance", "weight").distinct()
+    return kept.unionByName(pairs.select(F.col("a").alias("from_concept"), F.col("b").alias("to_concept"), F.lit("co_occurs").alias("relation"), F.lit("corpus_stats").alias("provenance"), F.col("shared").cast("double").alias("weight")))
+
+
 def bridge_gaps(cluster: DataFrame, limit: int = 10) -> DataFrame:
     """Pairs of clusters by the product of their sizes, largest first.
 

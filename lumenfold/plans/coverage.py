@@ -220,15 +220,24 @@ def _store(s: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
-    """The chunks nearest to the vector of the smallest chunk id."""
-    store = Scratch(s, "topk").put(_store(s, d))
-    return E.top_k(store, store.orderBy("chunk_id").limit(1).collect()[0]["u"]).select("chunk_id", F.round("score", 6).alias("score"))
+    """The ten chunks nearest to every chunk whose id has an md5 below 0d, one in twenty."""
+    scratch = Scratch(s, "topk")
+    store = scratch.put(_store(s, d))
+    out = E.top_k_each(store, store.filter(F.substring(F.md5("chunk_id"), 1, 2) < "0d"), scratch)
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def novelty(s: SparkSession, d: str) -> DataFrame:
-    """Novelty of the 20 versions of greatest id (the latest captures)."""
-    store = Scratch(s, "novelty").put(_store(s, d))
-    return E.novelty(store, store.select("document_version_id").distinct().orderBy(F.desc("document_version_id")).limit(20)).select("document_version_id", F.round("novelty", 6).alias("novelty"), "comparable")
+    scratch = Scratch(s, "novelty")
+    return E.novelty(scratch.put(_store(s, d)), scratch).select("document_version_id", F.round("novelty", 6).alias("novelty"), "comparable")
+
+
+def recorded_novelty(s: SparkSession, d: str) -> DataFrame:
+    """Events with novelty as recorded from the vectors."""
+    scratch = Scratch(s, "record")
+    e = table(s, d, "ingestion_event").select("id", "source_id", "novelty", "novelty_model_id").distinct()
+    out = E.record_novelty(e, table(s, d, "document_version"), E.novelty(scratch.put(_store(s, d)), scratch), MODEL)
+    return out.select("id", "source_id", F.round("novelty", 6).alias("novelty"), "novelty_model_id")
 
 
 def concept_centroid(s: SparkSession, d: str) -> DataFrame:
@@ -245,13 +254,63 @@ def literal_search(s: SparkSession, d: str) -> DataFrame:
     return E.literal_search(table(s, d, "documents"), "doc_id", "text", "Practice Session")
 
 
+def _chunk_texts(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "document_version").filter("id is not null").groupBy(F.col("id").alias("document_version_id")).agg(F.min("text").alias("text"))
+    c = table(s, d, "chunk").filter("id is not null").groupBy(F.col("id").alias("chunk_id")).agg(F.min(F.struct("document_version_id", "start_char", "end_char", "section_path")).alias("c")).select("chunk_id", "c.*")
+    return c.join(v, "document_version_id").withColumn("text", F.expr("substring(text, cast(start_char + 1 as int), cast(end_char - start_char as int))"))
+
+
 def hash_embedding(s: SparkSession, d: str) -> DataFrame:
-    return E.hash_embedding(table(s, d, "concept").filter("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label")), "id", F.col("label")).select("id", "i", F.round("x", 6).alias("x"))
+    """Embeddings of the texts of all chunks."""
+    return E.hash_embedding(_chunk_texts(s, d), "chunk_id", F.col("text")).select("chunk_id", "i", F.round("x", 6).alias("x"))
+
+
+def rebuilt_embeddings(s: SparkSession, d: str) -> DataFrame:
+    """Rows per chunk and model after the chunks of all English versions were embedded anew."""
+    old = table(s, d, "embedding_meta").filter("chunk_id is not null").select("chunk_id", "model_id").distinct()
+    english = table(s, d, "document_version").filter("lang = 'en'").select(F.col("id").alias("document_version_id")).distinct()
+    scope = _chunk_texts(s, d).join(english, "document_version_id", "left_semi")
+    fresh = E.hash_embedding(scope, "chunk_id", F.col("text")).select("chunk_id", F.lit("hash-128").alias("model_id")).distinct()
+    return E.rebuilt(old, fresh, scope, "chunk_id").groupBy("model_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+SEARCH = "the practice session repeats the older margin note"
+
+
+def semantic_search(s: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(s, "semantic")
+    texts = scratch.put(_chunk_texts(s, d))
+    hits = E.semantic_search(E.hash_embedding(texts, "chunk_id", F.col("text")), SEARCH)
+    return hits.join(texts.select("chunk_id", "document_version_id", "section_path"), "chunk_id").select("chunk_id", "document_version_id", "section_path", F.round("score", 6).alias("score"))
+
+
+def vector_put(s: SparkSession, d: str) -> DataFrame:
+    """Vectors computed from 2025 on put into a store of the earlier ones."""
+    m = table(s, d, "embedding_meta").filter("chunk_id is not null and model_id is not null")
+    late = F.coalesce(F.col("computed_at") >= F.to_timestamp(F.lit("2025-01-01")), F.lit(False))
+    out = E.put(m.filter(~late), m.filter(late))
+    return out.groupBy("model_id").agg(F.count(F.lit(1)).alias("vectors"), iso(F.max("computed_at")).alias("latest"))
+
+
+def model_guard(s: SparkSession, d: str) -> DataFrame:
+    return E.guard_one_model(table(s, d, "embedding_meta"))
+
+
+def blob_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Vectors after a way through blobs: their length and sum."""
+    m = table(s, d, "embedding_meta").filter("chunk_id is not null and model_id is not null and vector is not null").select("chunk_id", "model_id", E.to_blob(F.col("vector")).alias("blob"), F.size("vector").alias("n"))
+    v = m.select("chunk_id", "model_id", E.from_blob(F.col("blob"), F.col("n")).alias("v"))
+    return v.select("chunk_id", "model_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total")).distinct()
+
+
+def edges_rewritten(s: SparkSession, d: str) -> DataFrame:
+    """Edges after the corpus statistics were computed anew."""
+    return G.rewritten(table(s, d, "edge"), G.cooccurrence(_sources(s, d), 2)).select("from_concept", "to_concept", "relation", "provenance", "weight")
 
 
 _FNS = (
     coverage_rollup, coverage_for, source_detail, taxonomy_rooted, neighbourhood_vocabulary, uncovered_but_recurring, stale_coverage, taxonomy, taxonomy_covered, taxonomy_holes, timeline, timeline_buckets, prior_coverage, recent_events, engagement_high_water, top_concepts, corpus_stats, vectors_by_model,
-    index_pending, link_pending, cooccurrence, concept_clusters, bridge_gaps, neighbourhood, work_upsert, work_backfill, convergent_references, suggestion_candidates, suggestion_slate, vector_topk, novelty, concept_centroid, neighbour_concepts,
+    index_pending, link_pending, cooccurrence, concept_clusters, bridge_gaps, neighbourhood, work_upsert, work_backfill, convergent_references, suggestion_candidates, suggestion_slate, vector_topk, novelty, recorded_novelty, concept_centroid, rebuilt_embeddings, semantic_search, vector_put, model_guard, blob_round_trip, edges_rewritten, neighbour_concepts,
     literal_search, hash_embedding,
 )
 QUERIES = {f.__name__: f for f in _FNS}
@@ -304,6 +363,12 @@ lu AS (SELECT *, NOT chosen AND row_number() OVER (PARTITION BY chosen ORDER BY
 vs AS (SELECT chunk_id, max(document_version_id) AS document_version_id, any_value(vector)::DOUBLE[] AS v FROM embedding_meta WHERE model_id = '{MODEL}' AND vector IS NOT NULL AND len(vector) = dim AND list_max(list_transform(vector, lambda x: abs(x))) > 0 GROUP BY 1)
 """
 _HASH = "list_reduce(list_prepend({seed}::BIGINT, list_transform(str_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT)"
+_NOV = """nb AS (SELECT a.document_version_id, max(list_cosine_similarity(a.v, b.v)) AS s FROM vs a JOIN vs b ON b.document_version_id <> a.document_version_id GROUP BY 1),
+ nv AS (SELECT d.document_version_id, 1 - greatest(0, least(1, coalesce(s, 0))) AS novelty, s IS NOT NULL AS comparable FROM (SELECT DISTINCT document_version_id FROM vs WHERE document_version_id IS NOT NULL) d LEFT JOIN nb USING (document_version_id))"""
+_TEXTS = """tx AS (SELECT c.chunk_id, c.document_version_id, c.section_path, substr(v.text, c.start_char + 1, c.end_char - c.start_char) AS text FROM (SELECT id AS chunk_id, unnest(min(struct_pack(document_version_id, start_char, end_char, section_path))) FROM chunk WHERE id IS NOT NULL GROUP BY 1) c
+ JOIN (SELECT id, min(text) AS text FROM document_version WHERE id IS NOT NULL GROUP BY 1) v ON v.id = c.document_version_id)"""
+_EMBED = f"""n AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM l) WHERE length(w) > 1 GROUP BY 1, 2), hw AS (SELECT w, {_HASH.format(seed=E.SEED_1)} % 128 AS h1, {_HASH.format(seed=E.SEED_2)} % 128 AS h2 FROM (SELECT DISTINCT w FROM n)),
+ p AS (SELECT id, h1 AS i, 1 + ln(n) AS x FROM n JOIN hw USING (w) UNION ALL SELECT id, h2, -0.5 * (1 + ln(n)) FROM n JOIN hw USING (w)), s AS (SELECT id, i, sum(x) AS x FROM p GROUP BY 1, 2), e0 AS (SELECT id, i, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY id)), 0) AS y FROM s), em AS (SELECT * FROM e0 WHERE y IS NOT NULL)"""
 ORACLES = {
     "coverage_rollup": _CTE + f"SELECT concept_id, distinct_sources, primary_sources, {_TS('f')} AS first_contact_at, {_TS('l')} AS last_contact_at, temporal_spread_days, max_engagement, contact_count, has_user_annotation FROM cov",
     "uncovered_but_recurring": _CTE + "SELECT concept_id, label, distinct_sources, temporal_spread_days, (SELECT array_to_string(list_sort(list(DISTINCT source_id)), ',') FROM cs WHERE cs.concept_id = gap.concept_id) AS source_ids FROM gap",
@@ -350,9 +415,18 @@ ORACLES = {
     "convergent_references": _CTE + "SELECT * FROM cv",
     "suggestion_candidates": _CTE + "SELECT kind, target, round(score, 6) AS score FROM cand",
     "suggestion_slate": _CTE + "SELECT kind, target, round(score, 6) AS score, lucky AS serendipity FROM lu WHERE chosen OR lucky",
-    "vector_topk": _CTE + "SELECT chunk_id, round(list_cosine_similarity(v, (SELECT v FROM vs ORDER BY chunk_id LIMIT 1)), 6) AS score FROM vs WHERE list_cosine_similarity(v, (SELECT v FROM vs ORDER BY chunk_id LIMIT 1)) >= 0 ORDER BY list_cosine_similarity(v, (SELECT v FROM vs ORDER BY chunk_id LIMIT 1)) DESC, chunk_id LIMIT 10",
-    "novelty": _CTE + """, p AS (SELECT DISTINCT document_version_id FROM vs ORDER BY 1 DESC LIMIT 20)
- SELECT p.document_version_id, round(1 - greatest(0, max(list_cosine_similarity(a.v, b.v))), 6) AS novelty, true AS comparable FROM p JOIN vs a USING (document_version_id) JOIN vs b ON b.document_version_id <> p.document_version_id GROUP BY 1""",
+    "vector_topk": _CTE + """, q AS (SELECT * FROM vs WHERE substr(md5(chunk_id), 1, 2) < '0d'), p AS (SELECT q.chunk_id AS query_id, vs.chunk_id, round(list_cosine_similarity(q.v, vs.v), 12) AS s FROM q JOIN vs ON vs.chunk_id <> q.chunk_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INTEGER AS rank FROM p WHERE s >= 0) SELECT query_id, chunk_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10""",
+    "novelty": _CTE + ", " + _NOV + " SELECT document_version_id, round(novelty, 6) AS novelty, comparable FROM nv",
+    "recorded_novelty": _CTE + ", " + _NOV + f""", fr AS (SELECT source_id, min(nv.novelty) AS fresh FROM (SELECT DISTINCT id, source_id FROM document_version) d JOIN nv ON nv.document_version_id = d.id WHERE comparable GROUP BY 1)
+ SELECT e.id, e.source_id, round(coalesce(fresh, novelty), 6) AS novelty, CASE WHEN fresh IS NOT NULL THEN '{MODEL}' ELSE novelty_model_id END AS novelty_model_id FROM (SELECT DISTINCT id, source_id, novelty, novelty_model_id FROM ingestion_event) e LEFT JOIN fr ON fr.source_id = e.source_id""",
+    "rebuilt_embeddings": f"WITH {_TEXTS}, sc AS (SELECT chunk_id, text FROM tx WHERE document_version_id IN (SELECT id FROM document_version WHERE lang = 'en')), o AS (SELECT DISTINCT chunk_id, model_id FROM embedding_meta WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM sc) UNION ALL SELECT DISTINCT chunk_id, 'hash-128' FROM (SELECT chunk_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM sc) WHERE length(w) > 1) SELECT model_id, count(*) AS chunks FROM o GROUP BY 1",
+    "semantic_search": f"WITH {_TEXTS}, l AS (SELECT chunk_id AS id, text AS t FROM tx UNION ALL SELECT 'q', '{SEARCH}'), {_EMBED}, z AS (SELECT a.id AS chunk_id, sum(a.y * q.y) AS s FROM em a JOIN em q ON q.id = 'q' AND q.i = a.i WHERE a.id <> 'q' GROUP BY 1) SELECT z.chunk_id, tx.document_version_id, tx.section_path, round(z.s, 6) AS score FROM z JOIN tx USING (chunk_id) WHERE z.s > 0 ORDER BY round(z.s, 9) DESC, z.chunk_id LIMIT 10",
+    "vector_put": f"""WITH m AS (SELECT *, coalesce(computed_at >= TIMESTAMP '2025-01-01', false) AS late FROM embedding_meta WHERE chunk_id IS NOT NULL AND model_id IS NOT NULL), k AS (SELECT * FROM m WHERE NOT late OR (vector IS NOT NULL AND len(vector) = dim)),
+ o AS (SELECT model_id, chunk_id, arg_max(computed_at, (late, computed_at)) AS c FROM (SELECT model_id, chunk_id, late, coalesce(computed_at, TIMESTAMP '1970-01-01') AS computed_at FROM k) GROUP BY 1, 2) SELECT model_id, count(*) AS vectors, {_TS('max(c)')} AS latest FROM o GROUP BY 1""",
+    "model_guard": "SELECT string_agg(DISTINCT model_id, ',' ORDER BY model_id) AS models, count(DISTINCT model_id) > 1 AS mixed FROM embedding_meta WHERE vector IS NOT NULL",
+    "blob_round_trip": "SELECT DISTINCT chunk_id, model_id, len(vector) AS n, round(coalesce(list_sum(list_transform(vector, lambda x: x::DOUBLE)), 0), 4) AS total FROM embedding_meta WHERE chunk_id IS NOT NULL AND model_id IS NOT NULL AND vector IS NOT NULL",
+    "edges_rewritten": _CTE + "SELECT DISTINCT from_concept, to_concept, relation, provenance, weight FROM edge WHERE NOT (relation = 'co_occurs' AND provenance = 'corpus_stats') OR relation IS NULL OR provenance IS NULL UNION ALL SELECT x.concept_id, y.concept_id, 'co_occurs', 'corpus_stats', count(*)::DOUBLE FROM cs x JOIN cs y ON x.source_id = y.source_id AND x.concept_id < y.concept_id GROUP BY 1, 2 HAVING count(*) >= 2",
     "concept_centroid": _CTE + """, u AS (SELECT chunk_id, unnest(v) / sqrt(list_dot_product(v, v)) AS x, generate_subscripts(v, 1) - 1 AS i FROM vs), m AS (SELECT DISTINCT concept_id, chunk_id FROM mention WHERE concept_id IS NOT NULL),
  s AS (SELECT concept_id, i, sum(x) AS x FROM m JOIN u USING (chunk_id) GROUP BY 1, 2) SELECT concept_id, i::BIGINT AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY concept_id)), 6) AS x FROM s""",
     "neighbour_concepts": _CTE + """, u AS (SELECT chunk_id, unnest(v) / sqrt(list_dot_product(v, v)) AS x, generate_subscripts(v, 1) AS i FROM vs), m AS (SELECT DISTINCT concept_id, chunk_id FROM mention WHERE concept_id IS NOT NULL),
@@ -361,7 +435,5 @@ ORACLES = {
  pr AS (SELECT tg.concept_id, an.concept_id AS anchor_id, list_cosine_similarity(tg.v, an.v) AS similarity FROM tg JOIN an ON tg.concept_id <> an.concept_id)
  SELECT concept_id, anchor_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY similarity DESC, anchor_id) AS n FROM pr WHERE similarity >= 0.3) q WHERE n = 1 ORDER BY q.similarity DESC, concept_id LIMIT 10""",
     "literal_search": "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'practice session')",
-    "hash_embedding": f"""WITH l AS (SELECT id, min(label) AS t FROM concept WHERE id IS NOT NULL AND label IS NOT NULL GROUP BY 1), n AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM l) WHERE length(w) > 1 GROUP BY 1, 2),
- p AS (SELECT id, {_HASH.format(seed=E.SEED_1)} % 128 AS i, 1 + ln(n) AS x FROM n UNION ALL SELECT id, {_HASH.format(seed=E.SEED_2)} % 128, -0.5 * (1 + ln(n)) FROM n), s AS (SELECT id, i, sum(x) AS x FROM p GROUP BY 1, 2)
- SELECT id, i, round(y, 6) AS x FROM (SELECT id, i, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY id)), 0) AS y FROM s) WHERE y IS NOT NULL""",
+    "hash_embedding": f"WITH {_TEXTS}, l AS (SELECT chunk_id AS id, text AS t FROM tx), {_EMBED} SELECT id AS chunk_id, i, round(y, 6) AS x FROM em",
 }
