@@ -54,9 +54,54 @@ def cascade(tables: dict[str, DataFrame], doomed: DataFrame) -> tuple[dict[str,
     return left, out
 
 
-def forget_concept(tables: dict[str, DataFrame], concept: str) -> dict[str, DataFrame]:
-    """Mentions and edges without a concept; sources stay."""
-    return {"mention": tables["mention"].filter(~F.col("concept_id").eqNullSafe(concept)), "edge": tables["edge"].filter(~(F.col("from_concept").eqNullSafe(concept) | F.col("to_concept").eqNullSafe(concept)))}
+#: Tables that speak of a concept, and the columns that name it.
+SPEAKS = {"mention": ("concept_id",), "edge": ("from_concept", "to_concept"), "quiz_item": ("concept_id",), "review": ("concept_id",), "memory_state": ("concept_id",), "suggestion": ("concept_id",), "concept": ("id",)}
+
+
+def forget_concept(tables: dict[str, DataFrame], concept: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What is left of each table once everything about a concept is gone, last the concept itself, and ``(tab, n)``, the rows
+    deleted; sources stay."""
+    left, counts = {}, []
+    for t, columns in SPEAKS.items():
+        if t in tables:
+            hit = F.lit(False)
+            for c in columns:
+                hit = hit | F.col(c).eqNullSafe(concept)
+            left[t] = tables[t].filter(~hit)
+            counts.append(tables[t].agg(F.count_if(hit).alias("n")).select(F.lit(t).alias("tab"), "n"))
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return left, out
+
+
+def privacy(log: DataFrame) -> DataFrame:
+    """``(id, is_private)`` from a log of settings: the latest one counts, so privacy can be taken back."""
+    return log.filter("id is not null and is_private is not null").groupBy("id").agg(F.max_by("is_private", F.struct("recorded_at", "is_private")).alias("is_private"))
+
+
+def annotations_for(notes: DataFrame, source_id: str, key: str) -> DataFrame:
+    """The annotations of one source by id."""
+    return notes.filter(F.col("source_id") == source_id).orderBy(key)
+
+
+#: Kinds of captures and of the sources they make.
+CAPTURES = ("url", "pdf", "text", "doi")
+
+
+def resolved(captures: DataFrame) -> DataFrame:
+    """Captures ``(kind, payload)`` with ``doi``, ``url``, ``source_kind`` and ``problem``.
+
+    A DOI must be one and makes a paper; text is a note; a URL that names a DOI or an arXiv id makes a paper; what claims
+    to be a URL and is none is a problem, a file path of a pdf is not.
+    """
+    kind, p = F.col("kind"), F.col("payload")
+    by_url = kind.isin("url", "pdf")
+    url = F.when(by_url, I.canonical_url(p))
+    doi = F.when(kind == "doi", I.normal_doi(p)).when(by_url & url.isNotNull(), I.resolved_doi(p))
+    problem = F.when(~kind.isin(*CAPTURES) | kind.isNull(), "unknown_kind").when((kind == "doi") & doi.isNull(), "not_a_doi").when((kind == "url") & url.isNull(), "not_a_url")
+    made = F.when(doi.isNotNull(), "paper").when(kind == "text", "note").when(kind == "pdf", "pdf").when(kind == "url", "web")
+    return captures.select("*", doi.alias("doi"), url.alias("url"), F.when(problem.isNull(), made).alias("source_kind"), problem.alias("problem"))
 
 
 def guard_private(outgoing: DataFrame, source: DataFrame) -> DataFrame:

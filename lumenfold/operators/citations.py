@@ -43,3 +43,12 @@ def convergent(citation: DataFrame, work: DataFrame, held: DataFrame, min_citing
     top = counts.join(info, "to_doi").orderBy(F.desc("citing_works"), F.desc_nulls_last("cited_by_count"), "to_doi").limit(limit)
     who = cited.join(F.broadcast(top.select("to_doi")), "to_doi").groupBy("to_doi").agg(F.array_sort(F.collect_set("citing")).alias("source_ids"))
     return top.join(who, "to_doi").select(F.col("to_doi").alias("doi"), "title", "cited_by_count", "citing_works", "source_ids")
+
+
+def ingest(source: DataFrame, work: DataFrame, citation: DataFrame, limit: int = 500) -> DataFrame:
+    """``(doi, n_references, state)`` of the public sources with a DOI, the first ``limit`` by DOI: the references of a known
+    work, or that the work is unknown."""
+    asked = source.filter(~F.coalesce("is_private", F.lit(False))).select(normal_doi(F.col("doi")).alias("doi")).filter("doi is not null").distinct().orderBy("doi").limit(limit)
+    n = citation.join(F.broadcast(asked.select(F.col("doi").alias("from_doi"))), "from_doi").groupBy(F.col("from_doi").alias("doi")).agg(F.count(F.lit(1)).alias("n"))
+    out = asked.join(work.select("doi", F.lit(True).alias("known")), "doi", "left").join(n, "doi", "left")
+    return out.select("doi", F.when(F.col("known"), F.coalesce("n", F.lit(0))).otherwise(0).alias("n_references"), F.when(F.col("known"), "ok").otherwise("unknown_work").alias("state"))

@@ -38,6 +38,13 @@ def merged_events(rows: DataFrame) -> DataFrame:
     return g.select("id", "source_id", "occurred_at", level_name(F.col("x.e")).alias("engagement"), F.col("x.engagement_source").alias("engagement_source"), F.col("y.status").alias("status"), F.col("y.status_reason").alias("status_reason"), F.col("z.novelty").alias("novelty"), F.col("z.novelty_model_id").alias("novelty_model_id"))
 
 
+def merged_reviews(rows: DataFrame) -> DataFrame:
+    """One row per review id: an override and an answer fill where they are missing, all else is as first written."""
+    keep = lambda c: F.min(c).alias(c)
+    own = [c for c in rows.columns if c != "id"]
+    return rows.filter("id is not null").groupBy("id").agg(*map(keep, own))
+
+
 def natural_matches(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """``(id, known_id, by)``: each incoming source with the known source of the same DOI, else URL, else content hash.
 
@@ -81,3 +88,46 @@ def opened(payloads: DataFrame, schema: str, key: bytes) -> DataFrame:
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """Cursor per device for an append-only log."""
     return rows.withColumn("cursor", F.row_number().over(Window.partitionBy("device").orderBy(*order)).cast("long"))
+
+
+def dirty(rows: DataFrame, since: Column | None, at: str = "recorded_at") -> DataFrame:
+    """Rows that changed after the last push; all of them before the first.  An unknown time counts as changed."""
+    return rows if since is None else rows.filter(F.coalesce(F.col(at) > since, F.lit(True)))
+
+
+#: Fixed value: the version of the exchange; a payload of another one is refused.
+PROTOCOL = 1
+
+
+def push(tables: dict[str, DataFrame], device: str, key: bytes) -> DataFrame:
+    """``(device, version, table, payload)``: the changed rows of all tables as sealed payloads for the relay."""
+    parts = [sealed(df, name, key) for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(F.lit(device).alias("device"), F.lit(PROTOCOL).alias("version"), "table", "payload")
+
+
+def received(batches: DataFrame, own: str) -> DataFrame:
+    """Batches of other devices; the job fails on one of another version."""
+    same = F.when(F.col("version") == PROTOCOL, True).otherwise(F.raise_error(F.lit("payload of another version")).cast("boolean"))
+    return batches.filter(F.col("device") != own).filter(same)
+
+
+def remapped(incoming: DataFrame, local: DataFrame) -> DataFrame:
+    """``(id, local_id)`` of incoming sources that are known here under another id, by DOI or else by URL."""
+    new = incoming.filter("id is not null").join(local.select("id"), "id", "left_anti")
+    return natural_matches(new.withColumn("content_hash", F.lit(None).cast("string")), local).select("id", F.col("known_id").alias("local_id"))
+
+
+def pulled(incoming: dict[str, DataFrame], local: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Sources and events after a pull: sources known under another id are merged into it and references rewritten; events
+    whose source is unknown are deferred.  ``(sources, events)``, events with ``state`` applied, merged or deferred."""
+    names = remapped(incoming["source"], local["source"])
+    theirs = incoming["source"].join(names, "id", "left").withColumn("id", F.coalesce("local_id", "id")).drop("local_id")
+    sources = merged_sources(local["source"].unionByName(theirs, allowMissingColumns=True))
+    e = incoming["event"].join(names.select(F.col("id").alias("source_id"), "local_id"), "source_id", "left").withColumn("source_id", F.coalesce("local_id", "source_id")).drop("local_id")
+    known = sources.select(F.col("id").alias("source_id"), F.lit(True).alias("_known"))
+    mine = local["event"].select("id").distinct().withColumn("_mine", F.lit(True))
+    state = F.when(F.col("source_id").isNotNull() & F.col("_known").isNull(), "deferred").when(F.col("_mine"), "merged").otherwise("applied")
+    return sources, e.join(known, "source_id", "left").join(mine, "id", "left").withColumn("state", state).drop("_known", "_mine")

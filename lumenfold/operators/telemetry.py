@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.coverage import level_rank
+
 #: Words per minute, least active time, cap as a multiple of the expected time, slack of the clock.
 WPM, MIN_ACTIVE_MS, CAP, CLOCK_SLACK_MS = 240, 3000, 3, 1000
 READ_SHARE, READ_SCROLL = 0.5, 0.8
@@ -40,6 +42,18 @@ def multiplier(level: Column) -> Column:
     return F.coalesce(*[F.when(level == k, F.lit(v)) for k, v in PRIOR.items()], F.lit(1.0))
 
 
+def record(sessions: DataFrame, event: DataFrame, version: DataFrame, fallback_words: int = 400) -> DataFrame:
+    """Reports of sessions judged by the words of the latest version of their event's source, and the engagement that the
+    event has afterwards: only a deeper level replaces a level."""
+    words = version.filter("source_id is not null").groupBy("source_id").agg(F.max_by("word_count", F.struct("extracted_at", "id")).alias("words"))
+    e = event.filter("id is not null").groupBy(F.col("id").alias("ingestion_event_id")).agg(F.min(F.struct("source_id", "engagement")).alias("e"))
+    known = e.select("ingestion_event_id", "e.*").join(words, "source_id", "left")
+    rows = sessions.drop("engagement").join(known, "ingestion_event_id").withColumn("word_count", F.coalesce(F.nullif("words", F.lit(0)), F.lit(fallback_words)))
+    judged = engagement(assess(rows.withColumnRenamed("engagement", "held"))).withColumnRenamed("engagement", "derived")
+    deeper = F.coalesce(level_rank(F.col("derived")), F.lit(0)) > F.coalesce(level_rank(F.col("held")), F.lit(0))
+    return judged.withColumn("applied", deeper).withColumn("engagement", F.when(deeper, F.col("derived")).otherwise(F.col("held")))
+
+
 def sessionise(events: DataFrame, user: str, at: str, gap_minutes: int = 30) -> DataFrame:
     """Sessions of each user: runs of events no further apart than the gap."""
     w = F.session_window(F.col(at), f"{gap_minutes} minutes")

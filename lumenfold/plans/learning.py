@@ -5,14 +5,21 @@ No review log is among the tables: ``events`` stands for one, an item per user a
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.functions import identity as I
 from lumenfold.functions import scheduler as S
+from lumenfold.functions.spotter import STOP
+from lumenfold.operators import items as Q
 from lumenfold.operators import retention as R
 from lumenfold.operators import sync as Y
 from lumenfold.operators import telemetry as T
+from lumenfold.plans.dealt import DOI_SQL
+from lumenfold.plans.text import _canon
 from lumenfold.session import Scratch
 from lumenfold.tables import iso, table
 
@@ -151,20 +158,83 @@ def deferred_events(s: SparkSession, d: str) -> DataFrame:
 
 
 def sealed_round_trip(s: SparkSession, d: str) -> DataFrame:
-    """Edges sealed and opened again."""
-    key = Y.derive_key("correct horse battery staple", b"0123456789abcdef", 1000)
-    e = table(s, d, "edge").select("id", "from_concept", "to_concept", "relation", "weight")
-    return Y.opened(Y.sealed(e, "edge", key), "id string, from_concept string, to_concept string, relation string, weight double", key)
+    """Edges sealed with a key made for the occasion and opened again."""
+    key = secrets.token_bytes(32)
+    e = table(s, d, "edge")
+    return Y.opened(Y.sealed(e, "edge", key), e.schema.simpleString(), key).withColumn("recorded_at", iso("recorded_at"))
+
+
+def merged_reviews(s: SparkSession, d: str) -> DataFrame:
+    """Reviews of two devices, one of which knows the overrides."""
+    r = reviews(s, d).select("id", "quiz_item_id", "machine_rating", "user_grade_override")
+    other = r.withColumn("user_grade_override", F.lit(None).cast("int"))
+    return Y.merged_reviews(r.unionByName(other))
+
+
+DEVICE_CUT = "2025-01-01 00:00:00"
+
+
+def relay_page(s: SparkSession, d: str) -> DataFrame:
+    """The second page of a hundred rows of the log of ingestion events."""
+    log = table(s, d, "ingestion_event").filter("id is not null").select("id").distinct().withColumn("device", F.substring("id", 1, 2))
+    one = Y.numbered(log, "id")
+    return Y.since(one, 100, 100).select("device", "id", "cursor")
+
+
+def pushed_rows(s: SparkSession, d: str) -> DataFrame:
+    """Rows per table that a push after the cut carries, counted after they were opened."""
+    key, cut = secrets.token_bytes(32), F.to_timestamp(F.lit(DEVICE_CUT))
+    names = ("reading_source", "ingestion_event", "mention", "edge")
+    changed = {t: Y.dirty(table(s, d, t).select("id", "recorded_at"), cut) for t in names}
+    batches = Y.received(Y.push(changed, "here", key), "there")
+    opened = [Y.opened(batches.filter(F.col("table") == t), "id string, recorded_at timestamp", key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).withColumn("tab", F.lit(t)) for t in names]
+    return opened[0].unionByName(opened[1]).unionByName(opened[2]).unionByName(opened[3])
+
+
+def pulled_events(s: SparkSession, d: str) -> DataFrame:
+    """Events of another device: sources and events are split by the hash of their id, references follow known sources."""
+    src, ev = table(s, d, "reading_source").filter("id is not null"), table(s, d, "ingestion_event").filter("id is not null").select("id", "source_id").distinct()
+    here = F.substring(F.md5("id"), 1, 1) < "8"
+    local = {"source": Y.merged_sources(src.filter(here)), "event": ev.filter(here)}
+    _, events = Y.pulled({"source": Y.merged_sources(src.filter(~here & (F.substring(F.md5("id"), 2, 1) < "8"))), "event": ev.filter(~here)}, local)
+    return events.select("id", "source_id", "state")
+
+
+def telemetry_recorded(s: SparkSession, d: str) -> DataFrame:
+    out = T.record(_sessions(s, d).drop("word_count", "expected_ms", "reject", "plausible", "capped_ms"), table(s, d, "ingestion_event"), table(s, d, "document_version"))
+    return out.select("ingestion_event_id", "word_count", "reject", "derived", "applied", "engagement")
+
+
+def live_items(s: SparkSession, d: str) -> DataFrame:
+    """Items per concept that are live after the items of every seventh user were retired too."""
+    i = _items(s, d)
+    out = Q.retire(i, i.filter("quiz_item_id % 7 = 0"), F.to_timestamp(F.lit(AS_OF)))
+    return out.filter("retired_at is null").groupBy("concept_id").agg(F.count(F.lit(1)).alias("items"))
+
+
+def submitted_reviews(s: SparkSession, d: str) -> DataFrame:
+    """Every document taken for an answer to the rubric of its title and first sentence."""
+    a = table(s, d, "documents").filter("text <> ''").select(
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("quiz_item_id"), F.col("doc_id").alias("concept_id"), F.col("captured_at").alias("presented_at"), (F.col("captured_at") + F.expr("interval 25 seconds")).alias("answered_at"),
+        F.col("text").alias("answer_text"), F.filter(F.array("title", Q.first_sentence(F.col("text"))), lambda x: x.isNotNull()).alias("points"), F.lit(None).cast("double").alias("predicted_recall"), F.lit(None).cast("double").alias("interval_days"),
+    )
+    r = Q.submit(a, S.score_rating(F.col("machine_grade")))
+    m = R.memory_states(r).select(F.col("quiz_item_id").alias("id"), "interval_days")
+    return r.select("id", F.round("machine_grade", 6).alias("score"), F.col("machine_rating").alias("rating"), "latency_ms").join(m, "id", "left")
 
 
 def natural_matches(s: SparkSession, d: str) -> DataFrame:
-    m = Y.merged_sources(table(s, d, "reading_source"))
-    return Y.natural_matches(m.filter("is_private"), m.filter("not is_private"))
+    """Works and fetched pages found among the sources, by DOI or by URL."""
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    works = table(s, d, "scholar_work").select(F.concat(F.lit("w:"), "doi").alias("id"), I.normal_doi(F.col("doi")).alias("doi"), none("canonical_url"), none("content_hash")).filter("id is not null").distinct()
+    pages = table(s, d, "fetched_document").select(F.concat(F.lit("p:"), F.col("fetch_id").cast("string")).alias("id"), none("doi"), I.canonical_url(F.col("final_url")).alias("canonical_url"), none("content_hash")).filter("id is not null").distinct()
+    known = Y.merged_sources(table(s, d, "reading_source")).select("id", I.normal_doi(F.col("doi")).alias("doi"), I.canonical_url(F.col("canonical_url")).alias("canonical_url"), "content_hash")
+    return Y.natural_matches(works.unionByName(pages), known)
 
 
 _FNS = (
     memory_state_replay, due_items, due_count, next_due, retention_evidence, calibration_bins, calibration_summary, anomalous_items, replay_rows, counterfactual_replay, reading_sessions, derived_engagement, daily_windows, merged_sources, merged_events,
-    deferred_events, sealed_round_trip, natural_matches,
+    deferred_events, sealed_round_trip, natural_matches, merged_reviews, relay_page, pushed_rows, pulled_events, telemetry_recorded, live_items, submitted_reviews,
 )
 QUERIES = {f.__name__: f for f in _FNS}
 
@@ -211,6 +281,7 @@ _P = f"CASE WHEN s3.item IS NULL THEN 0.5 ELSE 1 - abs({_rec(f'''greatest(0, (ep
 _RANK = "list_position(['skim', 'read', 'annotate', 'apply', 'teach'], engagement)"
 _PR = "list_position(['captured', 'extraction_failed', 'extracted', 'chunked', 'embedded', 'linked', 'rolled_up', 'itemised'], status)"
 _SRC = "m AS (SELECT id, coalesce(max(CASE WHEN kind = 'paper' THEN 'paper' END), min(kind)) AS kind, min(canonical_url) AS canonical_url, min(doi) AS doi, min(content_hash) AS content_hash, min(title) AS title, min(authors) AS authors, min(first_seen_at) AS f, coalesce(bool_or(is_private), false) AS is_private, min(deleted_at) AS del FROM reading_source WHERE id IS NOT NULL GROUP BY 1)"
+_TERMS = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 3 AND x NOT IN ({', '.join(repr(x) for x in sorted(STOP))})))"
 ORACLES = {
     "memory_state_replay": _STATE + f"SELECT item AS quiz_item_id, round(s, 6) AS stability, round(d, 6) AS difficulty, reps::INTEGER AS reps, lapses, days AS interval_days, {_TS('due_at')} AS due_at FROM s3",
     "due_items": _STATE + f""", it AS (SELECT DISTINCT user_id AS item, user_id % 40 AS concept_id FROM events WHERE user_id % 11 <> 0),
@@ -248,8 +319,26 @@ ORACLES = {
  arg_max(status_reason, (greatest({_PR} - 2, 0), status, coalesce(status_reason, ''))) FILTER (WHERE {_PR} > 0) AS status_reason, max(novelty) AS novelty, arg_max(novelty_model_id, (novelty, coalesce(novelty_model_id, ''))) FILTER (WHERE novelty IS NOT NULL) AS novelty_model_id
  FROM ingestion_event WHERE id IS NOT NULL GROUP BY 1""",
     "deferred_events": "SELECT DISTINCT id, source_id FROM ingestion_event e WHERE source_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM reading_source s WHERE s.id = e.source_id)",
-    "sealed_round_trip": "SELECT id, from_concept, to_concept, relation, weight FROM edge",
-    "natural_matches": f"""WITH {_SRC}, p AS (SELECT a.id, 0 AS n, min(b.id) AS known_id, 'doi' AS "by" FROM m a JOIN m b ON a.doi = b.doi WHERE a.is_private AND NOT b.is_private GROUP BY 1
- UNION ALL SELECT a.id, 1, min(b.id), 'canonical_url' FROM m a JOIN m b ON a.canonical_url = b.canonical_url WHERE a.is_private AND NOT b.is_private GROUP BY 1 UNION ALL SELECT a.id, 2, min(b.id), 'content_hash' FROM m a JOIN m b ON a.content_hash = b.content_hash WHERE a.is_private AND NOT b.is_private GROUP BY 1)
- SELECT id, known_id, "by" FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS q FROM p) WHERE q = 1""",
+    "sealed_round_trip": f"SELECT id, from_concept, to_concept, relation, provenance, weight, {_TS('recorded_at')} AS recorded_at FROM edge",
+    "natural_matches": f"""WITH {_SRC}, {_canon('m', 'canonical_url')}, kn AS (SELECT id, {DOI_SQL.format('doi')} AS doi, canonical FROM cu), {_canon('(SELECT DISTINCT fetch_id, final_url FROM fetched_document WHERE fetch_id IS NOT NULL)', 'final_url').replace('c0', 'f0').replace('c1', 'f1').replace('c2', 'f2').replace('cu AS', 'fu AS')},
+ p AS (SELECT 'w:' || w.doi AS id, 0 AS n, min(kn.id) AS known_id, 'doi' AS "by" FROM (SELECT DISTINCT doi, {DOI_SQL.format('doi')} AS k FROM scholar_work WHERE doi IS NOT NULL) w JOIN kn ON kn.doi = w.k GROUP BY 1 UNION ALL SELECT 'p:' || fetch_id, 1, min(kn.id), 'canonical_url' FROM fu JOIN kn ON kn.canonical = fu.canonical GROUP BY 1)
+ SELECT id, known_id, "by" FROM p""",
+    "merged_reviews": _REV + "z AS (SELECT 1) SELECT id, item AS quiz_item_id, machine AS machine_rating, override AS user_grade_override FROM rev",
+    "relay_page": "SELECT device, id, cursor FROM (SELECT substr(id, 1, 2) AS device, id, row_number() OVER (PARTITION BY substr(id, 1, 2) ORDER BY id) AS cursor FROM (SELECT DISTINCT id FROM ingestion_event WHERE id IS NOT NULL)) WHERE cursor > 100 ORDER BY cursor LIMIT 100",
+    "pushed_rows": " UNION ALL ".join(f"SELECT '{t}' AS tab, count(*) AS n, count(DISTINCT id) AS ids FROM {t} WHERE coalesce(recorded_at > TIMESTAMP '{DEVICE_CUT}', true)" for t in ("reading_source", "ingestion_event", "mention", "edge")),
+    "pulled_events": f"""WITH {_SRC}, here AS (SELECT * FROM m WHERE substr(md5(id), 1, 1) < '8'), them AS (SELECT * FROM m WHERE substr(md5(id), 1, 1) >= '8' AND substr(md5(id), 2, 1) < '8'),
+ p AS (SELECT a.id, 0 AS n, min(b.id) AS l FROM them a JOIN here b ON a.doi = b.doi GROUP BY 1 UNION ALL SELECT a.id, 1, min(b.id) FROM them a JOIN here b ON a.canonical_url = b.canonical_url GROUP BY 1), rm AS (SELECT id, arg_min(l, n) AS l FROM p GROUP BY 1),
+ kn AS (SELECT id FROM here UNION SELECT coalesce(rm.l, them.id) FROM them LEFT JOIN rm USING (id)), ev AS (SELECT DISTINCT id, source_id FROM ingestion_event WHERE id IS NOT NULL),
+ x AS (SELECT ev.id, coalesce(rm.l, ev.source_id) AS source_id FROM ev LEFT JOIN rm ON rm.id = ev.source_id WHERE substr(md5(ev.id), 1, 1) >= '8')
+ SELECT id, source_id, CASE WHEN source_id IS NOT NULL AND source_id NOT IN (SELECT id FROM kn) THEN 'deferred' ELSE 'applied' END AS state FROM x""",
+    "telemetry_recorded": f"""WITH {_REPORTS}, nm AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT DISTINCT id FROM ingestion_event WHERE id IS NOT NULL)), wo AS (SELECT source_id, arg_max(word_count, (extracted_at, id)) AS words FROM document_version WHERE source_id IS NOT NULL GROUP BY 1),
+ ie AS (SELECT id, unnest(min(struct_pack(source_id, engagement))) FROM ingestion_event WHERE id IS NOT NULL GROUP BY 1), z AS (SELECT nm.id AS ingestion_event_id, coalesce(nullif(words, 0), 400) AS word_count, e.*, ie.engagement AS held FROM e JOIN nm ON nm.n = e.event_id JOIN ie ON ie.id = nm.id LEFT JOIN wo USING (source_id)),
+ z2 AS (SELECT *, greatest(1000, floor(word_count / 240.0 * 60000 + 0.5))::BIGINT AS ex FROM z), z3 AS (SELECT *, CASE WHEN active_ms < 3000 THEN 'too_short' WHEN coalesce(sc, 0) <= 0 AND coalesce(rv, 0) <= 0 THEN 'no_scroll' WHEN active_ms > 3 * ex THEN 'too_long' WHEN active_ms > el + 1000 THEN 'beyond_wall_clock' END AS reject FROM z2),
+ z4 AS (SELECT *, CASE WHEN reject IS NULL THEN CASE WHEN least(active_ms, 3 * ex) >= 0.5 * ex AND coalesce(sc, 0) >= 0.8 THEN 'read' ELSE 'skim' END END AS derived FROM z3), z5 AS (SELECT *, coalesce(nullif(list_position(['skim', 'read', 'annotate', 'apply', 'teach'], derived), 0), 0) > coalesce(nullif(list_position(['skim', 'read', 'annotate', 'apply', 'teach'], held), 0), 0) AS applied FROM z4)
+ SELECT ingestion_event_id, word_count, reject, derived, applied, CASE WHEN applied THEN derived ELSE held END AS engagement FROM z5""",
+    "live_items": "SELECT user_id % 40 AS concept_id, count(DISTINCT user_id) AS items FROM events WHERE user_id % 11 <> 0 AND user_id % 7 <> 0 GROUP BY 1",
+    "submitted_reviews": f"""WITH a AS (SELECT doc_id, captured_at, {_TERMS('text')} AS w, {_TERMS('title')} AS t1, title, nullif(regexp_extract(text, '(?s)([^.!?]{{25,400}}[.!?])', 1), '') AS fs FROM documents WHERE text <> ''), b AS (SELECT *, {_TERMS('fs')} AS t2 FROM a),
+ c AS (SELECT *, (CASE WHEN len(t1) > 0 AND len(list_intersect(t1, w)) >= 0.4 * len(t1) THEN 1 ELSE 0 END + CASE WHEN len(t2) > 0 AND len(list_intersect(t2, w)) >= 0.4 * len(t2) THEN 1 ELSE 0 END) / nullif((title IS NOT NULL)::INTEGER + (fs IS NOT NULL)::INTEGER, 0)::DOUBLE AS sc FROM b),
+ g AS (SELECT *, coalesce(sc, 0) AS score, CASE WHEN coalesce(sc, 0) >= 0.92 THEN 4 WHEN coalesce(sc, 0) >= 0.7 THEN 3 WHEN coalesce(sc, 0) >= 0.4 THEN 2 ELSE 1 END AS rating FROM c)
+ SELECT doc_id AS id, round(score, 6) AS score, rating, CASE WHEN captured_at IS NOT NULL THEN 25000::BIGINT END AS latency_ms, CASE WHEN captured_at IS NOT NULL THEN greatest(1, floor([{", ".join(map(str, _W[:4]))}][rating] / {_F} * (pow(0.9, {-1 / _W[20]}) - 1) + 0.5))::BIGINT END AS interval_days FROM g""",
 }
