@@ -6,8 +6,8 @@ Exact due times of other schedulers are not claimed.
 
 from __future__ import annotations
 
-import hashlib
 import json
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +20,11 @@ FACTOR = 0.9 ** (-1 / W[20]) - 1
 
 
 def params_hash(w: tuple[float, ...] = W, retention: float = RETENTION) -> str:
-    return hashlib.sha256(json.dumps([VERSION, w, retention]).encode()).hexdigest()[:8]
+    """FNV-1a of 32 bits over the parameters, so that states of other parameters are told apart."""
+    h = 0x811C9DC5
+    for c in json.dumps([VERSION, list(w), retention], separators=(",", ":")):
+        h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+    return f"{h:08x}"
 
 
 def recall(days: Column, stability: Column) -> Column:
@@ -62,3 +66,22 @@ def next_stability(s: Column, d: Column, g: Column, days: Column) -> Column:
 def score_rating(score: Column) -> Column:
     """Grade from a score in 0..1."""
     return F.when(score >= 0.92, 4).when(score >= 0.7, 3).when(score >= 0.4, 2).when(score.isNotNull(), 1)
+
+
+def begin(g: int) -> tuple[float, float]:
+    """Stability and difficulty after a first review, for one item at a time (streams)."""
+    return W[g - 1], min(10.0, max(1.0, W[4] - math.exp(W[5] * (g - 1)) + 1))
+
+
+def advance(s: float, d: float, g: int, days: float) -> tuple[float, float]:
+    """Stability and difficulty after a further review, as ``next_stability`` and ``next_difficulty``."""
+    r = (1 + FACTOR * days / s) ** -W[20]
+    if days <= 0:
+        same = math.exp(W[17] * (g - 3 + W[18])) * s ** -W[19]
+        new = s * (max(1.0, same) if g >= 3 else same)
+    elif g >= 2:
+        new = s * (1 + math.exp(W[8]) * (11 - d) * s ** -W[9] * (math.exp(W[10] * (1 - r)) - 1) * {2: W[15], 4: W[16]}.get(g, 1.0))
+    else:
+        new = min(s, W[11] * d ** -W[12] * ((s + 1) ** W[13] - 1) * math.exp(W[14] * (1 - r)))
+    moved = d - W[6] * (g - 3) * (10 - d) / 9
+    return new, min(10.0, max(1.0, W[7] * begin(4)[1] + (1 - W[7]) * moved))

@@ -284,6 +284,7 @@ _SRC = "m AS (SELECT id, coalesce(max(CASE WHEN kind = 'paper' THEN 'paper' END)
 _TERMS = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 3 AND x NOT IN ({', '.join(repr(x) for x in sorted(STOP))})))"
 ORACLES = {
     "memory_state_replay": _STATE + f"SELECT item AS quiz_item_id, round(s, 6) AS stability, round(d, 6) AS difficulty, reps::INTEGER AS reps, lapses, days AS interval_days, {_TS('due_at')} AS due_at FROM s3",
+    "stream_memory": _STATE.replace("coalesce(override, machine, self) AS g", "machine AS g") + "SELECT item, round(s, 6) AS stability, round(d, 6) AS difficulty, reps, lapses::BIGINT AS lapses FROM st",
     "due_items": _STATE + f""", it AS (SELECT DISTINCT user_id AS item, user_id % 40 AS concept_id FROM events WHERE user_id % 11 <> 0),
  du AS (SELECT it.item, it.concept_id, {_P} AS priority FROM it LEFT JOIN s3 ON s3.item = it.item WHERE s3.item IS NULL OR s3.due_at <= TIMESTAMP '{AS_OF}'),
  tr AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY priority DESC, item) AS rd FROM du), ld AS (SELECT *, max(priority) OVER (PARTITION BY concept_id) AS lead_, min(CASE WHEN rd = 1 THEN item END) OVER (PARTITION BY concept_id) AS lead_id FROM tr WHERE rd <= 20)

@@ -86,9 +86,32 @@ def spots(s: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("k.id").alias("key"), *[(F.col(x) + F.col("k.at")).alias(x) for x in ("start_char", "end_char")], "surface_form", "signal").distinct()
 
 
+EXPORTED = {"edge": ["id", "from_concept", "to_concept", "relation", "provenance"], "citation": ["from_doi", "to_doi", "producer_version"], "concept": ["id", "scheme", "label", "description"]}
+
+
+def _exported(s: SparkSession, d: str) -> dict[str, tuple[DataFrame, list[str]]]:
+    return {t: (table(s, d, t).select(*c).distinct(), c[:1]) for t, c in EXPORTED.items()}
+
+
 def export_lines(s: SparkSession, d: str) -> DataFrame:
-    cols = ["id", "from_concept", "to_concept", "relation", "provenance"]
-    return X.export_lines({"edge": (table(s, d, "edge").select(*cols).distinct(), ["id"])}).filter("ord > 0").select("value")
+    """Header and rows of three tables."""
+    return X.export_lines(_exported(s, d)).select("value")
+
+
+def import_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Rows per table after a way through an exported file, and what its header declares."""
+    tables, path = _exported(s, d), f"{Scratch(s, 'export').base}/lines"
+    X.export_jsonl(tables, path)
+    back, wrong = X.import_jsonl(s, path, {t: df.schema for t, (df, _) in tables.items()})
+    parts = [back[t].exceptAll(df).agg(F.count(F.lit(1)).alias("changed")).select(F.lit(t).alias("t"), "changed").join(back[t].agg(F.count(F.lit(1)).alias("rows")).withColumn("t", F.lit(t)), "t") for t, (df, _) in tables.items()]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.join(wrong.select("t", F.lit(True).alias("differs")), "t", "left").select("t", "rows", "changed", F.coalesce("differs", F.lit(False)).alias("differs"))
+
+
+def manifest_gaps(s: SparkSession, d: str) -> DataFrame:
+    """Columns of the exported tables that the export leaves out."""
+    gaps = X.uncovered({t: table(s, d, t).columns for t in EXPORTED}, EXPORTED)
+    return s.createDataFrame([(g,) for g in gaps], "gap string")
 
 
 def stream_daily_windows(s: SparkSession, d: str) -> DataFrame:
@@ -97,12 +120,34 @@ def stream_daily_windows(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_deduplicated(s: SparkSession, d: str) -> DataFrame:
+    """Late rows are kept: the log is read once, in any order."""
     e = T.deduplicated(T.read_stream(s, f"{d}/ingestion_event.parquet"), "id", "recorded_at", "3650 days")
     return T.run_once(e.select("id", "source_id"), "append", Scratch(s, "stream"))
 
 
+def stream_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Sessions that the watermark of one day has closed."""
+    e = T.sessions(T.read_stream(s, f"{d}/events.parquet"), "user_id", "ts")
+    return T.run_once(e, "append", Scratch(s, "stream")).select("user_id", iso("started_at").alias("started_at"), "events")
+
+
+def stream_memory(s: SparkSession, d: str) -> DataFrame:
+    """Memory states from the stream of events as a review log, graded by their type."""
+    e = T.read_stream(s, f"{d}/events.parquet")
+    kind = F.col("event_type")
+    rated = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("item"), "ts", F.when(kind == "error", 1).when(kind == "view", 2).when(kind == "click", 3).when(kind == "purchase", 4).alias("g"))
+    out = T.run_once(T.memory(rated, "item", "ts", "g"), "update", Scratch(s, "stream"), ["key"])
+    return out.select(F.col("key").alias("item"), F.round("stability", 6).alias("stability"), F.round("difficulty", 6).alias("difficulty"), "reps", "lapses")
+
+
+def stream_redelivered(s: SparkSession, d: str) -> DataFrame:
+    """Ingestion events as soon as their source is there."""
+    e = T.read_stream(s, f"{d}/ingestion_event.parquet").select("id", "source_id").dropDuplicates(["id", "source_id"])
+    return T.run_once(T.redelivered(e, "source_id", T.read_stream(s, f"{d}/reading_source.parquet"), "id"), "append", Scratch(s, "stream"))
+
+
 _FNS = (
-    canonical_url, source_ids, doi_normalise, ulid_times, local_keys, text_fingerprint_copies, classify_url, redact_counts, html_meta, page_outcomes, text_titles, normal_texts, version_dedupe, spots, export_lines, stream_daily_windows, stream_deduplicated,
+    canonical_url, source_ids, doi_normalise, ulid_times, local_keys, text_fingerprint_copies, classify_url, redact_counts, html_meta, page_outcomes, text_titles, normal_texts, version_dedupe, spots, export_lines, import_round_trip, manifest_gaps, stream_daily_windows, stream_deduplicated, stream_sessions, stream_memory, stream_redelivered,
 )
 QUERIES = {f.__name__: f for f in _FNS}
 
@@ -123,6 +168,8 @@ def _canon(rel: str, url: str) -> str:
  cu AS (SELECT *, CASE WHEN regexp_matches(trim({url}), '{_SHAPE}', 'i') THEN 'https://' || host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || path || CASE WHEN coalesce(tail, '') = '' THEN '' ELSE '?' || tail END END AS canonical, coalesce(array_to_string(gone, ','), '') AS dropped FROM c2)"""
 
 
+_ROWS = lambda t, c: f"SELECT to_json(struct_pack(t := '{t}', r := struct_pack({', '.join(f'{x} := {x}' for x in c)})))::VARCHAR AS value FROM (SELECT DISTINCT {', '.join(c)} FROM {t})"
+_EXPORT = " UNION ALL ".join(_ROWS(t, c) for t, c in EXPORTED.items()) + f""" UNION ALL SELECT '{{"format":"{X.FORMAT}","version":{X.VERSION},"counts":{{' || string_agg('"' || t || '":' || n, ',' ORDER BY t) || '}}}}' FROM ({" UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM (SELECT DISTINCT {', '.join(c)} FROM {t})" for t, c in EXPORTED.items())})"""
 ORACLES = {
     "canonical_url": f"WITH u AS (SELECT DISTINCT fetch_id, final_url AS url FROM fetched_document), {_canon('u', 'url')} SELECT fetch_id, canonical, dropped FROM cu",
     "source_ids": f"WITH {_canon('reading_source', 'canonical_url')} SELECT DISTINCT id, coalesce('s-doi-' || substr(sha256('doi:' || {DOI_SQL.format('doi')}), 1, 24), 's-url-' || substr(sha256('url:' || canonical), 1, 24), 's-cnt-' || substr(sha256('content:' || content_hash), 1, 24)) AS derived FROM cu",
@@ -137,7 +184,15 @@ ORACLES = {
  nullif(regexp_extract(body, '(?i)<link[^>]*rel=["'']canonical["''][^>]*href=["'']([^"'']+)["'']', 1), '') AS canonical, nullif(regexp_extract(body, '(?i)<html[^>]*\\slang=["'']([A-Za-z-]+)["'']', 1), '') AS lang FROM fetched_document WHERE body IS NOT NULL""",
     "normal_texts": "SELECT DISTINCT id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM document_version WHERE text IS NOT NULL",
     "version_dedupe": "SELECT source_id, text_hash, arg_min(id, (recorded_at, id)) AS id, count(DISTINCT id) AS versions FROM document_version WHERE source_id IS NOT NULL AND text_hash IS NOT NULL GROUP BY 1, 2",
-    "export_lines": """SELECT to_json(struct_pack(t := 'edge', r := struct_pack(id := id, from_concept := from_concept, to_concept := to_concept, relation := relation, provenance := provenance)))::VARCHAR AS value FROM (SELECT DISTINCT id, from_concept, to_concept, relation, provenance FROM edge)""",
+    "export_lines": _EXPORT,
+    "import_round_trip": " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS \"rows\", 0::BIGINT AS changed, false AS differs FROM (SELECT DISTINCT {', '.join(c)} FROM {t})" for t, c in EXPORTED.items()),
+    "manifest_gaps": "SELECT table_name || '.' || column_name AS gap FROM information_schema.columns WHERE " + " OR ".join(f"(table_name = '{t}' AND column_name NOT IN ({', '.join(repr(x) for x in c)}))" for t, c in EXPORTED.items()),
+    "page_outcomes": f"SELECT outcome, count(*) AS pages FROM (SELECT CASE WHEN body IS NULL OR body = '' THEN 'no_content' WHEN http_status <> 200 THEN 'http_error' WHEN NOT starts_with(coalesce(content_type, ''), 'text/') THEN 'not_text' WHEN len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(body, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+'), lambda w: w <> '')) < 50 THEN 'too_short' ELSE 'ok' END AS outcome FROM (SELECT DISTINCT * FROM fetched_document)) GROUP BY 1",
+    "text_titles": r"""SELECT DISTINCT id, left(trim(regexp_replace(trim(regexp_replace(list_filter(str_split(text, chr(10)), lambda x: regexp_replace(x, '\s', '', 'g') <> '')[1], '[\r\t]', ' ', 'g')), '^#+ *', '')), 200) AS title, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words FROM document_version WHERE text IS NOT NULL""",
+    "redacted_urls": f"SELECT DISTINCT final_url AS url, regexp_replace(regexp_replace(regexp_replace(final_url, '^(https?://)[^/?#@]*@', '\\1'), '([?&])(?:{'|'.join(P.CREDENTIALS)})=[^&#]*&?', '\\1', 'gi'), '[?&]+($|#)', '\\1') AS redacted FROM fetched_document",
+    "stream_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e), z AS (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS events FROM g GROUP BY user_id, s) SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS started_at, events FROM z WHERE b + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+    "stream_redelivered": "SELECT DISTINCT id, source_id FROM ingestion_event WHERE source_id IN (SELECT id FROM reading_source WHERE id IS NOT NULL)",
     "stream_daily_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2",
     "stream_deduplicated": "SELECT id, min(source_id) AS source_id FROM ingestion_event WHERE recorded_at IS NOT NULL GROUP BY 1",
 }
