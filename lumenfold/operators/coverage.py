@@ -41,12 +41,18 @@ def source_contacts(event: DataFrame) -> DataFrame:
 
 
 def rollup(mention: DataFrame, chunk: DataFrame, version: DataFrame, event: DataFrame, annotated: DataFrame) -> DataFrame:
-    """Coverage per concept.  A contact is one (source, event) pair, however often the source mentions the concept.
+    """Coverage per concept, see ``rollup_from``."""
+    return rollup_from(concept_sources(mention, chunk, version), event, annotated)
+
+
+def rollup_from(sources: DataFrame, event: DataFrame, annotated: DataFrame) -> DataFrame:
+    """Coverage per concept from its distinct sources.  A contact is one (source, event) pair, however often the source
+    mentions the concept.
 
     Events are aggregated per source before they meet the concepts, so a re-encountered source does not multiply rows.
     ``annotated`` lists source ids with a user's annotation.
     """
-    per = concept_sources(mention, chunk, version).join(source_contacts(event), "source_id").join(annotated.select("source_id").distinct().withColumn("noted", F.lit(True)), "source_id", "left")
+    per = sources.join(source_contacts(event), "source_id").join(annotated.select("source_id").distinct().withColumn("noted", F.lit(True)), "source_id", "left")
     return (
         per.groupBy("concept_id")
         .agg(

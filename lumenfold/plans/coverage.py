@@ -31,9 +31,9 @@ def _sources(s: SparkSession, d: str) -> DataFrame:
     return V.concept_sources(table(s, d, "mention"), table(s, d, "chunk"), table(s, d, "document_version"))
 
 
-def _coverage(s: SparkSession, d: str) -> DataFrame:
+def _coverage(s: SparkSession, d: str, sources: DataFrame | None = None) -> DataFrame:
     noted = table(s, d, "documents").filter("source = 'annotation' and source_id is not null").select("source_id")
-    return V.rollup(table(s, d, "mention"), table(s, d, "chunk"), table(s, d, "document_version"), table(s, d, "ingestion_event"), noted)
+    return V.rollup_from(sources if sources is not None else _sources(s, d), table(s, d, "ingestion_event"), noted)
 
 
 def coverage_rollup(s: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,8 @@ def coverage_rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 def uncovered_but_recurring(s: SparkSession, d: str) -> DataFrame:
-    out = V.recurring_gaps(_coverage(s, d), _concept(s, d), _sources(s, d))
+    src = Scratch(s, "recurring").put(_sources(s, d))  # once for the rollup and once for the answer
+    out = V.recurring_gaps(_coverage(s, d, src), _concept(s, d), src)
     return out.select("concept_id", "label", "distinct_sources", "temporal_spread_days", F.array_join("source_ids", ",").alias("source_ids"))
 
 
@@ -197,12 +198,15 @@ def convergent_references(s: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cov, scratch = Scratch(s, "slate").put(_coverage(s, d)), Scratch(s, "slate")
+    scratch = Scratch(s, "slate")
+    src = scratch.put(_sources(s, d))
+    cov = scratch.put(_coverage(s, d, src))
     cl = scratch.put(_clusters(s, d))
     w = scratch.put(_works(s, d))
     held = C.backfill_sources(w, table(s, d, "reading_source")).filter("source_id is not null")
-    cand = U.candidates(C.convergent(C.citations(table(s, d, "citation")), w, held), V.recurring_gaps(cov, _concept(s, d), _sources(s, d)), G.bridge_gaps(cl), G.taxonomy_holes(table(s, d, "edge"), cov), w)
-    return scratch.put(cand), cl
+    cand = U.candidates(C.convergent(C.citations(table(s, d, "citation")), w, held), V.recurring_gaps(cov, _concept(s, d), src), G.bridge_gaps(cl), G.taxonomy_holes(table(s, d, "edge"), cov), w)
+    near = E.neighbour_concepts(E.centroids(_store(s, d), table(s, d, "mention")), cov, _concept(s, d), well=5, thin=3)
+    return scratch.put(cand.unionByName(U.neighbour_candidates(near))), cl
 
 
 def suggestion_candidates(s: SparkSession, d: str) -> DataFrame:
@@ -211,8 +215,25 @@ def suggestion_candidates(s: SparkSession, d: str) -> DataFrame:
 
 def suggestion_slate(s: SparkSession, d: str) -> DataFrame:
     cand, cl = _candidates(s, d)
-    none = s.createDataFrame([], "target string")
-    return U.slate(cand, none, cl).select("kind", "target", F.round("score", 6).alias("score"), "serendipity")
+    return U.slate(cand, _dismissed(s, d), cl).select("kind", "target", F.round("score", 6).alias("score"), "serendipity")
+
+
+def _dismissed(s: SparkSession, d: str) -> DataFrame:
+    """Dismissed targets: concepts the user linked to another, as the assertion that they are known; works without a title
+    for dismissed suggestions."""
+    known = table(s, d, "edge").filter("relation = 'user_linked' and provenance = 'user'").select(F.lit("known_already").alias("kind"), F.col("from_concept").alias("subject_id"))
+    return U.dismissed_targets(_works(s, d).filter("title is null").select(F.col("doi").alias("target")), known)
+
+
+def dismissed_targets(s: SparkSession, d: str) -> DataFrame:
+    return _dismissed(s, d)
+
+
+def active_suggestions(s: SparkSession, d: str) -> DataFrame:
+    """Candidates stored as suggestions that expire a day after 2025 began per character of their target, as of 1 February."""
+    new_year = F.to_timestamp(F.lit("2025-01-01"))
+    rows = U.scored(_candidates(s, d)[0]).select(F.concat_ws(":", "kind", "target").alias("id"), "kind", "target", "score", (new_year + F.make_dt_interval(F.length("target"))).alias("expires_at"), F.when(F.col("target").like("%0"), new_year).alias("dismissed_at"))
+    return U.active(rows, F.to_timestamp(F.lit("2025-01-12"))).select("id", F.round("score", 6).alias("score"))
 
 
 def _store(s: SparkSession, d: str) -> DataFrame:
@@ -310,13 +331,19 @@ def edges_rewritten(s: SparkSession, d: str) -> DataFrame:
 
 _FNS = (
     coverage_rollup, coverage_for, source_detail, taxonomy_rooted, neighbourhood_vocabulary, uncovered_but_recurring, stale_coverage, taxonomy, taxonomy_covered, taxonomy_holes, timeline, timeline_buckets, prior_coverage, recent_events, engagement_high_water, top_concepts, corpus_stats, vectors_by_model,
-    index_pending, link_pending, cooccurrence, concept_clusters, bridge_gaps, neighbourhood, work_upsert, work_backfill, convergent_references, suggestion_candidates, suggestion_slate, vector_topk, novelty, recorded_novelty, concept_centroid, rebuilt_embeddings, semantic_search, vector_put, model_guard, blob_round_trip, edges_rewritten, neighbour_concepts,
+    index_pending, link_pending, cooccurrence, concept_clusters, bridge_gaps, neighbourhood, work_upsert, work_backfill, convergent_references, suggestion_candidates, suggestion_slate, dismissed_targets, active_suggestions, vector_topk, novelty, recorded_novelty, concept_centroid, rebuilt_embeddings, semantic_search, vector_put, model_guard, blob_round_trip, edges_rewritten, neighbour_concepts,
     literal_search, hash_embedding,
 )
 QUERIES = {f.__name__: f for f in _FNS}
 
 _RANK = "list_position(['skim', 'read', 'annotate', 'apply', 'teach'], engagement)"
 _TS = lambda x: f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+_NBR = f"""vs AS (SELECT chunk_id, max(document_version_id) AS document_version_id, any_value(vector)::DOUBLE[] AS v FROM embedding_meta WHERE model_id = '{MODEL}' AND vector IS NOT NULL AND len(vector) = dim AND list_max(list_transform(vector, lambda x: abs(x))) > 0 GROUP BY 1),
+cu AS (SELECT chunk_id, unnest(v) / sqrt(list_dot_product(v, v)) AS x, generate_subscripts(v, 1) AS i FROM vs), cmn AS (SELECT DISTINCT concept_id, chunk_id FROM mention WHERE concept_id IS NOT NULL),
+ce AS (SELECT concept_id, list(x ORDER BY i) AS v, any_value(distinct_sources) AS ds FROM (SELECT concept_id, i, sum(x) AS x FROM cmn JOIN cu USING (chunk_id) GROUP BY 1, 2) LEFT JOIN cov USING (concept_id) GROUP BY 1),
+an AS (SELECT * FROM ce WHERE ds >= 5 ORDER BY ds DESC, concept_id LIMIT 20), tgt AS (SELECT ce.* FROM ce JOIN co ON co.id = ce.concept_id WHERE scheme <> 'local' AND coalesce(ds, 0) <= 3 ORDER BY concept_id LIMIT 200),
+nbr AS (SELECT concept_id, anchor_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY similarity DESC, anchor_id) AS n FROM (SELECT tgt.concept_id, an.concept_id AS anchor_id, list_cosine_similarity(tgt.v, an.v) AS similarity FROM tgt JOIN an ON tgt.concept_id <> an.concept_id) WHERE similarity >= 0.3) q WHERE n = 1 ORDER BY q.similarity DESC, concept_id LIMIT 10),
+"""
 _CTE = f"""
 WITH RECURSIVE co AS (SELECT id, scheme, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY recorded_at DESC NULLS LAST, (deleted_at IS NULL) DESC, label DESC NULLS LAST) AS n FROM concept WHERE id IS NOT NULL) WHERE n = 1 AND deleted_at IS NULL),
 ev AS (SELECT DISTINCT * FROM ingestion_event),
@@ -351,16 +378,18 @@ ct AS (SELECT DISTINCT * FROM (SELECT {DOI_SQL.format("from_doi")} AS from_doi,
 cv AS (SELECT wo.doi, any_value(title) AS title, any_value(cited_by_count) AS cited_by_count, count(DISTINCT ct.from_doi) AS citing_works, array_to_string(list_sort(list(DISTINCT h.source_id)), ',') AS source_ids
  FROM ct JOIN held h ON h.doi = ct.from_doi JOIN wo ON wo.doi = ct.to_doi WHERE NOT EXISTS (SELECT 1 FROM held x WHERE x.doi = ct.to_doi) GROUP BY 1 HAVING count(DISTINCT ct.from_doi) >= 2
  ORDER BY citing_works DESC, cited_by_count DESC NULLS LAST, doi LIMIT 25),
+{_NBR}
 cand AS (SELECT 'citation' AS kind, cv.doi AS target, NULL AS concept_id, 1.0 * least(1, log2(1.0 + citing_works) / 3) + 0.8 + 0.3 * CASE WHEN wo.open_access THEN 1.0 ELSE 0.4 END AS score FROM cv JOIN wo USING (doi)
  UNION ALL SELECT 'coverage_gap', concept_id, concept_id, 0.85 * least(1, distinct_sources / 5.0) + 0.8 * least(1, 0.5 + temporal_spread_days / 180.0) + 0.3 * 0.8 FROM gap
  UNION ALL SELECT 'bridge', a || '|' || b, a, 0.7 * least(1, strength / 25.0) + 0.8 + 0.3 * 0.6 FROM br
- UNION ALL SELECT 'taxonomy_hole', concept_id, concept_id, 0.55 * 0.5 + 0.8 + 0.3 * 0.8 FROM (SELECT DISTINCT concept_id FROM hole)),
-cb AS (SELECT c.*, coalesce(c.concept_id IN (SELECT concept_id FROM cl WHERE cluster_id = (SELECT cluster_id FROM cz ORDER BY size DESC, cluster_id LIMIT 1)), false) AS big FROM cand c),
+ UNION ALL SELECT 'taxonomy_hole', concept_id, concept_id, 0.55 * 0.5 + 0.8 + 0.3 * 0.8 FROM (SELECT DISTINCT concept_id FROM hole)
+ UNION ALL SELECT 'neighbour', concept_id, concept_id, 0.3 * similarity + 0.8 * 0.5 + 0.3 * 0.7 - 0.6 * similarity FROM nbr),
+dis AS (SELECT from_concept AS target FROM edge WHERE relation = 'user_linked' AND provenance = 'user' AND from_concept IS NOT NULL UNION SELECT doi FROM wo WHERE title IS NULL),
+cb AS (SELECT c.*, coalesce(c.concept_id IN (SELECT concept_id FROM cl WHERE cluster_id = (SELECT cluster_id FROM cz ORDER BY size DESC, cluster_id LIMIT 1)), false) AS big FROM cand c WHERE target NOT IN (SELECT target FROM dis)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY big ORDER BY score DESC, kind, target) AS g FROM cb),
 al AS (SELECT *, NOT big OR g <= 4 AS allowed FROM rk),
 ch AS (SELECT *, allowed AND row_number() OVER (PARTITION BY allowed ORDER BY score DESC, kind, target) <= 9 AS chosen FROM al),
-lu AS (SELECT *, NOT chosen AND row_number() OVER (PARTITION BY chosen ORDER BY CASE WHEN NOT big AND kind IN ('bridge', 'taxonomy_hole') THEN 0 ELSE 1 END, score DESC, kind, target) = 1 AS lucky FROM ch),
-vs AS (SELECT chunk_id, max(document_version_id) AS document_version_id, any_value(vector)::DOUBLE[] AS v FROM embedding_meta WHERE model_id = '{MODEL}' AND vector IS NOT NULL AND len(vector) = dim AND list_max(list_transform(vector, lambda x: abs(x))) > 0 GROUP BY 1)
+lu AS (SELECT *, NOT chosen AND row_number() OVER (PARTITION BY chosen ORDER BY CASE WHEN NOT big AND kind IN ('bridge', 'taxonomy_hole') THEN 0 ELSE 1 END, score DESC, kind, target) = 1 AS lucky FROM ch)
 """
 _HASH = "list_reduce(list_prepend({seed}::BIGINT, list_transform(str_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT)"
 _NOV = """nb AS (SELECT a.document_version_id, max(list_cosine_similarity(a.v, b.v)) AS s FROM vs a JOIN vs b ON b.document_version_id <> a.document_version_id GROUP BY 1),
@@ -429,11 +458,9 @@ ORACLES = {
     "edges_rewritten": _CTE + "SELECT DISTINCT from_concept, to_concept, relation, provenance, weight FROM edge WHERE NOT (relation = 'co_occurs' AND provenance = 'corpus_stats') OR relation IS NULL OR provenance IS NULL UNION ALL SELECT x.concept_id, y.concept_id, 'co_occurs', 'corpus_stats', count(*)::DOUBLE FROM cs x JOIN cs y ON x.source_id = y.source_id AND x.concept_id < y.concept_id GROUP BY 1, 2 HAVING count(*) >= 2",
     "concept_centroid": _CTE + """, u AS (SELECT chunk_id, unnest(v) / sqrt(list_dot_product(v, v)) AS x, generate_subscripts(v, 1) - 1 AS i FROM vs), m AS (SELECT DISTINCT concept_id, chunk_id FROM mention WHERE concept_id IS NOT NULL),
  s AS (SELECT concept_id, i, sum(x) AS x FROM m JOIN u USING (chunk_id) GROUP BY 1, 2) SELECT concept_id, i::BIGINT AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY concept_id)), 6) AS x FROM s""",
-    "neighbour_concepts": _CTE + """, u AS (SELECT chunk_id, unnest(v) / sqrt(list_dot_product(v, v)) AS x, generate_subscripts(v, 1) AS i FROM vs), m AS (SELECT DISTINCT concept_id, chunk_id FROM mention WHERE concept_id IS NOT NULL),
- s AS (SELECT concept_id, i, sum(x) AS x FROM m JOIN u USING (chunk_id) GROUP BY 1, 2), ce AS (SELECT concept_id, list(x ORDER BY i) AS v, any_value(distinct_sources) AS ds FROM s LEFT JOIN cov USING (concept_id) GROUP BY 1),
- an AS (SELECT * FROM ce WHERE ds >= 5 ORDER BY ds DESC, concept_id LIMIT 20), tg AS (SELECT ce.* FROM ce JOIN co ON co.id = ce.concept_id WHERE scheme <> 'local' AND coalesce(ds, 0) <= 3 ORDER BY concept_id LIMIT 200),
- pr AS (SELECT tg.concept_id, an.concept_id AS anchor_id, list_cosine_similarity(tg.v, an.v) AS similarity FROM tg JOIN an ON tg.concept_id <> an.concept_id)
- SELECT concept_id, anchor_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY similarity DESC, anchor_id) AS n FROM pr WHERE similarity >= 0.3) q WHERE n = 1 ORDER BY q.similarity DESC, concept_id LIMIT 10""",
+    "neighbour_concepts": _CTE + "SELECT concept_id, anchor_id, round(similarity, 6) AS similarity FROM nbr",
+    "dismissed_targets": _CTE + "SELECT DISTINCT target FROM dis",
+    "active_suggestions": _CTE + "SELECT kind || ':' || target AS id, round(score, 6) AS score FROM cand WHERE target NOT LIKE '%0' AND TIMESTAMP '2025-01-01' + to_days(length(target)::INTEGER) > TIMESTAMP '2025-01-12' ORDER BY cand.score DESC, id LIMIT 10",
     "literal_search": "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'practice session')",
     "hash_embedding": f"WITH {_TEXTS}, l AS (SELECT chunk_id AS id, text AS t FROM tx), {_EMBED} SELECT id AS chunk_id, i, round(y, 6) AS x FROM em",
 }

@@ -170,6 +170,11 @@ def _canon(rel: str, url: str) -> str:
 
 _ROWS = lambda t, c: f"SELECT to_json(struct_pack(t := '{t}', r := struct_pack({', '.join(f'{x} := {x}' for x in c)})))::VARCHAR AS value FROM (SELECT DISTINCT {', '.join(c)} FROM {t})"
 _EXPORT = " UNION ALL ".join(_ROWS(t, c) for t, c in EXPORTED.items()) + f""" UNION ALL SELECT '{{"format":"{X.FORMAT}","version":{X.VERSION},"counts":{{' || string_agg('"' || t || '":' || n, ',' ORDER BY t) || '}}}}' FROM ({" UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM (SELECT DISTINCT {', '.join(c)} FROM {t})" for t, c in EXPORTED.items())})"""
+_LUHN = "list_sum(list_transform(list_reverse(str_split(regexp_replace(c, '[^0-9]', '', 'g'), '')), lambda x, i: CASE WHEN i % 2 = 1 THEN x::INTEGER WHEN x::INTEGER * 2 > 9 THEN x::INTEGER * 2 - 9 ELSE x::INTEGER * 2 END)) % 10 = 0"
+_REDACT = f"""WITH a AS (SELECT doc_id, text AS t0 FROM documents WHERE text IS NOT NULL), b AS (SELECT *, '\\b[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]*[A-Za-z0-9_]\\b' AS p1, '(?i)\\b(?:bearer|token|api[_-]?key|secret)\\s*[:=]\\s*\\S+' AS p2, '(?i)\\b[0-9a-f]{{32,}}\\b' AS p3, '\\beyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]*[A-Za-z0-9_]\\b' AS p4 FROM a),
+ c1 AS (SELECT *, len(regexp_extract_all(t0, p1)) AS email, regexp_replace(t0, p1, '[email]', 'g') AS t1 FROM b), c2 AS (SELECT *, len(regexp_extract_all(t1, p2)) AS bearer_token, regexp_replace(t1, p2, '[token]', 'g') AS t2 FROM c1), c3 AS (SELECT *, len(regexp_extract_all(t2, p3)) AS long_hex, regexp_replace(t2, p3, '[hex]', 'g') AS t3 FROM c2),
+ c4 AS (SELECT *, len(regexp_extract_all(t3, p4)) AS jwt, regexp_replace(t3, p4, '[jwt]', 'g') AS t4 FROM c3), c5 AS (SELECT *, list_filter(regexp_extract_all(t4, '\\b(?:[0-9][ -]?){{12,18}}[0-9]\\b'), lambda c: length(regexp_replace(c, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND {_LUHN}) AS cards FROM c4)
+ SELECT doc_id, email, bearer_token, long_hex, jwt, len(cards) AS card_number, list_reduce(list_prepend(t4, cards), lambda t, c: replace(t, c, '[card]')).length() AS chars FROM c5"""
 ORACLES = {
     "canonical_url": f"WITH u AS (SELECT DISTINCT fetch_id, final_url AS url FROM fetched_document), {_canon('u', 'url')} SELECT fetch_id, canonical, dropped FROM cu",
     "source_ids": f"WITH {_canon('reading_source', 'canonical_url')} SELECT DISTINCT id, coalesce('s-doi-' || substr(sha256('doi:' || {DOI_SQL.format('doi')}), 1, 24), 's-url-' || substr(sha256('url:' || canonical), 1, 24), 's-cnt-' || substr(sha256('content:' || content_hash), 1, 24)) AS derived FROM cu",
@@ -189,6 +194,7 @@ ORACLES = {
     "manifest_gaps": "SELECT table_name || '.' || column_name AS gap FROM information_schema.columns WHERE " + " OR ".join(f"(table_name = '{t}' AND column_name NOT IN ({', '.join(repr(x) for x in c)}))" for t, c in EXPORTED.items()),
     "page_outcomes": f"SELECT outcome, count(*) AS pages FROM (SELECT CASE WHEN body IS NULL OR body = '' THEN 'no_content' WHEN http_status <> 200 THEN 'http_error' WHEN NOT starts_with(coalesce(content_type, ''), 'text/') THEN 'not_text' WHEN len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(body, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+'), lambda w: w <> '')) < 50 THEN 'too_short' ELSE 'ok' END AS outcome FROM (SELECT DISTINCT * FROM fetched_document)) GROUP BY 1",
     "text_titles": r"""SELECT DISTINCT id, left(trim(regexp_replace(trim(regexp_replace(list_filter(str_split(text, chr(10)), lambda x: regexp_replace(x, '\s', '', 'g') <> '')[1], '[\r\t]', ' ', 'g')), '^#+ *', '')), 200) AS title, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words FROM document_version WHERE text IS NOT NULL""",
+    "redact_counts": _REDACT,
     "redacted_urls": f"SELECT DISTINCT final_url AS url, regexp_replace(regexp_replace(regexp_replace(final_url, '^(https?://)[^/?#@]*@', '\\1'), '([?&])(?:{'|'.join(P.CREDENTIALS)})=[^&#]*&?', '\\1', 'gi'), '[?&]+($|#)', '\\1') AS redacted FROM fetched_document",
     "stream_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
  g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e), z AS (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS events FROM g GROUP BY user_id, s) SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS started_at, events FROM z WHERE b + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
