@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions import ports as O
 from lumenfold.functions import privacy as P
 from lumenfold.functions.spotter import spot
 from lumenfold.operators import linking as L
@@ -96,6 +97,12 @@ def reconciled_decisions(s: SparkSession, d: str) -> DataFrame:
     return L.reconcile(_model(s, d, "rule%"), _model(s, d, "judge%"), L.candidates(_forms(s, d), _names(s, d)))
 
 
+def port_decisions(s: SparkSession, d: str) -> DataFrame:
+    """The rule model's mentions decided anew through the ports."""
+    vocabulary = O.TableVocabulary(table(s, d, "concept"), table(s, d, "edge"), Scratch(s, "ports"))
+    return O.linked(O.RuleLinker(), _model(s, d, "rule%"), vocabulary).select("id", "concept_id", "confidence")
+
+
 def imported_hierarchy(s: SparkSession, d: str) -> DataFrame:
     """Vocabulary edges above every concept that is mentioned, as they are stored: weight 1."""
     used = table(s, d, "mention").select(F.col("concept_id").alias("id"))
@@ -147,7 +154,7 @@ def identity_stability(s: SparkSession, d: str) -> DataFrame:
 
 
 _FNS = (
-    rule_link, link_candidates, link_mentions, link_all, link_egress, local_concepts, overridden_mentions, reconciled_decisions, imported_hierarchy, merge_resolution, merge_proposals, merge_proposals_wide, label_classes,
+    rule_link, link_candidates, link_mentions, link_all, link_egress, local_concepts, overridden_mentions, reconciled_decisions, port_decisions, imported_hierarchy, merge_resolution, merge_proposals, merge_proposals_wide, label_classes,
     linking_errors, linking_eval, linking_report, identity_stability,
 )
 QUERIES = {f.__name__: f for f in _FNS}
@@ -216,6 +223,7 @@ ORACLES = {
     "reconciled_decisions": f"""WITH {_CAND}, a AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, surface_form ORDER BY start_char, end_char, id) AS k FROM {_ONE('rule%')}), b AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, surface_form ORDER BY start_char, end_char, id) AS k FROM {_ONE('judge%')}),
  x AS (SELECT a.id, b.concept_id, b.confidence, b.is_primary, coalesce(list_contains(cd.ids, b.concept_id), false) AS ok FROM a LEFT JOIN b ON b.chunk_id = a.chunk_id AND b.surface_form = a.surface_form AND b.k = a.k LEFT JOIN cd ON cd.form = {_FOLD('a.surface_form')})
  SELECT id, CASE WHEN ok THEN concept_id END AS concept_id, CASE WHEN ok THEN greatest(0.0, least(1.0, coalesce(confidence, 0.0))) ELSE 0.0 END::DOUBLE AS confidence, ok AND coalesce(is_primary, false) AS is_primary FROM x""",
+    "port_decisions": f"WITH {_CAND}, a AS {_ONE('rule%')} SELECT a.id, cd.ids[1] AS concept_id, CASE WHEN cd.ids IS NULL THEN 0.0 WHEN cd.exact THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence FROM a LEFT JOIN cd ON cd.form = {_FOLD('a.surface_form')}",
     "imported_hierarchy": """WITH RECURSIVE u AS (SELECT DISTINCT from_concept, to_concept, relation FROM edge WHERE provenance = 'vocabulary' AND from_concept IS NOT NULL AND to_concept IS NOT NULL), r AS (SELECT DISTINCT concept_id AS v, 0 AS k FROM mention WHERE concept_id IS NOT NULL UNION SELECT u.to_concept, r.k + 1 FROM r JOIN u ON u.from_concept = r.v WHERE r.k < 3)
  SELECT DISTINCT u.*, 1.0::DOUBLE AS weight FROM u JOIN r ON r.v = u.from_concept""",
     "merge_proposals": _merges_sql(0.5, 0.6, 0.9),

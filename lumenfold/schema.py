@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.identity import normal_doi
 
-VERSION = 1
+#: Columns that each version of the tables added: version, table, column, type.
+ADDED = ((2, "ingestion_event", "novelty_model_id", "string"), (2, "mention", "model_id", "string"), (3, "document_version", "lang", "string"))
+VERSION = max(v for v, *_ in ADDED)
+
+
+def upgraded(df: DataFrame, table: str, version: int) -> DataFrame:
+    """A table as written by an older version, with the columns added since as nulls; a newer version is refused."""
+    if version > VERSION:
+        raise ValueError(f"{table} was written by version {version}; this is {VERSION}")
+    new = [(c, t) for v, name, c, t in ADDED if name == table and v > version and c not in df.columns]
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in new}) if new else df
 
 
 def rules() -> dict[str, tuple[str, Column]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import identity as I
 from lumenfold.functions import privacy as P
 from lumenfold.functions import scheduler as S
-from lumenfold.functions.spotter import spots
+from lumenfold.functions import spotter as W
 from lumenfold.operators import citations as C
 from lumenfold.operators import coverage as V
 from lumenfold.operators import linking as L
@@ -103,10 +103,10 @@ def test_rollup_is_idempotent_and_counts_contacts_once(spark):
 
 def test_telemetry_rules_in_order(spark):
     t = dt.datetime(2025, 1, 1)
-    rows = [(1, 1000, 0.9, 600, 400), (2, 60000, 0.0, 600, 400), (3, 9_000_000, 0.9, 9000, 400), (4, 90_000, 0.9, 60, 400), (5, 90_000, 0.9, 120, 400), (6, 20_000, 0.3, 120, 400)]
-    df = spark.createDataFrame([(i, t, t + dt.timedelta(seconds=el), a, s, w) for i, a, s, el, w in rows], "i int, started_at timestamp, ended_at timestamp, active_ms long, max_scroll_pct double, word_count long")
+    rows = [(1, 1000, 0.9, 600, 400, 0), (2, 60000, 0.0, 600, 400, None), (3, 9_000_000, 0.9, 9000, 400, 0), (4, 90_000, 0.9, 60, 400, 0), (5, 90_000, 0.9, 120, 400, 0), (6, 20_000, 0.3, 120, 400, 0), (7, 90_000, None, 120, 400, 2)]
+    df = spark.createDataFrame([(i, t, t + dt.timedelta(seconds=el), a, s, w, r) for i, a, s, el, w, r in rows], "i int, started_at timestamp, ended_at timestamp, active_ms long, max_scroll_pct double, word_count long, scroll_reversals int")
     got = {r.i: (r.reject, r.engagement) for r in T.engagement(T.assess(df)).collect()}
-    assert got == {1: ("too_short", None), 2: ("no_scroll", None), 3: ("too_long", None), 4: ("beyond_wall_clock", None), 5: (None, "read"), 6: (None, "skim")}
+    assert got == {1: ("too_short", None), 2: ("no_scroll", None), 3: ("too_long", None), 4: ("beyond_wall_clock", None), 5: (None, "read"), 6: (None, "skim"), 7: (None, "skim")}
 
 
 def test_similar_labels_against_brute_force(spark):
@@ -118,24 +118,215 @@ def test_similar_labels_against_brute_force(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == {("c0", "c1"), ("c0", "c2"), ("c3", "c5")}
 
 
-def test_greedy_span_matching(spark):
-    s = "id string, chunk_id string, start_char long, end_char long, concept_id string"
-    gold = spark.createDataFrame([("g1", "k", 0, 5, "x"), ("g2", "k", 4, 9, "y"), ("g3", "q", 0, 2, "z")], s)
-    pred = spark.createDataFrame([("p1", "k", 3, 6, "x"), ("p2", "k", 8, 9, "n"), ("p3", "k", 20, 30, "n")], s)
-    m = L.match_spans(gold, pred)
-    assert {(r.g_id, r.p_id, r.same) for r in m.collect()} == {("g1", "p1", True), ("g2", "p2", False)}
-    e = L.evaluation(gold, m).first()
-    assert (e.tp, e.fp, e.fn) == (1, 1, 2) and abs(e.precision - 0.5) < 1e-9
+MENTION = "id string, chunk_id string, start_char long, end_char long, surface_form string, concept_id string, confidence double, is_primary boolean"
 
 
-def test_spots_are_inside_the_text_and_one_per_form():
-    text = "The ATP cycle is a pathway. Later Marie Curie met Marie Curie and Marie Curie again; ATP matters."
-    got = spots(text)
-    assert all(text[a:b] == s for a, b, s, _ in got)
-    forms = [s.lower() for _, _, s, _ in got]
+def test_greedy_span_matching_and_evaluation(spark):
+    gold = spark.createDataFrame([("g1", "k", 0, 5, "a", "x", 1.0, True), ("g2", "k", 4, 9, "b", "y", 1.0, False), ("g3", "q", 0, 2, "c", "z", 1.0, False), ("g4", "q", 5, 9, "d", None, 1.0, False), ("g5", "q", 20, 25, "e", "w", 1.0, True), ("g6", "q", 40, 45, "f", None, 1.0, None)], MENTION)
+    pred = spark.createDataFrame([("p1", "k", 3, 6, "a", "x", 1.0, True), ("p2", "k", 8, 9, "b", "n", 1.0, False), ("p3", "k", 20, 30, "u", "n", 1.0, False), ("p4", "q", 6, 7, "d", "v", 0.6, False), ("p5", "q", 20, 21, "e", "w", 0.9, False), ("p6", "q", 41, 42, "f", "v", 0.5, False)], MENTION)
+    assert {(r.g_id, r.p_id) for r in L.match_spans(gold, pred).collect()} == {("g1", "p1"), ("g2", "p2"), ("g4", "p4"), ("g5", "p5"), ("g6", "p6")}
+    j = L.judged(gold, pred)
+    assert {r.g_id: r.kind for r in j.collect()} == {"g1": "correct", "g2": "wrong_concept", "g3": "not_spotted", "g4": "spurious_link", "g5": "wrong_primary", "g6": "correct_nil"}
+    e = L.evaluation(j).first()
+    assert (e.linkable, e.tp, e.fp, e.fn, e.nil_total, e.nil_correct, e.missed_by_spotter) == (4, 2, 2, 2, 2, 1, 1) and e.precision == 0.5 and e.primary_accuracy == 0.5
+    assert L.evaluation(L.judged(gold.filter("false"), pred)).first().f1 == 0.0
+    st = L.stability(j, L.judged(gold, pred, 0.7)).first()
+    assert (st.comparable, st.stable) == (5, 5)  # two right, and g2, g3, g5 alike; g4 is an error in one run only
+
+
+def test_candidates_are_exact_or_contain_one_another(spark):
+    concept = spark.createDataFrame([("c2", "Spaced  Repetition", ["SRS"]), ("c1", "repetition", None), ("c3", "ﬁeld", ["x"]), (None, "none", None), ("c4", None, None)], "id string, label string, aliases array<string>")
+    forms = spark.createDataFrame([("spaced repetition systems",), ("SPACED repetition",), ("petit",), ("field",), ("zzz",), (None,), ("",), ("ax",)], "form string")
+    got = {r.form: (r.concept_id, r.confidence) for r in L.link(forms, L.names(concept)).collect()}
+    assert got == {"spaced repetition systems": ("c1", 0.7), "spaced repetition": ("c2", 1.0), "petit": ("c1", 0.7), "field": ("c3", 1.0), "zzz": (None, 1.0), "ax": ("c3", 0.7)}
+    assert [r.concepts for r in L.candidates(forms, L.names(concept)).filter("form = 'spaced repetition systems'").collect()] == [["c1", "c2"]]
+
+
+def test_spots_linked_to_concepts_or_local_ones(spark):
+    concept = spark.createDataFrame([("c1", "kiln", None)], "id string, label string, aliases array<string>")
+    spots = spark.createDataFrame([("k", 0, 4, "Kiln"), ("k", 0, 4, "kiln"), ("k", 9, 17, "New Term"), ("p", 0, 4, "kiln"), ("gone", 0, 4, "kiln"), ("k", 20, 21, "!")], "chunk_id string, start_char long, end_char long, surface_form string")
+    chunks = spark.createDataFrame([("k", "kiln and kiln", None, 1), ("p", "kiln", "On a KILN", 2)], "chunk_id string, text string, title string, start_char int")
+    targets = spark.createDataFrame([("local:new-term", "c9")], "concept_id string, target_id string")
+    got = {(r.chunk_id, r.concept_id, r.start_char): (r.confidence, r.is_primary) for r in L.link_spots(spots, chunks, L.names(concept), targets).collect()}
+    assert got == {("k", "c1", 0): (1.0, True), ("k", "c9", 9): (1.0, False), ("p", "c1", 0): (1.0, True)}
+
+
+def test_overrides(spark):
+    m = spark.createDataFrame([("k", "a", 0, 3, 0.9, False), ("k", "b", 5, 8, 0.8, True), ("k", "b", 5, 8, 0.8, True), ("k", "c", 9, 12, 0.7, False), ("q", "c", 1, 2, 0.6, False), ("q", "c", 4, 6, 0.9, False)], "chunk_id string, concept_id string, start_char long, end_char long, confidence double, is_primary boolean")
+    pair = "chunk_id string, concept_id string"
+    chunks = spark.createDataFrame([("k", 100, "the Old Kiln stands"), ("q", 0, "x")], "chunk_id string, start_char long, text string")
+    concept = spark.createDataFrame([("n", "old kiln"), ("o", "absent")], "id string, label string")
+    targets = spark.createDataFrame([("c", "b")], "concept_id string, target_id string")
+    out = L.apply_overrides(m, spark.createDataFrame([("k", "a")], pair), spark.createDataFrame([("k", "n"), ("q", "o"), ("k", "b"), ("z", "n"), ("k", "zz")], pair), targets, chunks, concept)
+    assert {(r.chunk_id, r.concept_id, r.start_char, r.end_char, r.confidence) for r in out.collect()} == {("k", "b", 5, 8, 0.8), ("k", "n", 104, 112, 1.0), ("q", "o", 0, 1, 1.0), ("q", "b", 1, 2, 0.6)}
+
+
+def test_decisions_answer_only_what_was_asked(spark):
+    ask = spark.createDataFrame([("1", "k", 0, 2, "a", None, None, None), ("2", "k", 5, 7, "a", None, None, None), ("3", "k", 9, 11, "b", None, None, None)], MENTION)
+    say = spark.createDataFrame([("x", "k", 0, 2, "a", "c1", 1.7, True), ("y", "k", 5, 7, "a", "zz", 0.9, True)], MENTION)
+    found = spark.createDataFrame([("a", ["c1", "c2"]), ("b", ["c3"])], "form string, concepts array<string>")
+    assert {r.id: (r.concept_id, r.confidence, r.is_primary) for r in L.reconcile(ask, say, found).collect()} == {"1": ("c1", 1.0, True), "2": (None, 0.0, False), "3": (None, 0.0, False)}
+
+
+def ranked_spots(spark, text, keywords=()):
+    return [(text[r.start_char : r.end_char], r.signal) for r in W.spot(spark.createDataFrame([("k", text)], "k string, t string"), "k", "t", keywords).orderBy("start_char").collect()]
+
+
+def test_spots_by_signal(spark):
+    text = "The ATP cycle is a pathway. Later Marie Curie met Marie Curie and Marie Curie again; ATPs matter near Bank of England."
+    got = ranked_spots(spark, text, ("curie  again",))
+    forms = [s.lower() for s, _ in got]
     assert len(forms) == len(set(forms))
-    assert ("Marie Curie", "recurring") in {(s, k) for _, _, s, k in got} and ("ATP", "acronym") in {(s, k) for _, _, s, k in got}
-    assert spots("") == []
+    signals = dict(got)
+    assert signals["Marie Curie"] == "recurring" and signals["ATP"] == "acronym" and signals["The ATP cycle"] == "definition" and signals["Curie again"] == "keyword" and signals["Bank of"] == "proper_noun" and signals["England"] == "proper_noun"
+    assert ranked_spots(spark, "") == [] and "is" not in forms and "pathway. later" not in forms
+
+
+def test_the_strongest_and_longest_forms_stay_within_the_limit(spark):
+    word = lambda i: "".join(chr(97 + int(x)) for x in f"{i:03}") * 3
+    got = ranked_spots(spark, "We met Ada Lovelace. " + ". ".join(word(i) for i in range(200)) + ". XML")
+    assert len(got) == 60 and ("XML", "acronym") in got and ("Ada Lovelace", "proper_noun") in got
+
+
+def test_local_keys_fold_compatible_forms(spark):
+    assert one(spark, I.local_key(F.col("a")), a="ＡＢ ﬁne") == one(spark, I.local_key(F.col("a")), a="ab FINE!") == "local:ab-fine"
+    assert one(spark, I.local_key(F.col("a")), a="…!") is None
+
+
+def test_grades_of_three_pass_and_ungraded_reviews_count(spark):
+    from lumenfold.operators import retention as R
+
+    rows = [(1, 7, 2, None, 0.5), (2, 7, 3, None, 0.5), (3, 7, None, None, 0.5), (4, 7, 1, 4, None), (5, 8, None, None, None), (6, 8, None, None, 0.1), (7, 8, None, None, 0.1), (8, 8, None, None, 0.1)]
+    r = spark.createDataFrame(rows, "id long, quiz_item_id long, machine_rating int, user_grade_override int, predicted_recall double")
+    c = R.calibration(r).first()
+    assert (c.scored, c.excluded, c.brier, c.bias) == (2, 2, 0.25, 0.0)
+    assert [(x.bin, x.n, x.actual) for x in R.calibration_bins(r).collect()] == [(5, 2, 0.5)]
+    assert {x.quiz_item_id: (x.reviews, x.pass_rate) for x in R.anomalous(r).collect()} == {8: (4, 0.0)}
+
+
+def test_captures_meet_by_any_key(spark, scratch):
+    from lumenfold.operators import capture as K
+
+    t = dt.datetime(2025, 1, 1)
+    rows = [("a", "web", "https://x.example/1", None, None, t, False), ("b", "web", "https://x.example/1?utm_source=q", "10.1234/z", None, t, None), ("c", "pdf", None, "doi:10.1234/Z", "h", t, True), ("d", "note", None, None, "h", t, False), ("e", "note", None, None, None, t, None), ("e", "note", None, None, None, t, None), (None, "web", None, None, None, t, None)]
+    got = K.captured(spark.createDataFrame(rows, "id string, kind string, canonical_url string, doi string, content_hash string, first_seen_at timestamp, is_private boolean"), scratch).collect()
+    assert sorted((r.kind, r.ids, r.is_private) for r in got) == [("note", 1, False), ("paper", 4, True)]
+
+
+def test_drafts_that_cite_another_text_are_not_grounded(spark):
+    from lumenfold.operators import items as Q
+
+    text = "A first sentence that is long enough to count. Another one follows here as well."
+    version = spark.createDataFrame([("v", text), ("w", "x" * 200)], "id string, text string")
+    found = spark.createDataFrame([("c", "k", "v", "s1", 0, len(text), 1), ("c", "k2", "w", "s2", 0, 200, 2)], "concept_id string, chunk_id string, document_version_id string, source_id string, start_char long, end_char long, rank int")
+    d = Q.drafts(found, version, spark.createDataFrame([("c", "FIRST sentence")], "id string, label string"))
+    got = {r.kind: r for r in d.collect()}
+    assert set(got) == {"free_recall", "cloze", "synthesis"} and "A _____ that" in got["cloze"].prompt
+    assert {r.grounded for r in Q.grounded(d, version).collect()} == {True}
+    for change in (lambda p: p.withField("document_version_id", F.lit("w")), lambda p: p.withField("document_version_id", F.lit("none")), lambda p: p.withField("end", F.lit(9_999).cast("long"))):
+        assert {r.grounded for r in Q.grounded(d.withColumn("points", F.transform("points", change)), version).collect()} == {False}
+
+
+def test_cooccurrence_of_a_source_cut_into_blocks(spark, monkeypatch):
+    from itertools import combinations
+
+    from lumenfold.operators import graph as G
+
+    monkeypatch.setattr(G, "BLOCK", 4)
+    rows = [("s1", f"c{i:02}") for i in range(17)] + [("s2", "c01"), ("s2", "c05"), ("s3", "c09")]
+    got = {(r.a, r.b): r.shared for r in G.cooccurrence(spark.createDataFrame(rows, "source_id string, concept_id string")).collect()}
+    want = {p: 1 for p in combinations([f"c{i:02}" for i in range(17)], 2)} | {("c01", "c05"): 2}
+    assert got == want
+
+
+def test_groups_by_contraction(spark, scratch):
+    from lumenfold.operators import graph as G
+
+    names = [f"n{(i * 37) % 60:02}" for i in range(60)]
+    links = list(zip(names, names[1:30])) + [("x", "y"), ("z", "z"), (None, "x"), ("q", None)]
+    got = {r.v: r.l for r in G.groups(spark.createDataFrame(links, "a string, b string"), scratch).collect()}
+    assert {got[n] for n in names[:30]} == {min(names[:30])} and got["x"] == got["y"] == "x" and got["z"] == "z" and "q" not in got
+    assert G.groups(spark.createDataFrame([], "a string, b string"), scratch).count() == 0
+
+
+def test_vectors_put_blobs_and_blocks(spark, scratch, monkeypatch):
+    from lumenfold.operators import vectors as E
+
+    s = "chunk_id string, document_version_id string, model_id string, dim int, vector array<float>, computed_at timestamp"
+    t = dt.datetime(2025, 1, 1)
+    old = spark.createDataFrame([("a", "v", "m", 2, [1.0, 0.0], t), ("b", "v", "m", 2, [0.0, 1.0], t)], s)
+    new = spark.createDataFrame([("a", "v", "m", 2, [0.5, 0.5], t), ("c", "v", "m", 3, [0.5, 0.5], t), ("d", "w", "m", 2, None, t)], s)
+    assert {r.chunk_id: r.vector for r in E.put(old, new).collect()} == {"a": [0.5, 0.5], "b": [0.0, 1.0]}
+    back = old.select("chunk_id", E.from_blob(E.to_blob(F.col("vector")), F.lit(2)).alias("v")).collect()
+    assert {r.chunk_id: r.v for r in back} == {"a": [1.0, 0.0], "b": [0.0, 1.0]}
+    with pytest.raises(Exception, match="another length"):
+        old.select(E.from_blob(E.to_blob(F.col("vector")), F.lit(3))).collect()
+    monkeypatch.setattr(E, "BLOCK", 6)
+    import numpy as np
+
+    u = np.random.default_rng(1).normal(size=(12, 3))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    store = spark.createDataFrame([(f"k{i:02}", f"v{i // 2}", x.tolist()) for i, x in enumerate(u)], "chunk_id string, document_version_id string, u array<double>")
+    sims = u @ u.T
+    for r in E.novelty(store, scratch).collect():
+        i = int(r.document_version_id[1:])
+        best = max(sims[a, b] for a in (2 * i, 2 * i + 1) for b in range(12) if b // 2 != i)
+        assert abs(r.novelty - (1 - max(0, best))) < 1e-9 and r.comparable
+    near = {}
+    for r in E.top_k_each(store, store.filter("chunk_id < 'k03'"), scratch, k=4, min_score=-1.0).orderBy("rank").collect():
+        near.setdefault(r.query_id, []).append(r.chunk_id)
+    assert near == {f"k{i:02}": [f"k{j:02}" for j in sorted(set(range(12)) - {i}, key=lambda j: -sims[i, j])[:4]] for i in range(3)}
+    empty = store.filter("false")
+    assert E.novelty(empty, scratch).count() == 0 and E.top_k_each(store, empty, scratch).count() == 0
+
+
+def test_a_pull_rewrites_known_sources_and_defers_the_rest(spark):
+    src = "id string, kind string, canonical_url string, doi string, content_hash string, title string, authors array<string>, published_at timestamp, first_seen_at timestamp, is_private boolean, deleted_at timestamp"
+    row = lambda i, url=None, doi=None: (i, "web", url, doi, None, None, None, None, None, False, None)
+    local = {"source": spark.createDataFrame([row("s1", "u1"), row("s2", None, "d2")], src), "event": spark.createDataFrame([("e1", "s1")], "id string, source_id string")}
+    theirs = {"source": spark.createDataFrame([row("t1", "u1"), row("t3", "u3"), row("s2", None, "d2")], src), "event": spark.createDataFrame([("e1", "s1"), ("e2", "t1"), ("e3", "t3"), ("e4", "gone"), ("e5", None)], "id string, source_id string")}
+    sources, events = Y.pulled(theirs, local)
+    assert sorted(r.id for r in sources.collect()) == ["s1", "s2", "t3"]
+    assert {r.id: (r.source_id, r.state) for r in events.collect()} == {"e1": ("s1", "merged"), "e2": ("s1", "applied"), "e3": ("t3", "applied"), "e4": ("gone", "deferred"), "e5": (None, "applied")}
+    batches = spark.createDataFrame([("me", 1, "t", "x"), ("you", 1, "t", "y")], "device string, version int, table string, payload string")
+    assert [r.payload for r in Y.received(batches, "me").collect()] == ["y"]
+    with pytest.raises(Exception, match="another version"):
+        Y.received(batches.withColumn("version", F.lit(9)), "me").collect()
+
+
+def test_older_tables_get_the_columns_added_since(spark):
+    from lumenfold import schema
+
+    df = spark.createDataFrame([("a",)], "id string")
+    assert schema.upgraded(df, "mention", 1).columns == ["id", "model_id"] and schema.upgraded(df, "mention", 3).columns == ["id"]
+    with pytest.raises(ValueError):
+        schema.upgraded(df, "mention", 99)
+
+
+def test_ports_can_be_replaced(spark, scratch, tmp_path):
+    from lumenfold.functions import ports as O
+
+    concept = spark.createDataFrame([("c1", "kiln", None)], "id string, label string, aliases array<string>")
+    edge = spark.createDataFrame([("c1", "c0", "subclass_of", "vocabulary")], "from_concept string, to_concept string, relation string, provenance string")
+    ask = spark.createDataFrame([("1", "k", 0, 4, "kiln", None, None, None), ("2", "k", 5, 7, "zz", None, None, None)], MENTION)
+
+    class Liar:
+        model_id = "liar"
+
+        def decide(self, requests, found):
+            return requests.drop("concept_id", "confidence", "is_primary").withColumns({"concept_id": F.lit("made up"), "confidence": F.lit(1.0), "is_primary": F.lit(True)})
+
+    v = O.TableVocabulary(concept, edge, scratch)
+    assert {r.id: r.concept_id for r in O.linked(O.RuleLinker(), ask, v).collect()} == {"1": "c1", "2": None}
+    assert {r.concept_id for r in O.linked(Liar(), ask, v).collect()} == {None}
+    assert [r.to_concept for r in v.hierarchy(concept.select("id")).collect()] == ["c0"]
+    cites = O.TableScholarGraph(spark.createDataFrame([("a", "b"), ("c", "b")], "from_doi string, to_doi string"))
+    assert cites.cited_by(spark.createDataFrame([("b",)], "doi string")).count() == 2 and cites.references(spark.createDataFrame([("a",)], "doi string")).count() == 1
+    relay = O.FolderRelay(str(tmp_path / "relay"))
+    relay.push(spark.range(2), 1)
+    relay.push(spark.range(3), 2)
+    assert relay.pull(spark, 1).count() == 3 and O.Pbkdf2(10).derive("p", b"s") != O.Pbkdf2(10).derive("q", b"s")
+    assert O.HashEmbedder().embed(spark.createDataFrame([("k", "some words")], "k string, t string"), "k", "t").count() > 0
 
 
 def test_export_round_trip(spark, tmp_path):
