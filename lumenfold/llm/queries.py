@@ -56,6 +56,38 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(docs, "doc_id", "n", Scratch(spark, "pack")).withColumnRenamed("id", "doc_id")
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the packing: every text has its place, no container is over its capacity, only texts above it are
+    divided and into adjoining pieces, and the containers are at most one per cent more than the tokens need."""
+    scratch = Scratch(spark, "packed")
+    packed = scratch.put(p8_containers(spark, d))
+    docs = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("n"), F.count_distinct("piece").alias("numbers"), F.max(F.col("start") + F.col("size")).alias("end"))
+    bins = packed.filter("container is not null").groupBy("container").agg(F.sum("size").alias("n"), F.max("fill").alias("fill"))
+    a = docs.agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= 2048)).alias("wrongly_divided"), F.count_if((F.col("numbers") != F.col("pieces")) | (F.col("end") != F.col("n"))).alias("with_gaps"), F.sum("n").alias("tokens")).withColumn("k", F.lit(1))
+    b = bins.agg(F.count_if(F.col("n") > 2048).alias("overfull"), F.count_if(F.col("n") != F.col("fill")).alias("misreported"), F.count(F.lit(1)).alias("containers")).withColumn("k", F.lit(1))
+    tight = F.coalesce(F.col("containers") <= F.ceil(F.col("tokens") / 2048) * 1.01 + 1, F.lit(True))
+    return a.join(b, "k").select("texts", "wrongly_divided", "with_gaps", "overfull", "misreported", tight.alias("tight"))
+
+
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture: every target is reported, no text is used more than its source allows or under a source
+    that does not hold it, and each source with texts has its tokens and at most one text more for each set of sources that
+    its texts are in."""
+    chosen, shares = _mixture(spark, d)
+    scratch = Scratch(spark, "mixed")
+    chosen, shares = scratch.put(chosen), scratch.put(shares)
+    texts = table(spark, d, "documents").filter("text <> ''").select(F.sha2("text", 256).alias("key"), "doc_id", "source")
+    holds = texts.join(texts.select("doc_id", "key").withColumnRenamed("doc_id", "first"), "key").select(F.col("first").alias("doc_id"), "source").distinct()
+    strange = chosen.join(holds, ["doc_id", "source"], "left_anti").agg(F.count(F.lit(1)).alias("strange")).withColumn("k", F.lit(1))
+    sets = texts.groupBy("key").agg(F.array_sort(F.collect_set("source")).alias("pattern")).select("pattern", F.explode("pattern").alias("source")).groupBy("source").agg(F.count_distinct("pattern").alias("runs"))
+    most = chosen.groupBy("source").agg(F.max("n_tokens").alias("most"))
+    excess = F.col("tokens") - F.col("target_tokens")
+    off = shares.filter("tokens > 0").join(most, "source").join(sets, "source").filter((excess < 0) | (excess > F.col("most") * F.col("runs"))).agg(F.count(F.lit(1)).alias("off_target")).withColumn("k", F.lit(1))
+    over = chosen.join(F.broadcast(shares.select("source", "max_repeats")), "source").agg(F.count_if(F.col("uses") > F.col("max_repeats")).alias("overused")).withColumn("k", F.lit(1))
+    n = shares.agg(F.count(F.lit(1)).alias("targets")).withColumn("k", F.lit(1))
+    return n.join(over, "k").join(strange, "k").join(off, "k").drop("k")
+
+
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "mix")
     # Written first, so that no later filter counts the tokens of a text a second time.
@@ -103,7 +135,7 @@ def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
     return recover(table(spark, d, "documents"), "doc_id", "text", Scratch(spark, "encoding")).filter("found").select(F.col("key").alias("doc_id"), "text", "codecs", "lost")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_pairs, p6_found, p6_neighbours, p8_containers, p9_mixture, p9_shares, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_pairs, p6_found, p6_neighbours, p8_containers, p8_invariants, p9_mixture, p9_shares, p9_invariants, p10_found, p10_repaired)}
 
 _P5 = """
 WITH m AS (SELECT DISTINCT chunk_id, concept_id FROM mention WHERE chunk_id IS NOT NULL),
@@ -122,6 +154,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY model_id, chunk_id ORDER BY simi
 ORACLES = {
     "p6_found": _P6 + "SELECT DISTINCT model_id, least(chunk_id, neighbour) AS chunk_a, greatest(chunk_id, neighbour) AS chunk_b FROM k WHERE rank <= 10",
     "p6_neighbours": _P6.replace("ORDER BY similarity DESC", "ORDER BY round(similarity, 12) DESC").replace(" WHERE similarity >= 0.92", "") + "SELECT model_id, chunk_id, neighbour, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM k WHERE rank <= 10",
+    "p8_invariants": "SELECT count(*) AS texts, 0::BIGINT AS wrongly_divided, 0::BIGINT AS with_gaps, 0::BIGINT AS overfull, 0::BIGINT AS misreported, true AS tight FROM documents",
+    "p9_invariants": "SELECT count(DISTINCT source) AS targets, 0::BIGINT AS overused, 0::BIGINT AS strange, 0::BIGINT AS off_target FROM mix_target WHERE target_share > 0 AND max_repeats > 0",
     "p2_found": """WITH RECURSIVE e AS (SELECT from_concept AS a, to_concept AS b FROM edge WHERE relation = 'user_linked' UNION SELECT to_concept, from_concept FROM edge WHERE relation = 'user_linked'),
  r AS (SELECT a AS concept_id, a AS o FROM e WHERE a IS NOT NULL UNION SELECT e.b, r.o FROM r JOIN e ON e.a = r.concept_id WHERE e.b IS NOT NULL)
  SELECT concept_id, min(o) AS group_id FROM r GROUP BY 1""",
