@@ -49,19 +49,19 @@ def parents(edges: DataFrame, child: str, parent: str, forest: str) -> DataFrame
     return _tree(links(edges, child, parent, forest))
 
 
-def sizes_upward(tree: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """``(forest, node, parent, anc, depth, root, low, size)`` of every node, and whether any is unprocessed.
+def sizes_upward(tree: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool]:
+    """``(forest, node, parent, anc, depth, root, low)`` of every node, ``(forest, node, size)``, and whether any is unprocessed.
 
     For processed nodes anc is null, size counts the node and its descendants and low is the smallest id from the node up
-    to its root; for unprocessed nodes anc is some node above them.
+    to its root; for unprocessed nodes anc is some node above them.  A round passes the size so far of each node to its
+    ancestor; what finished nodes get is summed once, after the rounds, from the tables of the rounds.
     """
-    first = tree.select(
-        "forest", "node", "parent", F.col("parent").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent", "node").alias("root"), F.least("node", "parent").alias("low")
+    one = F.lit(1).cast("long").alias("size")
+    active = scratch.put(
+        tree.select("forest", "node", "parent", F.col("parent").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent", "node").alias("root"), F.least("node", "parent").alias("low"), one)
     )
-    active = scratch.put(first)
+    passed = [active.select("forest", "node", one)]
     done: DataFrame | None = None
-    one = F.lit(1).cast("long").alias("size")
-    sizes = scratch.put(tree.select("forest", "node", one))
     left = None
     while True:
         before, left = left, active.filter("anc is not null").count()
@@ -70,17 +70,20 @@ def sizes_upward(tree: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
         state = active if done is None else done.unionByName(active)
         up = state.select("forest", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"), F.col("low").alias("low2"))
         going = active.filter("anc is not null")
-        gain = going.select("forest", "node", "anc").join(sizes, ["forest", "node"]).select("forest", F.col("anc").alias("node"), "size")
-        more = scratch.put(sizes.unionByName(gain).groupBy("forest", "node").agg(F.sum("size").alias("size")))
-        nxt = scratch.put(
-            going.join(up, ["forest", "anc"], "left").select("forest", "node", "parent", F.col("anc2").alias("anc"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root"), F.least("low", "low2").alias("low"))
-        )
-        scratch.drop(sizes)
+        given = going.select("forest", F.col("anc").alias("node"), "size")
+        gain = given.groupBy("forest", "node").agg(F.sum("size").alias("gain"))
+        nxt = going.join(up, ["forest", "anc"], "left").join(gain, ["forest", "node"], "left")
         ended = active.filter("anc is null")
         done = ended if done is None else done.unionByName(ended)
-        active, sizes = nxt, more
-    state = active if done is None else done.unionByName(active)
-    return state.join(sizes, ["forest", "node"]), left > 0
+        passed.append(given)
+        active = scratch.put(
+            nxt.select("forest", "node", "parent", F.col("anc2").alias("anc"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root"), F.least("low", "low2").alias("low"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
+        )
+    state = (active if done is None else done.unionByName(active)).drop("size")
+    every = passed[0]
+    for x in passed[1:]:
+        every = every.unionByName(x)
+    return state, every.groupBy("forest", "node").agg(F.sum("size").alias("size")), left > 0
 
 
 def cycles(state: DataFrame, scratch: Scratch) -> DataFrame:
@@ -116,7 +119,7 @@ def _junctions(edges: DataFrame, scratch: Scratch) -> DataFrame:
     single = edges.join(many, ["forest", "node"], "left_anti")
     ends = edges.select("forest", "node").unionByName(edges.select("forest", F.col("parent").alias("node"))).distinct()
     tree = ends.join(single, ["forest", "node"], "left")
-    state, some = sizes_upward(tree, scratch)
+    state, _, some = sizes_upward(tree, scratch)
     state = scratch.put(state)
     lost = scratch.put(cycles(state, scratch)) if some else None
     way = state.select("forest", "node", "parent", "anc", "root", "low")
@@ -169,8 +172,8 @@ def unprocessed(edges: DataFrame, scratch: Scratch) -> DataFrame:
     cycle_id is the smallest id on the cycle it leads to, of several cycles the smallest.
     """
     if edges.groupBy("forest", "node").count().filter("count > 1").limit(1).count() == 0:
-        state, lost = sizes_upward(_tree(edges), scratch)
-        return cycles(scratch.put(state), scratch) if lost else state.select("forest", "node", F.lit(None).cast("string").alias("cycle_id")).filter("false")
+        state, _, lost = sizes_upward(_tree(edges), scratch)
+        return cycles(state, scratch) if lost else state.select("forest", "node", F.lit(None).cast("string").alias("cycle_id")).filter("false")
     way = _junctions(edges, scratch)
     end = way.select("forest", F.col("node").alias("parent"), "root", "low", F.col("cycle_id").alias("end_id"), F.col("anc").isNotNull().alias("endless"))
     many = way.filter("many").select("forest", "node")
@@ -248,8 +251,8 @@ def hierarchy(edges: DataFrame, child: str, parent: str, forest: str, scratch: S
     good = all_links.join(bad.select("forest", "node"), ["forest", "node"], "left_anti")
     # Parents of processed nodes are processed, but a root may have lost children only.
     tree = _tree(all_links).join(bad.select("forest", "node"), ["forest", "node"], "left_anti")
-    state, _ = sizes_upward(tree, scratch)
-    ranges = ranges_downward(scratch.put(state), scratch)
+    state, sizes, _ = sizes_upward(tree, scratch)
+    ranges = ranges_downward(scratch.put(state.join(sizes, ["forest", "node"])), scratch)
     above = _pairs(ranges).groupBy("forest", "node").agg(F.array_sort(F.collect_list(F.struct("depth_a", "ancestor"))).alias("above"))
     n = good.groupBy("forest", "node").agg(F.count(F.lit(1)).alias("n_parents"))
     path = F.concat(F.coalesce(F.transform("above", lambda x: x["ancestor"]), F.array().cast("array<string>")), F.array("node"))

@@ -122,7 +122,7 @@ def ancestors(edge: DataFrame, start: DataFrame, scratch: Scratch, depth: int =
 def resolve_merges(merges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
     """``(concept_id, target_id)``: where a chain of merges ends; a chain into a cycle ends at the cycle's smallest id."""
     tree = H.parents(merges.withColumn("_forest", F.lit("merge")), a, b, "_forest")
-    state, lost = H.sizes_upward(tree, scratch)
+    state, _, lost = H.sizes_upward(tree, scratch)
     out = state.filter("anc is null and parent is not null").select(F.col("node").alias("concept_id"), F.col("root").alias("target_id"))
     return out.unionByName(H.cycles(state, scratch).select(F.col("node").alias("concept_id"), F.col("cycle_id").alias("target_id"))) if lost else out
 

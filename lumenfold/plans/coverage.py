@@ -62,6 +62,11 @@ def taxonomy_holes(s: SparkSession, d: str) -> DataFrame:
     return G.taxonomy_holes(table(s, d, "edge"), _coverage(s, d))
 
 
+def taxonomy_holes_deep(s: SparkSession, d: str) -> DataFrame:
+    """The same where only concepts of thirty sources count as covered."""
+    return G.taxonomy_holes(table(s, d, "edge"), _coverage(s, d).filter("distinct_sources >= 30"))
+
+
 def timeline(s: SparkSession, d: str) -> DataFrame:
     span = [F.to_timestamp(F.lit(x)) for x in ("2024-01-01", "2026-01-01")]
     cov = Scratch(s, "timeline").put(_coverage(s, d))
@@ -330,7 +335,7 @@ def edges_rewritten(s: SparkSession, d: str) -> DataFrame:
 
 
 _FNS = (
-    coverage_rollup, coverage_for, source_detail, taxonomy_rooted, neighbourhood_vocabulary, uncovered_but_recurring, stale_coverage, taxonomy, taxonomy_covered, taxonomy_holes, timeline, timeline_buckets, prior_coverage, recent_events, engagement_high_water, top_concepts, corpus_stats, vectors_by_model,
+    coverage_rollup, coverage_for, source_detail, taxonomy_rooted, neighbourhood_vocabulary, uncovered_but_recurring, stale_coverage, taxonomy, taxonomy_covered, taxonomy_holes, taxonomy_holes_deep, timeline, timeline_buckets, prior_coverage, recent_events, engagement_high_water, top_concepts, corpus_stats, vectors_by_model,
     index_pending, link_pending, cooccurrence, concept_clusters, bridge_gaps, neighbourhood, work_upsert, work_backfill, convergent_references, suggestion_candidates, suggestion_slate, dismissed_targets, active_suggestions, vector_topk, novelty, recorded_novelty, concept_centroid, rebuilt_embeddings, semantic_search, vector_put, model_guard, blob_round_trip, edges_rewritten, neighbour_concepts,
     literal_search, hash_embedding,
 )
@@ -404,6 +409,8 @@ ORACLES = {
     "stale_coverage": _CTE + f"SELECT concept_id, label, {_TS('l')} AS last_contact_at, distinct_sources FROM cov JOIN co ON co.id = concept_id WHERE l < TIMESTAMP '2025-06-01' ORDER BY l, concept_id LIMIT 25",
     "taxonomy": _CTE + "SELECT co.id AS concept_id, label, parent_id, coalesce(distinct_sources, 0) AS distinct_sources, coalesce(primary_sources, 0) AS primary_sources FROM co LEFT JOIN up ON up.concept_id = co.id LEFT JOIN cov ON cov.concept_id = co.id",
     "taxonomy_covered": _CTE + "SELECT co.id AS concept_id, label, parent_id, distinct_sources, primary_sources FROM co LEFT JOIN up ON up.concept_id = co.id JOIN cov ON cov.concept_id = co.id WHERE distinct_sources > 0",
+    "taxonomy_holes_deep": _CTE + """SELECT b.from_concept AS concept_id, a.from_concept AS anchor_id, a.to_concept AS parent_id, 'sibling' AS kind FROM sub a JOIN cov ON cov.concept_id = a.from_concept AND distinct_sources >= 30
+ JOIN sub b ON b.to_concept = a.to_concept AND b.from_concept <> a.from_concept WHERE NOT EXISTS (SELECT 1 FROM cov x WHERE x.concept_id = b.from_concept AND x.distinct_sources >= 30) ORDER BY 1, 2, 3 LIMIT 25""",
     "taxonomy_holes": _CTE + "SELECT * FROM hole",
     "timeline": _CTE + "," + _REV.replace("WITH RECURSIVE", "") + _TOP40 + f""", tp AS (SELECT cov.concept_id, label FROM cov JOIN co ON co.id = cov.concept_id WHERE l >= TIMESTAMP '2024-01-01' AND f <= TIMESTAMP '2026-01-01' ORDER BY distinct_sources DESC, l DESC, cov.concept_id LIMIT 50),
  en AS (SELECT DISTINCT concept_id, source_id, occurred_at AS o, engagement, capture_path FROM tp JOIN cs USING (concept_id) JOIN ev USING (source_id) WHERE occurred_at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2026-01-01'),
