@@ -194,6 +194,7 @@ ORACLES = {
     "manifest_gaps": "SELECT table_name || '.' || column_name AS gap FROM information_schema.columns WHERE " + " OR ".join(f"(table_name = '{t}' AND column_name NOT IN ({', '.join(repr(x) for x in c)}))" for t, c in EXPORTED.items()),
     "page_outcomes": f"SELECT outcome, count(*) AS pages FROM (SELECT CASE WHEN body IS NULL OR body = '' THEN 'no_content' WHEN http_status <> 200 THEN 'http_error' WHEN NOT starts_with(coalesce(content_type, ''), 'text/') THEN 'not_text' WHEN len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(body, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+'), lambda w: w <> '')) < 50 THEN 'too_short' ELSE 'ok' END AS outcome FROM (SELECT DISTINCT * FROM fetched_document)) GROUP BY 1",
     "text_titles": r"""SELECT DISTINCT id, left(trim(regexp_replace(trim(regexp_replace(list_filter(str_split(text, chr(10)), lambda x: regexp_replace(x, '\s', '', 'g') <> '')[1], '[\r\t]', ' ', 'g')), '^#+ *', '')), 200) AS title, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words FROM document_version WHERE text IS NOT NULL""",
+    "text_fingerprint_copies": r"""SELECT min(doc_id) AS first_doc_id, count(*) AS copies FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+', ' ', 'g')) AS f FROM documents WHERE text <> '') GROUP BY f HAVING count(*) > 1""",
     "redact_counts": _REDACT,
     "redacted_urls": f"SELECT DISTINCT final_url AS url, regexp_replace(regexp_replace(regexp_replace(final_url, '^(https?://)[^/?#@]*@', '\\1'), '([?&])(?:{'|'.join(P.CREDENTIALS)})=[^&#]*&?', '\\1', 'gi'), '[?&]+($|#)', '\\1') AS redacted FROM fetched_document",
     "stream_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
