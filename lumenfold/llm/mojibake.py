@@ -289,8 +289,8 @@ def _implausible(word: str) -> bool:
     return len(kinds) > 1 or inner or any(not c.isalnum() for c in core) or bool(_RUN.search(core))
 
 
-#: Words of three characters or more that hold one above ASCII; no-break spaces may stand for letters.
-_WORD = r"[0-9A-Za-z\u0080-￿]{3,}"
+#: Words that hold a character above ASCII; no-break spaces may stand for letters.  Those of three characters or more are judged.
+_WORD = r"((?<![0-9A-Za-z\u0080-\uffff])[0-9A-Za-z]*+[\u0080-\uffff][0-9A-Za-z\u0080-\uffff]*+)"
 
 
 def recover(df: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
@@ -319,7 +319,7 @@ def recover(df: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
 
     kind = df.schema[key].dataType.simpleString()
     fixed = scratch.put(rows.mapInPandas(stage1, f"key {kind}, text string, n_spans int, codecs string, lost boolean"))
-    words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(f"({_WORD})")), lambda w: w.rlike(r"[^\x00-\x7f]")))
+    words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(_WORD)), lambda w: F.length(w) > 2))
     pairs = fixed.select("key", F.xxhash64("text").alias("h"), words.alias("words")).select("key", "h", F.size("words").alias("odd"), F.explode("words").alias("word"))
     each = pairs.groupBy("word", "h").agg(F.count(F.lit(1)).alias("n"))
     counts = scratch.put(each.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")))
