@@ -38,7 +38,7 @@ def _peel(links: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, bool]:
         new = frontier.count()
         if new == 0:
             return visited, True
-        visited = scratch.put(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)  # written parts, not written again
         n += new
         if new < THIN * n:
             return visited, False
@@ -55,7 +55,7 @@ def _propagate(links: DataFrame, scratch: Scratch) -> list[DataFrame]:
             return maps
         for _ in range(JUMPS):
             hop = hop.join(hop.select(F.col("v").alias("to"), F.col("to").alias("to2")), "to").select("v", F.col("to2").alias("to"))
-            hop = scratch.put(hop)
+        hop = scratch.put(hop)
         maps.append(hop)
         end = lambda c: hop.select(F.col("v").alias(c), F.col("to").alias(c + "2"))
         nxt = links.join(end("a"), "a").join(end("b"), "b").filter("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct()
