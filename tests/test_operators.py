@@ -142,6 +142,36 @@ def test_candidates_are_exact_or_contain_one_another(spark):
     assert [r.concepts for r in L.candidates(forms, L.names(concept)).filter("form = 'spaced repetition systems'").collect()] == [["c1", "c2"]]
 
 
+def test_candidates_of_all_lengths_are_joined_by_shuffles(spark, scratch):
+    """Pieces of a string are many more than the planner thinks: none of their joins goes through the driver."""
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ab ") for _ in range(r.choice((1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 20, 40)))).strip()
+    labels = [(f"c{i:03}", word(), [word(), "aé" * r.randrange(8)]) for i in range(60)]
+    texts, limit = {word() for _ in range(300)} | {"éa" * k for k in range(9)}, 3
+    concept, forms = scratch.put(spark.createDataFrame(labels, "id string, label string, aliases array<string>")), scratch.put(spark.createDataFrame([(t,) for t in texts], "form string"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = L.candidates(forms, L.names(concept), limit)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {x.form: (x.concepts, x.exact) for x in found.collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin [_g#" in plan and "BroadcastHashJoin [_g#" not in plan
+    plain = lambda t: " ".join(t.split())
+    names = {(plain(t), i) for i, label, more in labels for t in (label, *more) if plain(t)}
+    want = {}
+    for t in {plain(t) for t in texts} - {""}:
+        same, part = {i for n, i in names if n == t}, {i for n, i in names if n in t or t in n}
+        if same or part:
+            want[t] = (sorted(same or part)[:limit], bool(same))
+    assert got == want and len({e for _, e in got.values()}) == 2
+
+
 def test_spots_linked_to_concepts_or_local_ones(spark):
     concept = spark.createDataFrame([("c1", "kiln", None)], "id string, label string, aliases array<string>")
     spots = spark.createDataFrame([("k", 0, 4, "Kiln"), ("k", 0, 4, "kiln"), ("k", 9, 17, "New Term"), ("p", 0, 4, "kiln"), ("gone", 0, 4, "kiln"), ("k", 20, 21, "!")], "chunk_id string, start_char long, end_char long, surface_form string")
