@@ -22,3 +22,14 @@ def test_agrees_with_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     QUERIES[name](spark, str(DATA)).count()
+
+
+@pytest.mark.parametrize("name", ["link_mentions"])
+def test_pieces_of_names_are_not_sent_through_the_driver(spark, name):
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert "SortMergeJoin [_g#" in plan and "BroadcastHashJoin [_g#" not in plan
