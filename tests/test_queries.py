@@ -24,7 +24,7 @@ def test_runs(spark, name):
     QUERIES[name](spark, str(DATA)).count()
 
 
-@pytest.mark.parametrize("name", ["link_mentions", "local_concepts", "reconciled_decisions", "port_decisions", "rule_link"])
+@pytest.mark.parametrize("name", ["link_mentions", "local_concepts", "reconciled_decisions", "port_decisions", "rule_link", "link_all"])
 def test_pieces_of_names_are_not_sent_through_the_driver(spark, name):
     kept = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
