@@ -33,3 +33,8 @@ def test_pieces_of_names_are_not_sent_through_the_driver(spark, name):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", kept)
     assert "SortMergeJoin [_g#" in plan and "BroadcastHashJoin [_g#" not in plan
+
+
+def test_local_concepts_reads_no_text(spark):
+    plan = QUERIES["local_concepts"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "text:string" not in plan and "title:string" not in plan
