@@ -198,6 +198,16 @@ def test_decisions_answer_only_what_was_asked(spark):
     assert {r.id: (r.concept_id, r.confidence, r.is_primary) for r in L.reconcile(ask, say, found).collect()} == {"1": ("c1", 1.0, True), "2": (None, 0.0, False), "3": (None, 0.0, False)}
 
 
+def test_decisions_answer_by_place_and_never_by_a_null_key(spark):
+    kind = "id string, chunk_id string, surface_form string, start_char long, end_char long"
+    ask = spark.createDataFrame([("1", "k", "Ab", 0, 2), ("2", "k", "Ab", 5, 7), ("3", None, "Ab", 0, 2), ("4", "k", None, 0, 2), ("5", "k", "cd", 0, 2), ("6", "l", "Ab", 0, 2)], kind)
+    say = spark.createDataFrame([("a", "k", "Ab", 9, 11, "c2", 0.5, True), ("b", "k", "Ab", 1, 3, "c1", None, None), ("c", None, "Ab", 0, 2, "c1", 1.0, True), ("d", "k", None, 0, 2, "c1", 1.0, True), ("e", "k", "cd", 0, 2, None, 0.9, True), ("f", "k", "Ab", 12, 14, "c1", 1.0, True)], kind + ", concept_id string, confidence double, is_primary boolean")
+    found = spark.createDataFrame([("ab", ["c1", "c2"], True)], "form string, concepts array<string>, exact boolean")
+    none = (None, 0.0, False)
+    got = [(r.id, (r.concept_id, r.confidence, r.is_primary)) for r in L.reconcile(ask, say, found).collect()]
+    assert sorted(got) == [("1", ("c1", 0.0, False)), ("2", ("c2", 0.5, True)), ("3", none), ("4", none), ("5", none), ("6", none)]
+
+
 def ranked_spots(spark, text, keywords=()):
     return [(text[r.start_char : r.end_char], r.signal) for r in W.spot(spark.createDataFrame([("k", text)], "k string, t string"), "k", "t", keywords).orderBy("start_char").collect()]
 

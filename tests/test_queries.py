@@ -38,3 +38,8 @@ def test_pieces_of_names_are_not_sent_through_the_driver(spark, name):
 def test_local_concepts_reads_no_text(spark):
     plan = QUERIES["local_concepts"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "text:string" not in plan and "title:string" not in plan
+
+
+def test_requests_and_decisions_meet_in_one_shuffle(spark):
+    plan = QUERIES["reconciled_decisions"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "Join [chunk_id#" not in plan and plan.count("hashpartitioning(chunk_id#") == 1
