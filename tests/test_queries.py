@@ -43,3 +43,8 @@ def test_local_concepts_reads_no_text(spark):
 def test_requests_and_decisions_meet_in_one_shuffle(spark):
     plan = QUERIES["reconciled_decisions"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "Join [chunk_id#" not in plan and plan.count("hashpartitioning(chunk_id#") == 1
+
+
+def test_requests_of_a_port_are_made_unique_once(spark):
+    plan = QUERIES["port_decisions"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "mention.parquet" not in plan
