@@ -48,3 +48,9 @@ def test_requests_and_decisions_meet_in_one_shuffle(spark):
 def test_requests_of_a_port_are_made_unique_once(spark):
     plan = QUERIES["port_decisions"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "mention.parquet" not in plan
+
+
+def test_chunks_are_not_sent_through_the_driver(spark):
+    of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in of(linking._chunks(spark, str(DATA)))
+    assert "BroadcastHashJoin [chunk_id#" not in of(linking.link_all(spark, str(DATA)))
