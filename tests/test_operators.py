@@ -172,6 +172,29 @@ def test_candidates_of_all_lengths_are_joined_by_shuffles(spark, scratch):
     assert got == want and len({e for _, e in got.values()}) == 2
 
 
+def test_only_hashes_of_pieces_are_sent_through_the_driver(spark, scratch, monkeypatch):
+    """However many pieces there are; that several have one hash changes no row."""
+    monkeypatch.setattr(L, "BUCKETS", 64, raising=False)
+    texts = [f"{i * 7919:05x} {i * 104729:06x}" for i in range(1, 400)]
+    side = lambda c, rows: scratch.put(spark.createDataFrame([(t,) for t in rows], f"{c} string"))
+    inner, outer = side("a", [t[i % 5 : 5 + i % 9] for i, t in enumerate(texts)]), side("b", texts)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = L.contained(inner, "a", outer, "b")
+        got = {(r.a, r.b) for r in found.collect()}
+        plan, sent = [found._jdf.queryExecution().executedPlan()], []
+        while plan:
+            node = plan.pop()
+            if node.nodeName() == "BroadcastExchange":
+                sent.append(node.metrics().apply("numOutputRows").value())
+            plan += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert got == {(a, b) for a in {r.a for r in inner.collect()} for b in texts if a in b} and len(got) > 399
+    assert max(sent) <= 64
+
+
 def test_spots_linked_to_concepts_or_local_ones(spark):
     concept = spark.createDataFrame([("c1", "kiln", None)], "id string, label string, aliases array<string>")
     spots = spark.createDataFrame([("k", 0, 4, "Kiln"), ("k", 0, 4, "kiln"), ("k", 9, 17, "New Term"), ("p", 0, 4, "kiln"), ("gone", 0, 4, "kiln"), ("k", 20, 21, "!")], "chunk_id string, start_char long, end_char long, surface_form string")
