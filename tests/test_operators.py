@@ -251,6 +251,30 @@ def test_the_strongest_and_longest_forms_stay_within_the_limit(spark):
     assert len(got) == 60 and ("XML", "acronym") in got and ("Ada Lovelace", "proper_noun") in got
 
 
+def test_every_stage_of_linking_all_chunks_counts(spark, tmp_path):
+    """Whole texts are spotted, so places are those of the text; the linker counts in what redaction leaves."""
+    from lumenfold.plans import linking as Q
+
+    names = [f"Mor{chr(97 + i // 10)}{chr(97 + i % 10)}wick" for i in range(60)]
+    texts = {
+        "v1": "Ask kiln@kiln.org of old pottery, by pottery@pottery.org. ", "v2": "Old pottery, by pottery. ", "v3": "Old pottery, by pottery. ",
+        "v4": "lid is a thing; we met " + ", ".join(names) + ", Ada, Ada, Ada, DNA",
+    }
+    stamp = "cast(null as timestamp)"
+    source = spark.createDataFrame([("open", False), ("shut", True)], "id string, is_private boolean")
+    nulls = {"kind": "string", "canonical_url": "string", "doi": "string", "content_hash": "string", "title": "string", "authors": "array<string>"}
+    source.select("*", *[F.lit(None).cast(t).alias(c) for c, t in nulls.items()], *[F.expr(stamp).alias(c) for c in ("published_at", "first_seen_at", "deleted_at")]).write.parquet(f"{tmp_path}/reading_source.parquet")
+    spark.createDataFrame([(v, "shut" if v == "v3" else "open", "Front. " + t) for v, t in texts.items()], "id string, source_id string, text string").write.parquet(f"{tmp_path}/document_version.parquet")
+    spark.createDataFrame([("k" + v, v, 7, 7 + len(t)) for v, t in texts.items()], "id string, document_version_id string, start_char long, end_char long").write.parquet(f"{tmp_path}/chunk.parquet")
+    spark.createDataFrame([("c1", "pottery", None)], "id string, label string, aliases array<string>").write.parquet(f"{tmp_path}/concept.parquet")
+    spark.createDataFrame([("local:dna", "c2", "user_linked")], "from_concept string, to_concept string, relation string").write.parquet(f"{tmp_path}/edge.parquet")
+    got = Q.link_all(spark, str(tmp_path)).collect()
+    assert {(r.chunk_id, r.surface_form, r.start_char, r.end_char): (r.confidence, r.is_primary) for r in got if r.concept_id == "c1" and r.confidence == 1.0} == {("kv1", "pottery", 32, 39): (1.0, False), ("kv2", "pottery", 11, 18): (1.0, True)}
+    # A definition, a name that recurs and an acronym come before names; of these the first of one length stay.
+    assert {r.concept_id for r in got if r.chunk_id == "kv4"} == {"local:lid", "local:ada", "c2", *("local:" + n.lower() for n in names[:57])}
+    assert {r.chunk_id for r in got} == {"kv1", "kv2", "kv4"}
+
+
 def test_local_keys_fold_compatible_forms(spark):
     assert one(spark, I.local_key(F.col("a")), a="ＡＢ ﬁne") == one(spark, I.local_key(F.col("a")), a="ab FINE!") == "local:ab-fine"
     assert one(spark, I.local_key(F.col("a")), a="…!") is None
